@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm.exact_dedup import exact_dedup
+from lorespark.llm.line_dedup import line_dedup
 from lorespark.llm.mixing import mix_sources
+from lorespark.llm.secrets import BASE_RULES, scan_secrets
+from lorespark.llm.simhash import near_duplicates
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +22,42 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
+
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(r.kind) for r in BASE_RULES]
+    return out.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("deleted").cast("long").alias("n_deleted"), F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted"), F.col("clean").alias("text"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
+    "op4_secret_scan": op4_secret_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB's SQL for those queries that SQL can express.
@@ -39,4 +70,27 @@ ORACLE_SQL = {
             doc_id = first_value(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
     """,
+    "op10_line_dedup": r"""
+        WITH doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        every AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM doc),
+        l AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+            FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM every) WHERE n > 0),
+        near AS (
+            SELECT *, n + lead(n, 1) OVER w AS a1, n + lead(n, 1) OVER w + lead(n, 2) OVER w AS a2, n + lead(n, 1) OVER w + lead(n, 2) OVER w + lead(n, 3) OVER w AS a3,
+                n + lag(n, 1) OVER w AS b1, n + lag(n, 1) OVER w + lag(n, 2) OVER w AS b2, n + lag(n, 1) OVER w + lag(n, 2) OVER w + lag(n, 3) OVER w AS b3
+            FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+        ends AS (
+            SELECT doc_id, j AS a, CASE WHEN n >= 4 THEN j WHEN a1 >= 4 THEN j + 1 WHEN a2 >= 4 THEN j + 2 WHEN a3 >= 4 THEN j + 3 END AS b FROM near
+            UNION SELECT doc_id, CASE WHEN n >= 4 THEN j WHEN b1 >= 4 THEN j - 1 WHEN b2 >= 4 THEN j - 2 WHEN b3 >= 4 THEN j - 3 END, j FROM near),
+        runs AS (
+            SELECT ends.doc_id, a, string_agg(line, chr(10) ORDER BY j) AS run, list(i) AS places
+            FROM ends JOIN l ON l.doc_id = ends.doc_id AND l.j BETWEEN a AND b GROUP BY ends.doc_id, a, b),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(places) AS i
+            FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS k FROM runs) WHERE k > 1)
+        SELECT every.doc_id, count(*) AS n_lines, count(gone.i) AS n_deleted, coalesce(string_agg(gone.i::VARCHAR, ',' ORDER BY gone.i), '') AS deleted,
+            coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY every.i), '') AS text
+        FROM every LEFT JOIN gone ON every.doc_id = gone.doc_id AND every.i = gone.i GROUP BY every.doc_id
+    """,
 }
