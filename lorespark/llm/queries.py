@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.llm.exact_dedup import exact_dedup
 from lorespark.llm.line_dedup import line_dedup
 from lorespark.llm.mixing import mix_sources
+from lorespark.llm.packing import pack_documents
 from lorespark.llm.secrets import BASE_RULES, scan_secrets
 from lorespark.llm.simhash import near_duplicates
 
@@ -27,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(_read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
@@ -55,6 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_mix_sources": op5_mix_sources,
     "op10_line_dedup": op10_line_dedup,

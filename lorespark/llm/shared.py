@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def once_a_worker(key: tuple, make):
+    """make(), computed once in each Python process: functions sent by value have no module to keep it in."""
+    kept = vars(sys.modules.setdefault("_lorespark_kept", types.ModuleType("_lorespark_kept")))
+    if str(key) not in kept:
+        kept[str(key)] = make()
+    return kept[str(key)]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
