@@ -153,8 +153,8 @@ def evolve(sizes: np.ndarray, population: list[Packing], size: int, seed: int) -
     """The best packing after some generations on one island."""
     rng, bound = np.random.default_rng(seed), least_bins(sizes, size)
     population = list(population)
-    while len(population) < POPULATION:
-        blur = sizes * rng.uniform(0.8, 1.25, len(sizes))
+    while len(population) < POPULATION:  # the first is best-fit decreasing, the others in a blurred order
+        blur = sizes * rng.uniform(0.8, 1.25, len(sizes)) if population else sizes
         population.append(best_fit(sizes, np.argsort(-blur, kind="stable"), size))
     for _ in range(GENERATIONS):
         population.sort(key=Packing.worth, reverse=True)
