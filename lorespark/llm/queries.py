@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.llm.embeddings import near_vectors
 from lorespark.llm.exact_dedup import exact_dedup
 from lorespark.llm.line_dedup import line_dedup
 from lorespark.llm.mixing import mix_sources
 from lorespark.llm.packing import pack_documents
 from lorespark.llm.secrets import BASE_RULES, scan_secrets
 from lorespark.llm.simhash import near_duplicates
+from lorespark.llm.toxicity import score, train
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,18 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_vectors(_read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, _read(spark, sf_dir, "labels"))
+    out = score(docs.withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))), model)
+    return out.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("deleted").cast("long").alias("n_deleted"), F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted"), F.col("clean").alias("text"))
@@ -63,6 +77,8 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
