@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.embeddings import near_vectors
 from lorespark.llm.exact_dedup import exact_dedup
+from lorespark.llm.hmm_lm import score_texts
 from lorespark.llm.line_dedup import line_dedup
 from lorespark.llm.mixing import mix_sources
 from lorespark.llm.packing import pack_documents
@@ -54,6 +55,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_vectors(_read(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -77,6 +82,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op6_hmm_scoring": op6_hmm_scoring,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
