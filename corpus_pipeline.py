@@ -1,12 +1,59 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents. Stages keep rows with null texts or sources, count null
+texts as empty, and give no rows for no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespark.llm.line_dedup import line_dedup
+from lorespark.llm.mixing import apply_copies, mix_sources
+from lorespark.llm.packing import pack_documents
+from lorespark.llm.shared import WORD, written
+from lorespark.llm.simhash import near_duplicates
+from lorespark.llm.toxicity import score, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that reach their language's threshold go. The classifier learns from the labels of sf_dir."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def repeated_line_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier run go, and documents of which no word is left by that."""
+    out = line_dedup(docs).filter((F.size("deleted") == 0) | F.regexp_like(F.col("clean"), F.lit(WORD)))
+    changed = F.size("deleted") > 0
+    new = {"text": F.when(changed, F.col("clean")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def near_copy_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose SimHashes of five-word shingles differ in at most four bits (a similarity of some 0.9) the one with the smallest id stays."""
+    gone = near_duplicates(docs, words=5, radius=4).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return apply_copies(docs, mix_sources(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    return pack_documents(docs, with_ids=False)
 
-from lorespark.llm.shared import written
 
-STAGES = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", repeated_line_removal),
+    ("simhash_near_dedup", near_copy_removal),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", packing),
+]
 
 #: Hash rounding, a trained classifier and packing have no SQL; tests/llm compare the stages with brute force.
 ORACLE_SQL = None

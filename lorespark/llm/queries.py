@@ -11,6 +11,7 @@ from lorespark.llm.hmm_lm import score_texts
 from lorespark.llm.line_dedup import line_dedup
 from lorespark.llm.mixing import mix_sources
 from lorespark.llm.packing import pack_documents
+from lorespark.llm.passages import repeated_passages
 from lorespark.llm.secrets import BASE_RULES, scan_secrets
 from lorespark.llm.simhash import near_duplicates
 from lorespark.llm.toxicity import score, train
@@ -59,6 +60,10 @@ def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_vectors(_read(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_mix_sources": op5_mix_sources,
     "op6_hmm_scoring": op6_hmm_scoring,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
