@@ -1,0 +1 @@
+QUERIES, ORACLE_SQL = {}, {}

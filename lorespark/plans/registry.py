@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lorespark.plans import document_queries, sparql_queries
+
+QUERIES = {**sparql_queries.QUERIES, **document_queries.QUERIES}
+ORACLE_SQL = {**sparql_queries.ORACLE_SQL, **document_queries.ORACLE_SQL}

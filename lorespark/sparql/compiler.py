@@ -613,7 +613,7 @@ def reach(steps: DataFrame, start: str) -> DataFrame:
     while not new.isEmpty():
         nxt = edges.join(new.select(F.col("n").alias("s")), "s", "left_semi").select(F.col("o").alias("n")).distinct()
         new = written(nxt.join(seen, "n", "left_anti"), "reached")
-        seen = written(seen.unionByName(new), "seen")
+        seen = seen.unionByName(new)
     return seen.select(F.lit(start).alias("s"), F.col("n").alias("o"))
 
 
