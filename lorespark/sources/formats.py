@@ -134,12 +134,12 @@ def source_files(spark: SparkSession, path: str, skip: tuple[str, ...] = (".git"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter((F.col("length") <= MAX_FILE) & F.col("length").isNotNull())
     for s in skip:
         files = files.filter(~F.contains("path", F.lit(f"/{s}/")))
-    head = F.decode(F.substring("content", 1, 1024), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
     printable = F.length(F.regexp_replace(head, r"[^\x09\x0a\x0d\x20-\x7e\x80-\xff]", ""))
     text = ~F.contains(head, F.lit("\x00")) & (printable >= 0.75 * F.length(head))
     known = files.withColumn("language", language(F.col("path"))).filter(F.col("language").isNotNull() & text)
     utf8 = F.expr("try_validate_utf8(cast(content as string))")
-    return known.select("path", "language", F.coalesce(utf8, F.decode("content", F.lit("ISO-8859-1"))).alias("content"))
+    return known.select("path", "language", F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("content"))
 
 
 def backup(tables: dict[str, DataFrame], folder: str) -> DataFrame:

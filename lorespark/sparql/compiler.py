@@ -604,10 +604,36 @@ def _order(c: Column, up: bool) -> list[Column]:
     return [k.asc_nulls_first() for k in keys] if up else [k.desc_nulls_last() for k in keys]
 
 
+#: Steps that one task follows on its own; more are followed in rounds of joins.
+FEW_STEPS = 200_000
+
+
+def _followed(start: str):
+    """Breadth-first search over all steps in one task."""
+
+    def run(batches):
+        import pandas as pd
+
+        ways: dict[str, list[str]] = {}
+        for pdf in batches:
+            for a, b in zip(pdf.s, pdf.o, strict=True):
+                ways.setdefault(a, []).append(b)
+        found: dict[str, None] = {}
+        todo = [start]
+        while todo:
+            new = [b for a in todo for b in ways.get(a, ()) if b not in found]
+            todo = list(dict.fromkeys(new))
+            found.update(dict.fromkeys(todo))
+        yield pd.DataFrame({"s": [start] * len(found), "o": list(found)}, dtype=str)
+
+    return run
+
+
 def reach(steps: DataFrame, start: str) -> DataFrame:
     """(s, o): all that one or more steps lead to from start. Only new nodes are followed in each round."""
-    spark = steps.sparkSession
     edges = written(steps.select("s", "o").distinct(), "steps")
+    if edges.count() <= FEW_STEPS:
+        return edges.coalesce(1).mapInPandas(_followed(start), "s string, o string")
     new = written(edges.filter(F.col("s") == start).select(F.col("o").alias("n")).distinct(), "reached")
     seen = new
     while not new.isEmpty():
