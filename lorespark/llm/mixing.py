@@ -116,16 +116,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sure = dealt.filter(clear).select("id", "source", "size", "rows", F.lit(0).alias("up"))
     block = F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("blocks"))
     level = dealt.filter(~clear).select("source", block.alias("block"), F.struct("id", "size", "rows", (F.col("size") * F.col("rows")).cast("double").alias("words"), "p").alias("item"))
+    level = written(level, "mix-leaves")
+    # The first block of each source waits for what the others leave, so that the last step has small documents to choose from.
+    reserve, level = level.filter("block = 0"), level.filter("block > 0")
     done, n, blocks = [sure], 0, targets.agg(F.max("blocks")).first()[0] or 1
-    while True:
+
+    def folded(level: DataFrame, n: int) -> DataFrame:
         order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "item.id", "item.size").alias("at"), "item")))
-        folded = written(level.groupBy("source", "block").agg(order.alias("items")).select("source", "block", _fold(F.transform("items", lambda x: x["item"]), seed, n).alias("f")), "mix-level")
-        done.append(folded.select("source", F.explode("f.done").alias("d")).select("d.id", "source", "d.size", "d.rows", "d.up"))
-        if blocks == 1:
-            break
-        level = folded.select("source", F.floor(F.col("block") / FAN_IN).alias("block"), F.col("f.left").alias("item"))
+        return written(level.groupBy("source", "block").agg(order.alias("items")).select("source", "block", _fold(F.transform("items", lambda x: x["item"]), seed, n).alias("f")), "mix-level")
+
+    while blocks > 1:
+        out = folded(level, n)
+        done.append(out.select("source", F.explode("f.done").alias("d")).select("d.id", "source", "d.size", "d.rows", "d.up"))
+        level = out.select("source", F.floor(F.col("block") / FAN_IN).alias("block"), F.col("f.left").alias("item"))
         n, blocks = n + 1, -(-blocks // FAN_IN)
-    done[-1] = folded.select("source", F.explode(_closed(F.col("f"))).alias("d")).select("d.id", "source", "d.size", "d.rows", "d.up")
+    top = folded(reserve.unionByName(level), n)
+    done.append(top.select("source", F.explode(_closed(F.col("f"))).alias("d")).select("d.id", "source", "d.size", "d.rows", "d.up"))
     ups = done[0]
     for d in done[1:]:
         ups = ups.unionByName(d)
