@@ -112,12 +112,23 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert all(r.score < 0.5 for r in score(odd_docs, none).collect())
 
 
-def test_whole_texts_count(spark):
+def test_whole_texts_count(spark, monkeypatch):
+    from lorespark.llm import toxicity
+
     texts = [b"calm words only"] * 20 + [b"calm words snarl"] * 20
     c = fit(texts, np.array([0] * 20 + [1] * 20))
     long = b"calm words only " * 30_000
+    mixed = [long, long + b"snarl", b"", b"snarl", b"calm snarl words " + long, b"one", long + b"snarl " + long]
+    pieces = c.pooled(mixed)
     assert c.raw([long + b"snarl"])[0] > c.raw([long])[0]
-    assert c.raw([long + b"snarl " + long])[0] == pytest.approx(c.raw([long + b"snarl"])[0], abs=1e-4)
+    assert (pieces[6] >= pieces[0]).all() and (pieces[6] != pieces[0]).any()
+    for at_once in (7, 1 << 30):
+        monkeypatch.setattr(toxicity, "_AT_ONCE", at_once)
+        some = mixed if at_once > 7 else mixed[2:4] + [b"calm snarl words only calm " * 5]
+        monkeypatch.setattr(toxicity, "_AT_ONCE", 1 << 15)
+        want = c.pooled(some)
+        monkeypatch.setattr(toxicity, "_AT_ONCE", at_once)
+        assert c.pooled(some) == pytest.approx(want, abs=1e-5)
 
 
 def test_threshold():
