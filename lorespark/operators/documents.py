@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,3 +119,30 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
     sums = classes.groupBy(F.col("c").alias("class")).agg(F.sum("hit").alias("hits"), F.sum("t").alias("support"), F.sum("p").alias("predicted"))
     p, r = F.coalesce(F.try_divide(F.col("hits") * 1.0, "predicted"), F.lit(0.0)), F.coalesce(F.try_divide(F.col("hits") * 1.0, "support"), F.lit(0.0))
     return sums.select("class", "support", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
+def containing_join(parts: DataFrame, wholes: DataFrame, most: int = 256) -> DataFrame:
+    """Each part (part_id, part) with the first whole (whole_id, whole), by id, that holds it as a substring.
+
+    Wholes are cut into their substrings of the lengths that parts have, at most `most` characters, and joined on
+    equality, so no row meets rows it has nothing in common with. Longer and empty parts find nothing.
+    """
+    sizes = [r[0] for r in parts.select(F.length("part").alias("n")).filter(F.col("n").between(1, most)).distinct().collect()]
+    cuts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.when(F.length("whole") >= n, F.transform(F.sequence(F.lit(1), F.length("whole") - n + 1), lambda i: F.substring(F.col("whole"), i, n))).otherwise(F.array().cast("array<string>")))))
+    pieces = wholes.select("whole_id", F.explode(cuts).alias("part")).groupBy("part").agg(F.min("whole_id").alias("whole_id"))
+    return parts.join(pieces, "part").select("part_id", "part", "whole_id")
+
+
+def emptied(df: DataFrame) -> DataFrame:
+    return df.limit(0)
+
+
+def checked_uuid(value: str) -> str:
+    """The value in canonical form; ValueError if it is no UUID."""
+    return str(uuid.UUID(value))
+
+
+def created(spark, name: str, schema: str, partition_by: list[str]) -> None:
+    """Make a Parquet table unless it is there."""
+    by = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{by}")

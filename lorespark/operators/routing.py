@@ -20,6 +20,17 @@ TEMPLATE_WORDS = {
     "inheritance_hierarchy": (("inherits", "extends", "class", "inheritance", "parent", "child"), 0.85),
     "dependency_analysis": (("imports", "depends", "uses", "module", "package", "dependency"), 0.8),
 }
+ENTITY_WORDS = {"function": ("function", "method", "procedure", "routine"), "class": ("class", "type", "object"), "module": ("module", "package", "namespace", "library"), "variable": ("variable", "field", "property"), "interface": ("interface", "contract", "protocol"), "package": ("package", "bundle", "component")}
+RELATION_WORDS = {"calls": ("calls", "invokes", "executes"), "inherits": ("inherits", "extends", "derives"), "implements": ("implements", "realizes"), "imports": ("imports", "includes", "uses"), "uses": ("uses", "utilizes", "employs"), "references": ("references", "refers", "points"), "dependsOn": ("depends", "requires", "needs"), "contains": ("contains", "includes", "has")}
+DIAGRAM_WORDS = {
+    "flowchart": ("process", "workflow", "flow", "step", "procedure", "algorithm", "decision", "if", "then", "loop"),
+    "sequenceDiagram": ("interaction", "communication", "sequence", "message", "api", "request", "response", "call", "exchange"),
+    "classDiagram": ("class", "object", "inheritance", "extends", "implements", "relationship", "association", "composition", "aggregation"),
+    "erDiagram": ("database", "table", "entity", "relationship", "schema", "foreign key", "primary key", "one-to-many", "many-to-many"),
+    "gitgraph": ("git", "branch", "merge", "commit", "version control", "feature branch", "release", "hotfix"),
+    "journey": ("user journey", "customer journey", "experience", "touchpoint", "user flow", "persona", "interaction path"),
+    "gantt": ("timeline", "schedule", "project", "milestone", "task", "duration", "deadline", "phases", "deliverable"),
+}
 INTENTS = ("GRAPH_RAG", "VECTOR_RAG", "DATABASE_RAG", "HYBRID")
 CONFIDENT, GATE = 0.7, 0.7
 # --- end of fixed values
@@ -37,6 +48,18 @@ def template_match(question: Column) -> Column:
     return F.when(best["score"] > 0, F.struct(best["template"].alias("template"), best["score"].alias("score")))
 
 
+def named_things(question: Column, words: dict[str, tuple[str, ...]]) -> Column:
+    """The kinds of which a word occurs, in the order of the table."""
+    return F.array_compact(F.array(*(F.when(any_keyword(question, w), F.lit(k)) for k, w in words.items())))
+
+
+def diagram_type(description: Column) -> Column:
+    """The type with most words in the description, the first of equals; a flow chart if there are none."""
+    options = [F.struct(keyword_hits(description, w).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("type")) for i, (k, w) in enumerate(DIAGRAM_WORDS.items())]
+    best = F.greatest(*options)
+    return F.when(best["n"] > 0, best["type"]).otherwise("flowchart TD")
+
+
 def strategies(intent: str, confidence: float, multi_source: bool = False, max_sources: int = 3) -> list[str]:
     """What to ask: by intent; all for HYBRID; others too if the intent is unsure or several sources are wanted."""
     own = {"GRAPH_RAG": "graph", "VECTOR_RAG": "vector", "DATABASE_RAG": "database"}

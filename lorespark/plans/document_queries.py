@@ -11,7 +11,7 @@ from lorespark.functions import scoring as s
 from lorespark.functions import text as t
 from lorespark.functions.vector import cosine
 from lorespark.operators import documents as d
-from lorespark.operators import extraction, fusion, graph, memory, retrieval, routing, versioning
+from lorespark.operators import extraction, fusion, graph, memory, ontology, retrieval, routing, versioning
 from lorespark.sources.catalog import AS_OF, Catalog
 from lorespark.streaming import sync
 
@@ -173,6 +173,14 @@ def _stream_sync(spark: SparkSession, sf: str) -> DataFrame:
     return sync.sync_triples(spark, path, docs.schema.simpleString()[7:-1].replace(":", " "), target, checkpoint).select("s", "p", "o", "o_kind")
 
 
+def _backup(spark: SparkSession, sf: str) -> DataFrame:
+    from lorespark.sources.formats import backup
+    from lorespark.sources.tables import new_path
+
+    c = Catalog(spark, sf)
+    return backup({n: c.table(n) for n in ("region", "nation", "supplier")}, new_path(spark, "backup"))
+
+
 def _percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return d.floor_percentiles(_interactions(spark, sf), ["event_type"], "response_ms", {"median": 0.5, "p95": 0.95, "p99": 0.99}).select("event_type", "n", _r("mean").alias("mean"), "least", "most", "median", "p95", "p99")
 
@@ -239,6 +247,13 @@ QUERIES: dict[str, Query] = {
     "template_match": lambda spark, sf: routing.translations(_questions(spark, sf)).select("item_id", "template", _r("template_score").alias("template_score"), _r("confidence").alias("confidence")),
     "strategy_selection": lambda spark, sf: Catalog(spark, sf).table("labels").select("doc_id", routing.strategy_column(F.when(F.col("quality") == 1, "GRAPH_RAG").when(F.col("toxic") == 1, "HYBRID").otherwise("OTHER"), (F.col("doc_id") % 10 / 10.0)).alias("strategies")),
     "intent_model": _intents,
+    "diagram_type": lambda spark, sf: _questions(spark, sf).select("item_id", routing.diagram_type(F.col("question")).alias("type")),
+    "question_entities": lambda spark, sf: _questions(spark, sf).select("item_id", F.array_join(routing.named_things(F.col("question"), routing.ENTITY_WORDS), ",").alias("entities"), F.array_join(routing.named_things(F.col("question"), routing.RELATION_WORDS), ",").alias("relations")),
+    "containing_join": lambda spark, sf: d.containing_join(Catalog(spark, sf).table("nation").select(F.col("n_nationkey").alias("part_id"), F.concat(F.lit("#"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("part")).withColumn("part", F.substring("part", 3, 2)), Catalog(spark, sf).table("supplier").select(F.col("s_suppkey").alias("whole_id"), F.col("s_name").alias("whole"))),
+    "ontology_search": lambda spark, sf: ontology.Ontology.built_in(spark).search("*import*"),
+    "ontology_subclasses": lambda spark, sf: ontology.Ontology.built_in(spark).subclasses("urn:code#CodeEntity"),
+    "ontology_info": lambda spark, sf: ontology.Ontology.built_in(spark).info(),
+    "backup": _backup,
     # versions
     "branch_query": lambda spark, sf: versioning.on_branch(_versions(spark, sf), "repo", "src4", "entity_type = 'en'").select("id"),
     "cross_branch_query": lambda spark, sf: versioning.across_branches(_versions(spark, sf), "repo", ["src1", "src2"]).select("id", "branch_name"),
@@ -294,7 +309,20 @@ def _ranked(score: str, n: int = 10) -> str:
 _TEMPLATES = " ".join(f"WHEN best = {i} THEN '{n}'" for i, n in enumerate(routing.TEMPLATE_WORDS))
 _TEMPLATE_SCORES = [" + ".join(f"contains(lower(question), '{w}')::INT" for w in words) for words, _ in routing.TEMPLATE_WORDS.values()]
 
+def _things(words: dict[str, tuple[str, ...]]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any('question', w)} THEN '{k}' END" for k, w in words.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+_DIAGRAMS = [(k, " + ".join(f"contains(lower(question), '{x}')::INT" for x in w)) for k, w in routing.DIAGRAM_WORDS.items()]
+
 ORACLE_SQL: dict[str, str] = {
+    "diagram_type": f"WITH {_QUESTIONS}, x AS (SELECT item_id, [{', '.join(n for _, n in _DIAGRAMS)}] AS n FROM q) SELECT item_id, CASE WHEN list_max(n) = 0 THEN 'flowchart TD' ELSE [{', '.join(repr(k) for k, _ in _DIAGRAMS)}][list_position(n, list_max(n))] END AS type FROM x",
+    "question_entities": f"WITH {_QUESTIONS} SELECT item_id, {_things(routing.ENTITY_WORDS)} AS entities, {_things(routing.RELATION_WORDS)} AS relations FROM q",
+    "containing_join": "WITH p AS (SELECT n_nationkey AS part_id, substr('#' || lpad(n_nationkey::VARCHAR, 3, '0'), 3, 2) AS part FROM nation) SELECT part_id, part, min(s_suppkey) AS whole_id FROM p JOIN supplier ON contains(s_name, part) GROUP BY part_id, part",
+    "ontology_search": "SELECT * FROM (VALUES ('class', 'urn:code#PythonImport'), ('data property', 'urn:code#import_alias'), ('object property', 'urn:code#imports'), ('object property', 'urn:code#importedBy')) AS t(kind, iri)",
+    "ontology_subclasses": "SELECT 'urn:code#' || c AS iri, d AS depth FROM (VALUES ('Container', 1), ('Function', 1), ('Variable', 1), ('DataType', 1), ('Class', 2), ('Library', 2), ('Module', 2), ('Project', 2)) AS t(c, d)",
+    "ontology_info": "SELECT 18 AS classes, 8 AS roots, 19 AS object_properties, 11 AS data_properties, 3 AS transitive_properties",
+    "backup": "SELECT 'region' AS name, count(*) AS rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier",
     "doc_projection": "SELECT doc_id AS id, lang AS language, length(text) AS size FROM documents",
     "doc_filters": "SELECT doc_id AS id, lang FROM documents WHERE lang IN ('en', 'fr') AND source = 'src3' AND n_chars >= 500",
     "doc_point_read": "SELECT doc_id AS id, lang FROM documents WHERE doc_id = 17 AND source = 'src17'",
