@@ -78,9 +78,12 @@ class Classifier:
         word, start, starts = features(texts)
         best = np.full((len(texts), len(self.shift)), -np.inf, np.float32)
         over = max(WIDTHS) - 1
+        crossing = np.zeros(len(word), bool)  # places whose widest filter would reach into the next text
+        crossing[(starts[1:, None] - np.arange(1, over + 1)).ravel()] = True
         for a in range(0, len(word) - over, _AT_ONCE):
             b = min(a + _AT_ONCE, len(word) - over)
             f = self.filtered(self.embedded(word[a : b + over], start[a : b + over]))
+            f[crossing[a:b]] = -np.inf
             first = np.searchsorted(starts, a, side="right") - 1
             last = np.searchsorted(starts, b, side="left")
             cuts = np.maximum(starts[first:last] - a, 0)

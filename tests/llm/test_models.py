@@ -121,6 +121,7 @@ def test_whole_texts_count(spark, monkeypatch):
     mixed = [long, long + b"snarl", b"", b"snarl", b"calm snarl words " + long, b"one", long + b"snarl " + long]
     pieces = c.pooled(mixed)
     assert c.raw([long + b"snarl"])[0] > c.raw([long])[0]
+    assert pieces == pytest.approx(np.concatenate([c.pooled([t]) for t in mixed]), abs=1e-5)  # no text sees its neighbours
     assert (pieces[6] >= pieces[0]).all() and (pieces[6] != pieces[0]).any()
     for at_once in (7, 1 << 30):
         monkeypatch.setattr(toxicity, "_AT_ONCE", at_once)
