@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.shared import SPACE, new_path, text_or_empty, written
 
+#: Places over which the copies of a text are dealt while their bytes are compared.
+PARTS = 32
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -74,9 +76,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     state = written(update_state(keys, state_folder or new_path(spark, "exact-state")), "exact-groups")
     texts = docs.select(F.col(id_col).alias("id"), digest(normalised(text_col)).alias("digest"), normalised(text_col).alias("norm"), F.length(text_or_empty(text_col)).alias("n"), F.bitwise_not(F.col(id_col)).alias("inverse_id"), where.alias("locator"))
-    hits = texts.select("digest", "norm").join(state.filter("copies > 1").select("digest"), "digest", "left_semi")
+    # Every digest is dealt to PARTS places by a hash of the id, so that many copies of one text do not meet in one task.
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
+    several = state.filter("copies > 1").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    hits = texts.select("digest", part, "norm").join(several, ["digest", "part"], "left_semi")
     # Of each digest the least and greatest text: when these two are equal, all are.
-    clash = written(hits.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("clash")).filter("clash").select("digest"), "exact-clashes")
+    ends = hits.groupBy("digest", "part").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    clash = written(ends.filter("least <> most").select("digest"), "exact-clashes")
     same = keys.select("id", "digest").join(state, "digest")
     if not clash.isEmpty():
         same = same.join(clash, "digest", "left_anti")
