@@ -209,7 +209,7 @@ QUERIES: dict[str, Query] = {
     "balance_score": lambda spark, sf: d.balance_score(_docs(spark, sf), "lang"),
     "latency_percentiles": _percentiles,
     "ema_stats": lambda spark, sf: d.moving_average(_interactions(spark, sf).filter("session_id < 20"), ["session_id"], ["ts", "id"], "response_ms").select("session_id", _r("average").alias("average")),
-    "running_mean": lambda spark, sf: d.running_mean(_interactions(spark, sf).filter("session_id < 20"), ["session_id"], [F.col("ts"), F.col("id")], "response_ms").select("id", _r("running_mean", 3).alias("running_mean")),
+    "running_mean": lambda spark, sf: d.running_mean(_interactions(spark, sf).filter("session_id < 20"), ["session_id"], [F.col("ts"), F.col("id")], "response_ms").select("id", _r("running_mean", 10).alias("running_mean")),
     "error_rate": lambda spark, sf: _interactions(spark, sf).groupBy("session_id").agg(_r(d.rate(F.col("event_type") == "error", 100.0), 4).alias("error_rate")),
     "same_group_pairs": lambda spark, sf: d.same_group_pairs(Catalog(spark, sf).table("nation").withColumn("g", F.col("n_regionkey")), "g", "n_nationkey", 100),
     "classification_report": lambda spark, sf: d.classification_report(Catalog(spark, sf).table("labels").withColumn("guess", (F.col("doc_id") % 3 == 0).cast("int")), "quality", "guess").select("class", "support", _r("precision").alias("precision"), _r("recall").alias("recall"), _r("f1").alias("f1")),
@@ -340,7 +340,7 @@ ORACLE_SQL: dict[str, str] = {
     "balance_score": "WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), m AS (SELECT avg(n) AS mean FROM c) SELECT 1 - count(*) FILTER (n > 2 * mean OR n < 0.5 * mean) / count(*)::DOUBLE AS balance_score FROM c, m",
     "latency_percentiles": "WITH g AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY event_type) SELECT event_type, n, round(list_avg(v), 6) AS mean, v[1] AS least, v[-1] AS most, v[floor(0.5 * n)::INT + 1] AS median, v[floor(0.95 * n)::INT + 1] AS p95, v[floor(0.99 * n)::INT + 1] AS p99 FROM g",
     "ema_stats": "WITH g AS (SELECT user_id AS session_id, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id < 20 GROUP BY user_id) SELECT session_id, round(list_reduce(v, lambda a, x: 0.1 * x + 0.9 * a), 6) AS average FROM g",
-    "running_mean": "SELECT event_id AS id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS running_mean FROM events WHERE user_id < 20",
+    "running_mean": "SELECT event_id AS id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS running_mean FROM events WHERE user_id < 20",
     "error_rate": "SELECT user_id AS session_id, round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 4) AS error_rate FROM events GROUP BY user_id",
     "same_group_pairs": "SELECT a.n_regionkey AS g, a.n_nationkey, b.n_nationkey AS other_id FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "classification_report": "WITH x AS (SELECT quality AS y, (doc_id % 3 = 0)::INT AS g FROM labels), c AS (SELECT c AS class, count(*) FILTER (y = c) AS support, count(*) FILTER (g = c) AS predicted, count(*) FILTER (y = c AND g = c) AS hits FROM x, (VALUES (0), (1)) AS k(c) GROUP BY c) SELECT class, support, round(hits / predicted::DOUBLE, 6) AS precision, round(hits / support::DOUBLE, 6) AS recall, round(2 * (hits / predicted::DOUBLE) * (hits / support::DOUBLE) / (hits / predicted::DOUBLE + hits / support::DOUBLE), 6) AS f1 FROM c",
