@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -57,11 +58,15 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """start (K), move (K, K), emit (symbols, K); known: word to (symbol, count) for the most frequent words."""
+    """start (K), move (K, K), emit (symbols, K); known: the most frequent words and their places in symbol_of and log_of."""
 
-    def __init__(self, known: dict[bytes, tuple[int, int]], share: np.ndarray, bucket_log: np.ndarray, seed: int = 11):
+    def __init__(self, known: list[tuple[bytes, int]], share: np.ndarray, bucket_log: np.ndarray, seed: int = 11):
+        """known: words and counts, the most frequent first; log_of is that of the smoothed counts."""
         rng = np.random.default_rng(seed)
-        self.known, self.share, self.bucket_log = known, share, bucket_log
+        self.known, self.share, self.bucket_log = {w: i for i, (w, _) in enumerate(known)}, share, bucket_log
+        bucket = len(share) - BUCKETS
+        self.symbol_of = np.array([i + 1 if i < SYMBOL_WORDS else bucket + crc32(w) % BUCKETS for i, (w, _) in enumerate(known)] or [0], np.int32)
+        self.log_of = np.log10(np.array([c for _, c in known] or [0]) + 0.1)
         self.first_bucket = len(share) - BUCKETS
         self.counts = None
         self.start = np.full(STATES, 1 / STATES)
@@ -69,13 +74,14 @@ class Model:
         emit = share[:, None] * np.exp(rng.normal(0, 0.5, (len(share), STATES)))
         self.emit = emit / emit.sum(axis=0)
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        """Of the words and the end."""
-        find, first = self.known.get, self.first_bucket
-        out = np.empty(len(words) + 1, np.int32)
-        out[:-1] = [k[0] if (k := find(w)) and k[0] >= 0 else first + crc32(w) % BUCKETS for w in words]
-        out[-1] = 0
-        return out
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of the words and the end; the places of the words in `known`, or -1."""
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        out = np.zeros(len(words) + 1, np.int32)
+        out[:-1] = self.symbol_of[place]
+        for i in np.flatnonzero(place < 0).tolist():
+            out[i] = self.first_bucket + crc32(words[i]) % BUCKETS
+        return out, place
 
     def learn(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """Add one round's expected counts to what is kept of the earlier ones, and estimate anew."""
@@ -177,10 +183,27 @@ def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
     return x, np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()
 
 
+def _frequent(counts: DataFrame) -> list:
+    """The words with the highest counts, at most KNOWN_WORDS, by count and then by word.
+
+    Each task of a top-k would send that many words. So the counts themselves, to twelve binary digits, are counted
+    first, and only words above the least count that leaves few enough are collected.
+    """
+    size = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2("c")) - 11)).cast("long")
+    rounded = F.col("c") - F.col("c") % size
+    least, n = None, 0
+    for r in sorted(counts.groupBy(rounded.alias("c")).count().collect(), key=lambda r: -r["c"]):
+        n += r["count"]
+        if n > KNOWN_WORDS:
+            break
+        least = r["c"]
+    return [] if least is None else sorted(counts.filter(F.col("c") >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def _first_model(counts: DataFrame) -> Model:
-    frequent = counts.filter((F.col("word") != F.lit(END)) & (F.length("word") <= WORD_BYTES)).orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).collect()
+    frequent = _frequent(counts.filter((F.col("word") != F.lit(END)) & (F.length("word") <= WORD_BYTES)))
     own = frequent[:SYMBOL_WORDS]
-    known = {bytes(r["word"]): (i + 1 if i < SYMBOL_WORDS else -1, r["c"]) for i, r in enumerate(frequent)}
+    known = [(bytes(r["word"]), r["c"]) for r in frequent]
     last = own[-1] if own else None
     # Below the last word with a symbol in the same order, or too long for one.
     rest = F.lit(True) if last is None else (F.length("word") > WORD_BYTES) | (F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > F.lit(bytearray(last["word"]))))
@@ -218,7 +241,7 @@ def fit(training: DataFrame, counts: DataFrame, seed: int = 11) -> Model:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, total = _received(sent), None  # noqa: B023
             for b in batches:
-                found = m.expected([m.symbols(words_of(x.as_buffer().to_pybytes())) for x in b.column(0)])
+                found = m.expected([m.symbols(words_of(x.as_buffer().to_pybytes()))[0] for x in b.column(0)])
                 total = found if total is None else [x + y for x, y in zip(total, found, strict=True)]
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], ["counts"])
@@ -269,20 +292,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _received(sent)
-        log_of = {w: float(np.log10(c + 0.1)) for w, (_, c) in m.known.items()}
         for b in batches:
             texts, of_doc, rare = [], [], []
             for rid, x in zip(b.column("rid").to_pylist(), b.column("text"), strict=True):
                 words = words_of(x.as_buffer().to_pybytes())
-                symbols = m.symbols(words)
+                symbols, place = m.symbols(words)
                 texts.append(symbols)
-                logs = [log_of.get(w) for w in words]
-                far = Counter(w for w, v in zip(words, logs, strict=True) if v is None)
+                far = Counter([words[i] for i in np.flatnonzero(place < 0).tolist()])
                 rare += [(rid, w, n) for w, n in far.items()]
+                near = place >= 0
+                logs = m.log_of[place[near]]
                 inside = symbols[:-1] >= m.first_bucket
-                known = np.array([np.nan if v is None else v for v in logs], float)
-                bucket_logs = np.where(inside & ~np.isnan(known), known, 0).sum() - m.bucket_log[symbols[:-1][inside] - m.first_bucket].sum()
-                of_doc.append((rid, len(words) + 1, np.nansum(known) + end_log, bucket_logs, len(words) - sum(far.values()) + (ends > 0)))
+                bucket_logs = logs[inside[near]].sum() - m.bucket_log[symbols[:-1][inside] - m.first_bucket].sum()
+                of_doc.append((rid, len(words) + 1, logs.sum() + end_log, bucket_logs, int(near.sum()) + (ends > 0)))
             likely = m.likelihoods(texts) / np.log(10)
             d = list(zip(*of_doc, strict=True)) if of_doc else [[]] * 5
             none = [None] * len(of_doc)

@@ -134,3 +134,13 @@ def test_whole_texts_count(spark, monkeypatch):
 
 def test_threshold():
     assert 0.4 < best_threshold(np.array([0.1, 0.3, 0.6, 0.9]), np.array([0, 0, 1, 1])) < 0.5
+
+
+def test_known_words_are_bounded(spark, monkeypatch):
+    rows = [(bytearray(b"w%d" % i), c) for i, c in enumerate([100_000, 99_999, 70_000] + [5] * 40 + [3] * 30 + [1] * 100)]
+    df = spark.createDataFrame(rows, "word binary, c long")
+    for most, want in ((50, 43), (2, 2), (1000, 173), (42, 3)):
+        monkeypatch.setattr(hmm_lm, "KNOWN_WORDS", most)
+        got = hmm_lm._frequent(df)
+        assert len(got) == want and [r["c"] for r in got] == sorted((r["c"] for r in got), reverse=True)
+    assert hmm_lm._frequent(df.limit(0)) == []
