@@ -201,14 +201,16 @@ def _frequent(counts: DataFrame) -> list:
 
 
 def _first_model(counts: DataFrame) -> Model:
-    frequent = _frequent(counts.filter((F.col("word") != F.lit(END)) & (F.length("word") <= WORD_BYTES)))
+    short = counts.filter((F.col("word") != F.lit(END)) & (F.length("word") <= WORD_BYTES))
+    frequent = _frequent(short)
+    if len(frequent) < SYMBOL_WORDS:  # of the counts below, shared by too many words, the first words have symbols too
+        below = short.filter(F.col("c") < frequent[-1]["c"]) if frequent else short
+        frequent += below.orderBy(F.desc("c"), "word").limit(SYMBOL_WORDS - len(frequent)).collect()
     own = frequent[:SYMBOL_WORDS]
     known = [(bytes(r["word"]), r["c"]) for r in frequent]
     last = own[-1] if own else None
     # Below the last word with a symbol in the same order, or too long for one.
     rest = F.lit(True) if last is None else (F.length("word") > WORD_BYTES) | (F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > F.lit(bytearray(last["word"]))))
-    if len(own) < SYMBOL_WORDS:
-        rest = F.length("word") > WORD_BYTES
     sums, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.filter((F.col("word") != F.lit(END)) & rest).groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS)).alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         sums[r["b"]], kinds[r["b"]] = r["c"], r["v"]

@@ -79,6 +79,29 @@ def test_model_beats_words_alone_and_base_is_exact(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_shares_of_a_bucket_sum_to_one_with_many_tied_words(spark, monkeypatch):
+    from zlib import crc32
+
+    monkeypatch.setattr(hmm_lm, "SYMBOL_WORDS", 8)
+    monkeypatch.setattr(hmm_lm, "KNOWN_WORDS", 20)
+    monkeypatch.setattr(hmm_lm, "BUCKETS", 4)
+    c = {f"often{i}": 9 - i for i in range(5)} | {f"tied{i:03d}": 1 for i in range(100)}
+    words = [(w.encode(), n) for w, n in c.items()] + [(b"", 3)]
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in words], "word binary, c long")
+    m = hmm_lm._first_model(counts)
+    # The words of five counts, and the first three of the tied ones by name.
+    assert [w.decode() for w in m.known] == [f"often{i}" for i in range(5)] + [f"tied{i:03d}" for i in range(3)]
+    shares = np.zeros(4)
+    for w, n in words[:-1]:
+        if w not in m.known:
+            shares[crc32(w) % 4] += (n + 0.1) / 10 ** m.bucket_log[crc32(w) % 4]
+    kinds = np.bincount([crc32(w) % 4 for w, _ in words[:-1] if w not in m.known], minlength=4)
+    assert shares + 0.1 / 10**m.bucket_log == pytest.approx(np.ones(4)) and kinds.sum() == 97
+    # A probability has no positive logarithm.
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(w for w, n in c.items() for _ in range(n))], "doc_id long, text string")
+    assert all(r.score < 0 for r in score_texts(docs).collect())
+
+
 def toxic_docs(spark, n=300):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(200)]
