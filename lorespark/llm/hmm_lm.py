@@ -2,9 +2,9 @@
 
 The states emit symbols: the end of a text, each of the most frequent words, and hash buckets of all other words. A
 word in a bucket has its smoothed share of the bucket's count, so the model is a distribution over texts of any words,
-and its tables are bounded at any size of the corpus. Baum-Welch runs stepwise: every round counts transitions and
-emissions on training texts of its own, over all partitions, until all have been used; the counts are summed in two
-levels before the driver gets them. The scaled forward recursion gives the exact likelihood of a text.
+and its tables are bounded at any size of the corpus. Baum-Welch runs stepwise: the first rounds count transitions and
+emissions on some of the training texts, the last one on all of them, each with the same weight, and the model is
+estimated from that round's counts alone; the counts are summed in two levels before the driver gets them. The scaled forward recursion gives the exact likelihood of a text.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from lorespark.llm.shared import small_batches, text_or_empty, written
 STATES, BUCKETS = 8, 1024
 #: Words with symbols of their own; words whose counts every task knows (the others are joined); bytes of such a word.
 SYMBOL_WORDS, KNOWN_WORDS, WORD_BYTES = 8192, 1 << 17, 64
-#: Sixteenths of the training texts that each round of Baum-Welch counts, and what earlier rounds' counts keep.
-ROUNDS, KEEP = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16)), 0.2
+#: Sixteenths of the training texts that each round of Baum-Welch counts, and what earlier rounds' counts keep until the last.
+ROUNDS, KEEP = ((0, 1), (1, 2), (2, 4), (4, 6), (0, 16)), 0.2
 #: Words in one piece of a text while training; longer texts are scored in pieces that are then put together.
 PIECE = 256
 #: The word of the end of a text.
@@ -238,6 +238,8 @@ def fit(training: DataFrame, counts: DataFrame, seed: int = 11) -> Model:
         return np.concatenate([p.ravel() for p in parts]).tobytes()
 
     for low, high in ROUNDS:
+        if (low, high) == ROUNDS[-1]:
+            model.counts = None
         sent = _sent(training, model)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,6 +102,15 @@ def test_shares_of_a_bucket_sum_to_one_with_many_tied_words(spark, monkeypatch):
     assert all(r.score < 0 for r in score_texts(docs).collect())
 
 
+def test_the_model_is_estimated_from_all_training_texts_alike(spark):
+    docs = spark.createDataFrame([(i, i % 16, f"a b{i % 3} c") for i in range(160)], "id long, pick long, text string")
+    training = docs.select("pick", F.col("text").cast("binary").alias("text"))
+    m = hmm_lm.fit(training, hmm_lm.count_words(training.select("text")))
+    words = {w: m.counts[2][i + 1].sum() for w, i in m.known.items()}
+    assert words == pytest.approx({b"a": 160, b"c": 160, b"b0": 54, b"b1": 53, b"b2": 53})
+    assert m.counts[0].sum() == pytest.approx(160) and m.counts[2][0].sum() == pytest.approx(160)
+
+
 def toxic_docs(spark, n=300):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(200)]
