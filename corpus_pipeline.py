@@ -13,7 +13,7 @@ from lorespark.llm.line_dedup import line_dedup
 from lorespark.llm.mixing import apply_copies, mix_sources
 from lorespark.llm.packing import pack_documents
 from lorespark.llm.shared import WORD, written
-from lorespark.llm.simhash import near_duplicates
+from lorespark.llm.simhash import similar_texts
 from lorespark.llm.toxicity import score, train
 
 
@@ -32,8 +32,8 @@ def repeated_line_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def near_copy_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHashes of five-word shingles differ in at most four bits (a similarity of some 0.9) the one with the smallest id stays."""
-    gone = near_duplicates(docs, words=5, radius=4).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles the one with the smallest id stays."""
+    gone = similar_texts(docs, words=5, similarity=0.8).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -85,3 +85,32 @@ def test_odd_rows(odd_docs, no_docs):
     out = {(r.doc_id, r.component_id) for r in near_duplicates(odd_docs).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)} <= out and (None, None) in out
     assert near_duplicates(odd_docs).count() == odd_docs.count() and near_duplicates(no_docs).count() == 0
+
+
+def test_near_copies_of_any_similarity_from_0_8_leave_the_pipeline(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        t = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(100, 400)))]
+        rows.append((2 * i, t))
+        u = t[:]
+        for k in rng.choice(len(u), max(1, round(len(u) * float(rng.uniform(0.005, 0.035)))), replace=False):
+            u[k] = "other"
+        rows.append((2 * i + 1, u))
+    hub = [f"h{k}" for k in range(120)]
+    rows += [(200 + i, [*hub[:i], f"x{i}", *hub[i + 1 :]]) for i in range(60)]
+    rows += [(300, []), (301, []), (None, hub), (302, ["one"]), (302, ["two"])]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} or {tuple(t)} for _, t in rows]
+    label = list(range(len(rows)))
+    near = [[j for j in range(len(rows)) if len(a & sets[j]) >= 0.8 * len(a | sets[j])] for a in sets]
+    while (new := [min((label[j] for j in js), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)) for js in near]) != label:
+        label = new
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    out = simhash.similar_texts(df).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in out) == sorted((rows[k][0] or -1, rows[label[k]][0]) if rows[k][0] != 0 else (-1, 0) for k in range(len(rows)))
+    kept = {r.doc_id for r in corpus_pipeline.near_copy_removal(spark, df, "").collect()}
+    assert kept == {i for k, (i, _) in enumerate(rows) if i is not None and rows[label[k]][0] == i} | {None}
+    assert 5 < sum(label[2 * i + 1] != 2 * i for i in range(60)) < 55
