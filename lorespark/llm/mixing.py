@@ -3,7 +3,8 @@
 A source's share of words gives each of its documents the same expected number of copies. The whole part is sure; the
 fraction is rounded so that the words taken stay what they were: of two documents with fractions one gains words that
 the other loses, in a random direction that keeps both expectations, until one of them has a whole number of copies.
-Blocks of documents are folded so, and what is left of each block goes up a tree of blocks until one is left.
+Blocks of documents are folded so, large ones first, and what is left of each block goes up a tree of blocks until one
+document of the source is left, which alone is rounded to the nearer number.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.shared import WORD, let, text_or_empty, written
+from lorespark.llm.shared import WORD, let, spare, text_or_empty, written
 
 #: Documents in a block of the reduction tree, on average at the leaves and at most above.
-FAN_IN = 64
+FAN_IN = 512
 
 
 def word_count(name: str = "text") -> Column:
@@ -82,29 +83,15 @@ def _fold(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.size(items)), start, pair)
 
 
-def _closed(f: Column) -> Column:
-    """All items of a source's last block: its left one goes to the nearer end, then items flip, large ones first, where that brings the words taken nearer to the target."""
-    left = f["left"]
-    items = F.array_sort(F.concat(f["done"], F.array(F.struct(left["id"].alias("id"), left["size"].alias("size"), left["rows"].alias("rows"), F.when(left["p"] < 0.5, 0).otherwise(1).alias("up")))), lambda a, b: F.when(a["size"] != b["size"], F.sign(b["size"] - a["size"]).cast("int")).when(F.coalesce(a["id"], F.lit(0)) < F.coalesce(b["id"], F.lit(0)), -1).otherwise(1))
-
-    def step(state: Column, x: Column) -> Column:
-        change = F.when(x["up"] == 1, -1).otherwise(1) * x["size"] * x["rows"]
-        flip = F.abs(state["miss"] + change) < F.abs(state["miss"])
-        flipped = F.struct(x["id"].alias("id"), x["size"].alias("size"), x["rows"].alias("rows"), F.when(flip, 1 - x["up"]).otherwise(x["up"]).alias("up"))
-        return F.struct((state["miss"] + F.when(flip, change).otherwise(0)).alias("miss"), F.concat(state["all"], F.array(flipped)).alias("all"))
-
-    miss = (F.when(left["p"] < 0.5, 0.0).otherwise(1.0) - left["p"]) * left["words"]
-    return F.aggregate(items, F.struct(miss.alias("miss"), F.array().cast("array<struct<id:bigint,size:bigint,rows:bigint,up:int>>").alias("all")), step)["all"]
-
-
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, copies.
 
     size is the number of words; null and empty texts have none. A source's documents take share words of the total by
-    weight (sources in code-point order, null last), and the words taken miss its target by less than one document,
-    mostly by far less.
+    weight (sources in code-point order, null last). Every document but one of a source is expected to be taken as often
+    as the source's ratio says, and the words taken miss the target by no more than half of that one document.
     Rows that agree in id, source and size are taken together. Documents without words get the whole part of their
-    source's ratio. copies is at most ceil(most). The same rows and seed give the same copies. Ids are integers or null.
+    source's ratio. copies is at most ceil(most). The same rows and seed give the same copies. Ids are integers or
+    null. No rows give no rows; very long texts are counted whole; other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     units = written(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-units")
@@ -117,21 +104,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     block = F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("blocks"))
     level = dealt.filter(~clear).select("source", block.alias("block"), F.struct("id", "size", "rows", (F.col("size") * F.col("rows")).cast("double").alias("words"), "p").alias("item"))
     level = written(level, "mix-leaves")
-    # The first block of each source waits for what the others leave, so that the last step has small documents to choose from.
-    reserve, level = level.filter("block = 0"), level.filter("block > 0")
     done, n, blocks = [sure], 0, targets.agg(F.max("blocks")).first()[0] or 1
 
     def folded(level: DataFrame, n: int) -> DataFrame:
-        order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "item.id", "item.size").alias("at"), "item")))
+        # Large documents first, so that smaller ones are left to take up what they leave.
+        order = F.array_sort(F.collect_list(F.struct((-F.col("item.words")).alias("words"), F.xxhash64(F.lit(seed + 1), "item.id", "item.size").alias("at"), "item")))
         return written(level.groupBy("source", "block").agg(order.alias("items")).select("source", "block", _fold(F.transform("items", lambda x: x["item"]), seed, n).alias("f")), "mix-level")
 
-    while blocks > 1:
+    while True:
         out = folded(level, n)
         done.append(out.select("source", F.explode("f.done").alias("d")).select("d.id", "source", "d.size", "d.rows", "d.up"))
+        if blocks == 1:
+            break
         level = out.select("source", F.floor(F.col("block") / FAN_IN).alias("block"), F.col("f.left").alias("item"))
         n, blocks = n + 1, -(-blocks // FAN_IN)
-    top = folded(reserve.unionByName(level), n)
-    done.append(top.select("source", F.explode(_closed(F.col("f"))).alias("d")).select("d.id", "source", "d.size", "d.rows", "d.up"))
+    last = F.col("f.left")
+    done.append(out.select("source", last["id"].alias("id"), last["size"].alias("size"), last["rows"].alias("rows"), F.when(last["p"] < 0.5, 0).otherwise(1).alias("up")).select("id", "source", "size", "rows", "up"))
     ups = done[0]
     for d in done[1:]:
         ups = ups.unionByName(d)
@@ -140,9 +128,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def apply_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as mix_sources() says."""
-    key = ["id", "source", "size"]
-    times = mixed.select(F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct()
-    on = [F.col(id_col).eqNullSafe(F.col("__id")), F.col(source_col).eqNullSafe(F.col("__source")), word_count(text_col) == F.col("__size")]
-    joined = docs.join(times, on).filter("__copies > 0")
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+    """The rows of docs, each as often as mix_sources() says; columns may have any names."""
+    of, source, size, copies, n = spare(docs, "id_of", "source_of", "words", "copies", "copy")
+    times = mixed.select(F.col(id_col).cast("long").alias(of), F.col(source_col).alias(source), F.col("size").alias(size), F.col("copies").alias(copies)).distinct()
+    on = [F.col(id_col).eqNullSafe(F.col(of)), F.col(source_col).eqNullSafe(F.col(source)), word_count(text_col) == F.col(size)]
+    joined = docs.join(times, on).filter(F.col(copies) > 0)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(docs[c] for c in docs.columns))
