@@ -1,9 +1,11 @@
 """Line deduplication by winnowing over line hashes.
 
 A window is a run of non-blank lines with at least min_words words from which no end line can be spared. The smallest
-line hash of each window is a fingerprint of its document, so two documents that share a run of that length share a
-fingerprint at the same place of it. Fingerprint positions are joined; each match is extended both ways over the
-windows that the fingerprint stands for, and overlapping windows make up the whole repeated run. Later ones go.
+line hash of each window is selected, once for each line that it falls on, so two documents that share such a run have
+selected the same line of it: these positions are the fingerprints. They are joined on their hash; around every
+position that has met another, the match is extended to both sides, up to the ends of the windows that selected it.
+All members of a group are extended at once, each by its own lines, and told apart by what the extension adds, so a
+group costs as many rows as it has members. Overlapping matches make up a whole repeated run; later ones go.
 """
 
 from __future__ import annotations
@@ -11,15 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.shared import WORD, text_or_empty, written
+from lorespark.llm.shared import WORD, let, spare, text_or_empty, written
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _window_ends(lines: Column, min_words: int) -> Column:
-    """For an array of lines with words n: start * min_words + (end - start) of every window, once."""
+def _windows(lines: Column, min_words: int) -> Column:
+    """For an array of lines with words n: (left, right, place) of every window once, place being that of its least hash."""
 
     def ends(step: int):
         def at(j: Column) -> Column:
@@ -27,7 +29,8 @@ def _window_ends(lines: Column, min_words: int) -> Column:
             for k in range(min_words):
                 if k:
                     words = words + F.get(lines, j + step * k)["n"]
-                value = (j if step > 0 else j - k) * min_words + k
+                left, right = (j, j + k) if step > 0 else (j - k, j)
+                value = F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"))
                 end = F.when(words >= min_words, value) if end is None else end.when(words >= min_words, value)
             return end
 
@@ -35,25 +38,35 @@ def _window_ends(lines: Column, min_words: int) -> Column:
 
     every = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda j: j < F.size(lines))  # without lines, sequence(0, -1) counts down
     every = F.when(F.size(lines) > 0, every).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.filter(F.concat(F.transform(every, ends(1)), F.transform(every, ends(-1))), lambda x: x.isNotNull()))
+    found = F.array_distinct(F.filter(F.concat(F.transform(every, ends(1)), F.transform(every, ends(-1))), lambda x: x.isNotNull()))
+
+    def select(w: Column) -> Column:
+        least = let(F.transform(F.slice(lines, w["left"] + 1, w["right"] - w["left"] + 1), lambda x: x["h"]), lambda h: F.array_position(h, F.array_min(h)).cast("int") - 1)
+        return F.struct(w["left"].alias("left"), w["right"].alias("right"), F.when(w["left"] == w["right"], w["left"]).otherwise(w["left"] + least).alias("place"))
+
+    return F.transform(found, select)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4) -> DataFrame:
     """(id, text_hash, lines): for each document that has any, the positions of its lines that repeat an earlier run."""
     text = text_or_empty(text_col)
     line = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0)
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), line.alias("lines"))
-    windows = base.select("id", "text_hash", "lines", F.explode(_window_ends(F.col("lines"), min_words)).alias("w"))
-    start = F.floor(F.col("w") / min_words).cast("int")
-    part = F.slice("lines", start + 1, F.pmod("w", F.lit(min_words)).cast("int") + 1)
-    windows = windows.select("id", "text_hash", part.alias("part")).select(
-        "id", "text_hash", F.col("part.i").alias("at"), F.array_min("part.h").alias("fingerprint"), F.xxhash64("part.h").alias("ahead"), F.xxhash64("part.g").alias("around")
-    )
-    windows = written(windows, "line-windows")
+    base = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), line.alias("lines")).withColumn("windows", _windows(F.col("lines"), min_words)), "line-hashes")
+    doc = F.struct("id", "text_hash")
+    # Every selected position once, whatever the number of windows that selected it.
+    places = base.select("id", "text_hash", "lines", F.explode(F.array_distinct(F.transform("windows", lambda w: w["place"]))).alias("place"))
+    places = places.select("id", "text_hash", "place", F.get("lines", F.col("place"))["h"].alias("h"))
+    met = places.groupBy("h").agg(F.min(F.struct(doc, "place")).alias("a"), F.max(F.struct(doc, "place")).alias("b")).filter("a < b").select("h")
+    joined = places.join(written(met, "line-fingerprints"), "h", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("place").alias("places"))
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash"))
+    around = base.join(joined.withColumnsRenamed({"id": "of", "text_hash": "hash"}), same).select("id", "text_hash", "lines", F.explode(F.filter("windows", lambda w: F.array_contains("places", w["place"]))).alias("w"))
+    part = F.slice("lines", F.col("w.left") + 1, F.col("w.right") - F.col("w.left") + 1)
+    matches = around.select("id", "text_hash", "w", part.alias("part")).select("id", "text_hash", F.col("part.i").alias("at"), F.xxhash64("part.h").alias("ahead"), F.xxhash64("part.g").alias("around"), (F.col("w.place") - F.col("w.left")).alias("before"))
+    matches = written(matches, "line-matches")
     place = F.struct("id", "text_hash", F.col("at")[0].alias("line"))
-    key = ["fingerprint", "ahead", "around"]
-    first = written(windows.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "line-first")
-    later = windows.join(first, key).filter(place > F.col("first"))
+    key = ["ahead", "around", "before"]
+    first = written(matches.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last"), "line-first")
+    later = matches.join(first, key).filter(place > F.col("first"))
     return later.groupBy("id", "text_hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("lines"))
 
 
@@ -63,12 +76,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes when it lies in a run of consecutive non-blank lines, of min_words words or more together, that also
     stands earlier: in a document with a smaller id (null first; among equal ids by a hash of the text) or further up
     in the same one. Runs of fewer words and blank lines stay. Rows equal in id and text count as one document. Null
-    texts have one empty line and an empty clean text; no rows give no rows. Other columns are kept as they are.
+    texts have one empty line and an empty clean text; no rows give no rows. Very long texts are read whole: a row
+    holds its text's lines and their hashes. Other columns are kept as they are, whatever their names, but for n_lines,
+    deleted and clean, which are replaced.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__gone"))
+    of, hashed, gone = spare(docs, "id_of", "hash_of", "gone")
+    lost = repeated_lines(docs, id_col, text_col, min_words).select(F.col("id").alias(of), F.col("text_hash").alias(hashed), F.col("lines").alias(gone))
     text = text_or_empty(text_col)
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(hashed)), "left")
     lines = _lines(text)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     out = [docs[c] for c in docs.columns if c not in ("n_lines", "deleted", "clean")]
-    return joined.select(*out, F.size(lines).alias("n_lines"), F.coalesce(F.col("__gone"), F.array().cast("array<int>")).alias("deleted"), F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("clean"))
+    return joined.select(*out, F.size(lines).alias("n_lines"), F.coalesce(F.col(gone), F.array().cast("array<int>")).alias("deleted"), F.when(F.col(gone).isNull(), text).otherwise(F.array_join(left, "\n")).alias("clean"))

@@ -2,9 +2,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from lorespark.llm.exact_dedup import exact_dedup, update_state
+from lorespark.llm.exact_dedup import exact_dedup
 from lorespark.llm.line_dedup import line_dedup
-from lorespark.llm.shared import new_path, written
+from lorespark.llm.shared import new_path
 
 
 def brute(rows):
@@ -33,16 +33,42 @@ def test_equal_digests_of_different_texts_are_told_apart(spark):
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in weak.collect()), key=str) == brute(rows)
 
 
-def test_state_outlives_a_run(spark):
-    keys = spark.createDataFrame([("d1", 3, ~1, 1, "l1"), ("d1", 5, ~2, 2, "l2")], "digest string, n int, inverse_id long, id long, locator string")
-    folder = new_path(spark, "test-state")
-    table = written(keys, "test-keys")
-    first = update_state(table, folder).collect()
-    assert [(r.digest, r.copies, r.best.locator) for r in first] == [("d1", 2, "l2")]
-    source = table.inputFiles()[0].rsplit("/", 1)[0]
-    keys.limit(1).withColumn("n", F.lit(9)).withColumn("locator", F.lit("l3")).write.mode("append").parquet(source)
-    again = update_state(spark.read.schema(keys.schema).parquet(source), folder).collect()
-    assert [(r.digest, r.copies, r.best.locator) for r in again] == [("d1", 3, "l3")]
+def as_rows(df):
+    return sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect()), key=str)
+
+
+def test_calls_go_on_from_the_state_and_clashes_across_calls_are_told_apart(spark):
+    texts = [["aa", "x y", "bb"], ["a a", "xy", "cc", "x  y "], ["aa", "xy", "bb", "dd"]]
+    for weak in (None, lambda t: F.substring(t, 1, 0)):
+        folder, seen = new_path(spark, "test-state"), []
+        for n, part in enumerate(texts):
+            rows = [(10 * n + i, t) for i, t in enumerate(part)]
+            seen += rows
+            more = {} if weak is None else {"digest": weak}
+            out = as_rows(exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), state_folder=folder, **more))
+            assert out == [r for r in brute(seen) if r[0] in dict(rows)]
+
+
+def test_locators_of_earlier_calls_are_followed(spark):
+    import pytest
+
+    def docs(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    folder, where = new_path(spark, "test-state"), F.concat(F.lit("row "), F.col("doc_id"))
+    same = lambda t: F.lit("one digest")
+    first, second = [(1, "first text")], [(2, "other text"), (3, "firsttext")]
+    assert as_rows(exact_dedup(docs(first), locator=where, digest=same, state_folder=folder)) == brute(first)
+    asked = []
+
+    def fetch(wanted):
+        asked.extend(r.locator for r in wanted.collect())
+        return docs(first).select(where.alias("locator"), "text")
+
+    out = exact_dedup(docs(second), locator=where, digest=same, state_folder=folder, fetch=fetch)
+    assert as_rows(out) == [r for r in brute(first + second) if r[0] > 1] and asked == ["row 1"]
+    with pytest.raises(ValueError, match="fetch"):
+        exact_dedup(docs(second), locator=where, state_folder=folder)
 
 
 def brute_lines(docs, least):
@@ -80,3 +106,9 @@ def test_lines_of_odd_rows(odd_docs, no_docs):
     by = {r.doc_id: r for r in out}
     assert by[1].deleted == [] and by[2].deleted == [0, 1] and by[2].clean == "" and by[3].clean == "" and by[3].n_lines == 1
     assert by[2].kept == "x"  # other columns stay
+
+
+def test_lines_keep_columns_with_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d", 7, 8, 9), (2, "a b c d", 7, 8, 9)], "doc_id long, text string, id_of long, gone long, __hash long")
+    out = sorted(line_dedup(df).collect(), key=lambda r: r.doc_id)
+    assert [(r.deleted, r.id_of, r.gone, r["__hash"]) for r in out] == [([], 7, 8, 9), ([0], 7, 8, 9)]
