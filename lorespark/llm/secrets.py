@@ -1,13 +1,15 @@
 """Secret scans through a trigram inverted index.
 
 A Boolean trigram query is derived from the regular expression of each rule: an OR of alternatives, each an AND of
-trigrams that any match of it must hold. The index has a posting (trigram, document) for every trigram that some query
-asks for; intersecting the postings gives a rule's candidate documents, in which the expression itself is then
-searched. Rules from which no trigram follows are searched in every document.
+trigrams that any match of it must hold. Each text is read once for its trigrams; the index has a posting (trigram,
+document) for every one that some query asks for, and is kept as a table. Intersecting the postings gives a rule's
+candidate documents, in which the expression itself is then searched. Rules from which no trigram follows are searched
+in every document.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
@@ -80,6 +82,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((a for a in ands if not any(b < a for b in ands)), key=sorted)
 
 
+#: Spans that are put together before they are added to a text's list.
+_AT_ONCE = 256
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Array of (start, rank, end) of a rule's matches, in code points."""
     pattern = F.lit(rule.pattern)
@@ -91,15 +97,29 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         start = state["at"] + F.length(x["between"])
         end = start + F.length(x["found"])
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["held"]) >= rule.min_length, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        some = F.when(F.length(x["held"]) >= rule.min_length, F.concat(state["some"], span)).otherwise(state["some"])
+        full = F.size(some) >= _AT_ONCE
+        return F.struct(end.alias("at"), F.when(full, F.array().cast(kind)).otherwise(some).alias("some"), F.when(full, F.concat(state["all"], F.array(some))).otherwise(state["all"]).alias("all"))
 
     each = F.arrays_zip(found.alias("found"), F.slice(between, 1, F.size(found)).alias("between"), held.alias("held"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    return F.when(F.regexp_like(text, pattern), F.aggregate(each, start, step, lambda s: s["spans"])).otherwise(F.array().cast(kind))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("some"), F.array().cast(f"array<{kind}>").alias("all"))
+    return F.when(F.regexp_like(text, pattern), F.aggregate(each, start, step, lambda s: F.concat(F.flatten(s["all"]), s["some"]))).otherwise(F.array().cast(kind))
+
+
+def _any_of(trigrams: list[str]) -> str:
+    """An expression for any of the trigrams, with common beginnings written once."""
+    heads = {}
+    for t in sorted(trigrams):
+        heads.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    quoted = re.escape
+    return "|".join(f"{quoted(a)}(?:{'|'.join(f'{quoted(b)}(?:{"|".join(map(quoted, c))})' for b, c in more.items())})" for a, more in heads.items())
 
 
-def trigram_postings(scanned: DataFrame) -> DataFrame:
-    return scanned.select("id", "text_hash", F.explode("trigrams").alias("trigram"))
+def trigrams_of(text: Column, wanted: list[str]) -> Column:
+    """The distinct trigrams of text that are wanted, found in one pass over all its places."""
+    if not wanted:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_any_of(wanted)}))"), F.lit(1)))
 
 
 def candidates(postings: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
@@ -118,23 +138,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id, spans: an array of (kind, start, end), by start and then in the order of the rules.
 
     start and end count code points, end exclusive. Null texts count as empty and have no spans; no rows give no rows.
-    Rows that repeat an id are searched each in its own text. Other columns are not read.
+    Rows that repeat an id are searched each in its own text; very long texts are searched whole. Other columns are not
+    read, whatever their names.
     """
     text = text_or_empty(text_col)
-    low = F.lower(text)
     asked = {rank: trigram_query(r.pattern) for rank, r in enumerate(rules)}
     queries = {rank: q for rank, q in asked.items() if q is not None}
     trigrams = sorted({t for ands in queries.values() for a in ands for t in a})
     kind = "array<struct<start:int,rank:int,end:int>>"
     everywhere = F.concat(F.array().cast(kind), *(_spans(text, rules[rank], rank) for rank, q in asked.items() if q is None))
-    held = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    scanned = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), held.alias("trigrams"), everywhere.alias("spans")), "secret-index")
-    found = written(candidates(trigram_postings(scanned), queries), "secret-candidates")
-    verify = F.concat(F.array().cast(kind), *(F.when(F.array_contains("rules", rank), _spans(text, rules[rank], rank)).otherwise(F.array().cast(kind)) for rank in queries))
-    check = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias(text_col)).join(found, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("text_hash")))
+    # One row a document with its trigrams is both the list of documents and the index, whose postings are its exploded rows.
+    scanned = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), trigrams_of(F.lower(text), trigrams).alias("trigrams"), everywhere.alias("spans")), "secret-index")
+    postings = scanned.select("id", "text_hash", F.explode("trigrams").alias("trigram"))
+    found = written(candidates(postings, queries), "secret-candidates")
+    verify = F.concat(F.array().cast(kind), *(F.when(F.array_contains("rules", rank), _spans(F.col("text"), rules[rank], rank)).otherwise(F.array().cast(kind)) for rank in queries))
+    check = docs.select(F.col(id_col).alias("of"), F.xxhash64(text).alias("hash"), text.alias("text")).join(found, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")))
     verified = written(check.select("id", "text_hash", verify.alias("more")).filter("size(more) > 0").dropDuplicates(["id", "text_hash"]), "secret-verified")
-    more = verified.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "more")
-    joined = scanned.join(more, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    more = verified.select(F.col("id").alias("of"), F.col("text_hash").alias("hash"), "more")
+    joined = scanned.join(more, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")), "left")
     spans = F.array_sort(F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", F.col("more"))))
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     return joined.select(F.col("id").alias(id_col), F.transform(spans, lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))

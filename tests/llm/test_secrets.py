@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from lorespark.llm.queries import op4_secret_scan
-from lorespark.llm.secrets import BASE_RULES, MORE_RULES, scan_secrets, trigram_query
+from lorespark.llm.secrets import BASE_RULES, MORE_RULES, scan_secrets, trigram_query, trigrams_of
 
 
 def brute(text, more=False):
@@ -54,3 +54,13 @@ def test_trigram_queries():
     assert trigram_query("ab?cd") == [frozenset({"abc", "bcd"}), frozenset({"acd"})]
     assert trigram_query("[0-9a-f]{32,}") is None and trigram_query("(abc)?") is None
     assert trigram_query("abc.*def") == [frozenset({"abc", "def"})]
+
+
+def test_trigrams_of_a_text(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "tokentoken", "aaaa", "a.c|b", "漢字漢字漢", "xab\nabc"]
+    wanted = ["tok", "ken", "nto", "aaa", "a.c", "c|b", "漢字漢", "b\na", "abc", "zzz"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = {r.text: set(r.found) for r in df.select("text", trigrams_of(F.col("text"), wanted).alias("found")).collect()}
+    assert out == {t: {t[i : i + 3] for i in range(len(t) - 2)} & set(wanted) for t in texts}
