@@ -83,6 +83,30 @@ def test_islands_over_many_blocks(spark, monkeypatch):
     assert max(fill.values()) <= 2048 and len(fill) < 1.2 * least_bins(sizes, 2048)
 
 
+def test_crossover_beats_best_fit_decreasing():
+    from lorespark.llm.packing import best_fit, evolve
+
+    better = 0
+    for seed in range(12):
+        sizes = np.random.default_rng(seed).integers(300, 1100, 400)
+        greedy = len(best_fit(sizes, np.argsort(-sizes, kind="stable"), 2048).fill)
+        alone = evolve(sizes, [], 2048, seed)
+        assert alone.generations >= 1 and least_bins(sizes, 2048) <= len(alone.fill) <= greedy
+        better += len(alone.fill) < greedy
+    assert better
+
+
+def test_blocks_tell_what_the_genetic_part_gained(spark, monkeypatch):
+    from lorespark.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK", 40)
+    sizes = np.random.default_rng(3).integers(300, 2049, 200)
+    out = pack(spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "rid long, length long")).collect()
+    for block in {r.block for r in out if r.block is not None}:
+        rows = [r for r in out if r.block == block]
+        assert {r.bins for r in rows} == {len({r.sequence_id for r in rows})} and rows[0].bins <= rows[0].greedy_bins
+
+
 def test_mix_of_many_blocks(spark):
     rows = [(i, "w " * (i % 23 + 1), f"s{'ab' if i % 3 else 'c'}") for i in range(3000)] + [(9000, "w " * 5000, "sc")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
