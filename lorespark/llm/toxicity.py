@@ -2,7 +2,8 @@
 
 A word is the concatenation of two hashed embeddings, of the word and of its first bytes. Filters of several widths
 run over the words of the whole text; the maximum of each over the text feeds a logistic output, whose scale is
-calibrated on labelled rows that the filters were not fitted to. Those rows also set a threshold for each language.
+calibrated on labelled rows that the filters were not fitted to. The thresholds of the languages follow from the scores
+of all labelled rows outside the fold but those that the filters were fitted to.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from lorespark.llm.shared import small_batches, text_or_empty
+from lorespark.llm.shared import small_batches, spare, text_or_empty
 
 #: Labelled rows of each class that the classifier is fitted and calibrated on, at most: those with the least hashes.
 SAMPLE = 3000
 #: Share of the sample that calibrates.
 CALIBRATE = 0.2
+#: Steps in which scores are counted for the thresholds; rows, and toxic or other ones, that a language needs for its own.
+STEPS_OF_SCORE, LEAST_ROWS, LEAST_OF_CLASS = 1000, 30, 5
 WORD_BUCKETS, START_BUCKETS, START_BYTES, DIMENSION = 1 << 18, 1 << 16, 4, 6
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, STEPS, BATCH, RATE = 6, 1200, 32, 0.1
@@ -165,15 +168,14 @@ def calibrate(c: Classifier, raw: np.ndarray, labels: np.ndarray, weight: np.nda
         c.slope, c.offset = a, b
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the best range for F1, kept within 0.2 and 0.8."""
-    order = np.argsort(-scores)
-    s, y = scores[order], labels[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(f1.argmax())
-    below = s[k + 1] if k + 1 < len(s) else 0.0
-    return float(np.clip((s[k] + below) / 2, 0.2, 0.8))
+def best_threshold(counts: np.ndarray) -> float:
+    """The middle of the best range for F1, kept within 0.2 and 0.8, from counts (steps of score, 2) of clean and toxic rows."""
+    steps = len(counts)
+    toxic, every = (np.cumsum(c[::-1])[::-1] for c in (counts[:, 1], counts.sum(axis=1)))
+    f1 = np.where(every > 0, 2 * toxic / np.maximum(1, every + toxic[0]), 0)
+    k = steps - 1 - int(f1[::-1].argmax())
+    below = np.flatnonzero(counts[:k].sum(axis=1))
+    return float(np.clip((k + (below[-1] + 1 if len(below) else 0)) / 2 / steps, 0.2, 0.8))
 
 
 @dataclass
@@ -188,50 +190,61 @@ def _number(id_col: str, folds: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", folds: int = 5, sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most `sample` labelled rows of each class, of which those in fold 0 are never used.
+    """Fit on at most `sample` labelled rows of each class, and set thresholds by all labelled rows; those in fold 0 are never used.
 
     Rows without a label or an id, and labels other than 0 and 1, are left out; of labels that contradict each other
-    the larger counts. Without rows of both classes every score is 0.5 times the share of toxic labels or less.
+    the larger counts. Without rows of both classes every score is 0.5 times the share of toxic labels or less. Docs
+    without a language column, and null languages, count for the threshold of all languages together. Very long texts
+    are read whole, those of the sample by the driver. Columns may have any other names.
     """
     small_batches(docs.sparkSession)
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (_number(id_col, folds) != 0)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
-    rank = F.xxhash64(F.lit(5), "__id")
-    parts = [known.filter(F.col("__label") == y).orderBy(rank, "__id").limit(sample) for y in (0, 1)]
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (_number(id_col, folds) != 0)).groupBy(F.col(id_col).alias("of")).agg(F.max(label_col).cast("int").alias("label"))
+    rank = F.xxhash64(F.lit(5), "of")
+    parts = [known.filter(F.col("label") == y).orderBy(rank, "of").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample rows
-    counts = dict(known.groupBy("__label").count().collect())
+    counts = dict(known.groupBy("label").count().collect())
     language = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.join(chosen, F.col(id_col) == F.col("__id")).select("__id", "__label", language.alias("lang"), text_or_empty(text_col).alias("text")).collect()
-    rows = sorted({r["__id"]: r for r in rows}.values(), key=lambda r: r["__id"])
-    y = np.array([r["__label"] for r in rows], np.int64)
+    small = docs.select(F.col(id_col).alias("id"), language.alias("lang"), text_or_empty(text_col).alias("text"))
+    rows = small.join(chosen, F.col("id") == F.col("of")).select("id", "label", "text").collect()
+    rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
+    y = np.array([r["label"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         c = Classifier.blank()
         c.out[:] = 0
         c.offset = float(np.log((0.25 + y.sum()) / (0.75 + len(y) - y.sum()))) if len(y) == 0 or not y.any() else 3.0
         return ToxicityModel(c, {})
     texts = [r["text"].encode() for r in rows]
-    last = np.array([crc32(f"{r['__id']}/part".encode()) % 1000 < 1000 * CALIBRATE for r in rows])
+    last = np.array([crc32(f"{r['id']}/part".encode()) % 1000 < 1000 * CALIBRATE for r in rows])
     c = fit([t for t, x in zip(texts, last, strict=True) if not x], y[~last])
     held = last if len(set(y[last].tolist())) == 2 else np.ones(len(rows), bool)
     some = [t for t, x in zip(texts, held, strict=True) if x]
     of_class = np.bincount(y[held], minlength=2)
     weight = np.array([counts.get(k, 1) / of_class[k] for k in (0, 1)])[y[held]]
     calibrate(c, c.raw(some), y[held], weight / weight.mean())
-    scores, languages = c.scores(some), np.array([r["lang"] or "" for r, x in zip(rows, held, strict=True) if x])
-    every = best_threshold(scores, y[held])
-    enough = {k for k in set(languages.tolist()) if (languages == k).sum() >= 30 and 5 <= y[held][languages == k].sum() < (languages == k).sum()}
-    return ToxicityModel(c, {k: best_threshold(scores[languages == k], y[held][languages == k]) for k in sorted(enough)}, every)
+    fitted = docs.sparkSession.createDataFrame([(r["id"],) for r, x in zip(rows, held, strict=True) if not x], known.select("of").schema)  # at most 2 * sample rows
+    judged = small.join(known.join(F.broadcast(fitted), "of", "left_anti"), F.col("id") == F.col("of")).select("lang", "label", "text")
+    step = F.least(F.floor(F.col("score") * STEPS_OF_SCORE), F.lit(STEPS_OF_SCORE - 1)).cast("int")
+    histogram: dict[str | None, np.ndarray] = {}
+    # At most two rows for each step and language.
+    for r in score(judged, ToxicityModel(c, {}), "lang", "text").groupBy("lang", "label", step.alias("step")).count().collect():
+        for key in {r["lang"], ""}:
+            histogram.setdefault(key, np.zeros((STEPS_OF_SCORE, 2), np.int64))[r["step"], r["label"]] += r["count"]
+    every = histogram.pop("", np.zeros((STEPS_OF_SCORE, 2), np.int64))
+    enough = {k: h for k, h in histogram.items() if k is not None and h.sum() >= LEAST_ROWS and h.sum(axis=0).min() >= LEAST_OF_CLASS}
+    return ToxicityModel(c, {k: best_threshold(h) for k, h in sorted(enough.items())}, best_threshold(every) if every[:, 1].any() else 0.5)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs with score (0 to 1, of the text alone) and toxic: whether it reaches its language's threshold.
 
-    Null texts count as empty, and empty ones get the score of a text without words; unknown and null languages get
-    the threshold of all languages together. Rows that repeat a text have the same score; no rows give no rows.
-    Columns of docs called score or toxic are replaced.
+    Null texts count as empty, and empty ones get the score of a text without words; unknown, null and absent languages
+    get the threshold of all languages together. Rows that repeat a text have the same score; no rows give no rows.
+    Very long texts are read whole, in pieces. Columns of docs called score or toxic are replaced; others stay.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model.classifier))  # some 8 MB at any size of input
-    kept = [c for c in docs.columns if c not in ("score", "toxic", "__bytes")]
+    kept = [c for c in docs.columns if c not in ("score", "toxic")]
+    (as_bytes,) = spare(docs, "text_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(**sent.value)
@@ -240,9 +253,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             scores = np.concatenate([np.zeros(0), *(classifier.scores(texts[i : i + 100]) for i in range(0, len(texts), 100))])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], [*kept, "score"])
 
-    with_bytes = docs.select(*kept, text_or_empty(text_col).cast("binary").alias("__bytes"))
+    with_bytes = docs.select(*kept, text_or_empty(text_col).cast("binary").alias(as_bytes))
     out = with_bytes.mapInArrow(run, StructType([*docs.select(*kept).schema.fields]).add("score", DoubleType()))
     known = F.lit(model.other)
-    for language, t in model.thresholds.items():
-        known = F.when(F.col(lang_col) == language, t).otherwise(known)
+    if lang_col in kept:
+        for language, t in model.thresholds.items():
+            known = F.when(F.col(lang_col) == language, t).otherwise(known)
     return out.withColumn("toxic", F.col("score") >= known)

@@ -165,7 +165,108 @@ def test_whole_texts_count(spark, monkeypatch):
 
 
 def test_threshold():
-    assert 0.4 < best_threshold(np.array([0.1, 0.3, 0.6, 0.9]), np.array([0, 0, 1, 1])) < 0.5
+    def of(scores, labels, most=1000):
+        counts = np.zeros((most, 2), int)
+        np.add.at(counts, ((np.array(scores) * most).astype(int), labels), 1)
+        return best_threshold(counts)
+
+    assert 0.4 < of([0.1, 0.3, 0.6, 0.9], [0, 0, 1, 1]) < 0.5
+    assert of([0.1, 0.9], [0, 1]) == pytest.approx(0.5, abs=0.01) and of([0.05, 0.1], [1, 1]) == 0.2 and of([0.95, 0.99], [0, 1]) == 0.8
+    rng = np.random.default_rng(2)
+    for _ in range(20):  # no other threshold within the bounds has a higher F1
+        labels = rng.integers(0, 2, 60)
+        scores = np.clip(rng.normal(0.4 + 0.2 * labels, 0.1), 0.21, 0.79).round(2) + 0.0005
+        f1 = lambda t: 2 * (labels[scores >= t]).sum() / ((scores >= t).sum() + labels.sum())  # noqa: B023, E731
+        assert f1(of(scores, labels)) == pytest.approx(max(f1(t) for t in scores))
+
+
+def plain_maxima(c, text):
+    """Every filter at every word, in loops; the text is followed by blanks."""
+    from zlib import crc32
+
+    from lorespark.llm.toxicity import DIMENSION, FILTERS, START_BUCKETS, START_BYTES, WIDTHS, WORD_BUCKETS
+
+    words = text.lower().split()
+    x = [np.concatenate([c.word[crc32(w) % (WORD_BUCKETS - 1) + 1], c.start[crc32(w[:START_BYTES]) % (START_BUCKETS - 1) + 1]]) for w in words]
+    blank = np.concatenate([c.word[0], c.start[0]])
+    assert len(blank) == 2 * DIMENSION
+    out, at = [], 0
+    for n, width in enumerate(WIDTHS):
+        for f in range(FILTERS):
+            best = -np.inf
+            for i in range(len(words) + 1):
+                total = c.shift[n * FILTERS + f]
+                for k in range(width):
+                    total = total + (x[i + k] if i + k < len(words) else blank) @ c.kernel[:, (at + k) * FILTERS + f]
+                best = max(best, total)
+            out.append(max(best, 0))
+        at += width
+    return np.array(out)
+
+
+def test_pooled_equals_loops():
+    from lorespark.llm.toxicity import Classifier
+
+    c = Classifier.blank(3)
+    c.shift[:] = np.random.default_rng(1).normal(0, 0.1, len(c.shift))
+    texts = [b"", b"one", b"Two words", b"a b c d e f g h", b"long " * 40 + b"end"]
+    assert c.pooled(texts) == pytest.approx(np.stack([plain_maxima(c, t) for t in texts]), abs=1e-5)
+
+
+def test_gradients_equal_differences(monkeypatch):
+    from lorespark.llm import toxicity
+    from lorespark.llm.toxicity import BATCH, RATE, Classifier, features
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "STEPS", 0)
+    texts, labels = [b"calm words only here", b"a snarl of words", b"snarl", b"other words of calm"], np.array([0, 1, 1, 0])
+    assert len(texts) <= BATCH
+    before, after = Classifier.blank(1), fit(texts, labels)
+
+    def loss(c):
+        p = np.clip(1 / (1 + np.exp(-c.raw(texts))), 1e-12, 1 - 1e-12)
+        return float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean())  # both classes have half of the weight
+
+    def slope_of(a, at):
+        old, out = a[at], []
+        for d in (1e-2, -1e-2):
+            a[at] = old + d
+            out.append(loss(before))
+        a[at] = old
+        return (out[0] - out[1]) / 2e-2
+
+    def step_of(gradient):  # the first step of Adagrad
+        return -RATE * gradient / np.sqrt(1e-4 + gradient**2)
+
+    word, start, _ = features(texts)
+    for name, places in (("out", [(k,) for k in range(0, 24, 5)]), ("kernel", [(k, 3 * k) for k in range(10)]), ("shift", [(2,), (20,)]), ("word", [(int(word[8]), 0), (int(word[0]), 3)]), ("start", [(int(start[8]), 1)])):
+        for at in places:
+            moved = float(getattr(after, name)[at] - getattr(before, name)[at])
+            assert moved == pytest.approx(step_of(slope_of(getattr(before, name), at)), abs=0.02), (name, at)
+
+
+def test_toxicity_without_languages_and_with_clashing_names(spark):
+    all_ = toxic_docs(spark)
+    docs = all_.select("doc_id", "text", F.lit(1).alias("of"), F.lit(2).alias("label"), F.lit(3).alias("text_bytes"), F.lit(4).alias("__id"))
+    model = train(docs, all_.select("doc_id", "toxic", F.lit(0).alias("of"), F.lit("x").alias("label")))
+    assert model.thresholds == {}
+    out = score(docs, model).collect()
+    assert len(out) == 300 and all((r.of, r.label, r.text_bytes, r["__id"]) == (1, 2, 3, 4) for r in out)
+    named = train(all_.select("doc_id", "text", F.when(F.col("lang") == "en", "en").alias("lang")), all_.select("doc_id", "toxic"))
+    assert set(named.thresholds) == {"en"}
+    score(docs, named).collect()
+
+
+def test_thresholds_follow_all_labelled_rows(spark):
+    from lorespark.llm.toxicity import STEPS_OF_SCORE
+
+    all_ = toxic_docs(spark, 600)
+    docs, labels = all_.select("doc_id", "text", "lang"), all_.select("doc_id", "toxic")
+    model = train(docs, labels, sample=60)
+    # 60 rows of a class are sampled, a fifth of them calibrate, and every other labelled row outside the fold counts.
+    rows = [r for r in score(docs, model).join(labels.withColumnRenamed("toxic", "label"), "doc_id").collect() if __import__("zlib").crc32(str(r.doc_id).encode()) % 5]
+    f1 = lambda t: 2 * sum(r.label for r in rows if r.score >= t) / (sum(r.score >= t for r in rows) + sum(r.label for r in rows))
+    assert f1(model.other) >= max(f1(t / STEPS_OF_SCORE) for t in range(200, 801, 5)) - 0.02
 
 
 def test_known_words_are_bounded(spark, monkeypatch):
