@@ -2,9 +2,10 @@
 
 The states emit symbols: the end of a text, each of the most frequent words, and hash buckets of all other words. A
 word in a bucket has its smoothed share of the bucket's count, so the model is a distribution over texts of any words,
-and its tables are bounded at any size of the corpus. Baum-Welch runs stepwise: the first rounds count transitions and
-emissions on some of the training texts, the last one on all of them, each with the same weight, and the model is
-estimated from that round's counts alone; the counts are summed in two levels before the driver gets them. The scaled forward recursion gives the exact likelihood of a text.
+and its tables are bounded at any size of the corpus. Texts are turned into symbols once and written. Every round of
+Baum-Welch counts transitions and emissions over all training texts, whole ones: long texts are cut into stretches, whose
+ends get the forward and backward distributions of the whole text. The counts are summed in two levels before the driver
+gets them, and rounds go on until the likelihood settles. The scaled forward recursion gives a text's exact likelihood.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from lorespark.llm.shared import small_batches, text_or_empty, written
 STATES, BUCKETS = 8, 1024
 #: Words with symbols of their own; words whose counts every task knows (the others are joined); bytes of such a word.
 SYMBOL_WORDS, KNOWN_WORDS, WORD_BYTES = 8192, 1 << 17, 64
-#: Sixteenths of the training texts that each round of Baum-Welch counts, and what earlier rounds' counts keep until the last.
-ROUNDS, KEEP = ((0, 1), (1, 2), (2, 4), (4, 6), (0, 16)), 0.2
-#: Words in one piece of a text while training; longer texts are scored in pieces that are then put together.
-PIECE = 256
+#: Rounds of Baum-Welch at most, and the gain in natural logarithms a token under which they end.
+ROUNDS, SETTLED = 8, 0.004
+#: Steps of a long text that are taken at once: in training, where stretches meet in one symbol, and in scoring.
+STRETCH, PIECE = 1024, 256
+#: Places of a padded matrix of texts.
+_PLACES = 1 << 17
 #: The word of the end of a text.
 END = b""
 
@@ -84,10 +87,8 @@ class Model:
         return out, place
 
     def learn(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        """Add one round's expected counts to what is kept of the earlier ones, and estimate anew."""
-        new = [start, move, emit]
-        self.counts = new if self.counts is None else [KEEP * a + b for a, b in zip(self.counts, new, strict=True)]
-        start, move, emit = self.counts
+        """Estimate anew from expected counts, smoothed a little."""
+        self.counts = [start, move, emit]
         self.start = (start + 1) / (start + 1).sum()
         self.move = (move + 0.5) / (move + 0.5).sum(axis=1, keepdims=True)
         weight = 0.02 * emit.sum(axis=0) + 50
@@ -140,26 +141,68 @@ class Model:
             a = a / scale
         return float(total + np.log(a.sum()))
 
-    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of some texts: start, moves, emissions."""
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.share), STATES))
-        pieces = [(t[i : i + PIECE], i == 0) for t in texts for i in range(0, len(t), PIECE)]
+    def _stretches(self, text: np.ndarray) -> list[tuple]:
+        """A long text as (symbols, opens, forward, backward): each stretch begins with the last symbol of the one before.
+
+        forward is the distribution of the states at its first symbol, given all symbols so far; backward is in
+        proportion to the probability of all symbols after its last, given the state there.
+        """
+        starts = range(0, len(text) - 1, STRETCH)
+        *parts, last = (text[i : i + STRETCH + 1] for i in starts)
+        maps = []
+        for at in range(0, len(parts), 512):
+            body = np.stack(parts[at : at + 512])
+            m = np.broadcast_to(np.eye(STATES), (len(body), STATES, STATES))
+            for t in range(1, STRETCH + 1):
+                m = (m @ self.move) * self.emit[body[:, t]][:, None, :]
+                if t % 8 == 0:
+                    m = m / m.max(axis=(1, 2), keepdims=True)
+            maps.extend(m / m.max(axis=(1, 2), keepdims=True))
+        a = self.start * self.emit[text[0]]
+        forward = [a / a.sum()]
+        for m in maps:
+            a = forward[-1] @ m
+            forward.append(a / a.sum())
+        b = np.ones(STATES)
+        for x in last[:0:-1]:
+            b = self.move @ (self.emit[x] * b)
+            b /= b.sum()
+        backward = [None, b]
+        for m in maps[:0:-1]:
+            b = m @ backward[-1]
+            backward.append(b / b.sum())
+        return [(x, k == 0, f, b) for k, (x, f, b) in enumerate(zip([*parts, last], forward, backward[::-1], strict=True))]
+
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts of some whole texts: start, moves, emissions; their natural log likelihood."""
+        start, move, emit, likely = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.share), STATES)), 0.0
+        pieces = []
+        for text in texts:
+            pieces += [(text, True, None, None)] if len(text) <= STRETCH + 1 else self._stretches(text)
         pieces.sort(key=lambda p: -len(p[0]))
-        usual = np.linalg.matrix_power(self.move, 64)[0]
-        for k in range(0, len(pieces), 512):
-            chosen = pieces[k : k + 512]
+        while pieces:
+            n = max(1, min(512, _PLACES // len(pieces[0][0])))
+            chosen, pieces = pieces[:n], pieces[n:]
             x, active = _padded([p[0] for p in chosen])
-            opens = np.array([p[1] for p in chosen])
+            opens, lengths = np.array([p[1] for p in chosen]), np.array([len(p[0]) for p in chosen])
             steps, width = x.shape
             e = self.emit[x]
             a, scale = np.zeros((steps, width, STATES)), np.ones((steps, width))
             for t, n in enumerate(active):
-                now = np.where(opens[:, None], self.start, usual) * e[0] if t == 0 else (a[t - 1, :n] @ self.move) * e[t, :n]
+                now = self.start * e[0] if t == 0 else (a[t - 1, :n] @ self.move) * e[t, :n]
+                if t == 0 and not opens.all():
+                    now[~opens] = [p[2] for p in chosen if not p[1]]
                 scale[t, :n] = s = now.sum(axis=1)
                 a[t, :n] = now / s[:, None]
+            scale[0, ~opens] = 1
+            likely += float(np.log(scale).sum())
             b = np.ones((steps, width, STATES))
+            for i, p in enumerate(chosen):
+                if p[3] is not None:
+                    b[lengths[i] - 1, i] = p[3] / (a[lengths[i] - 1, i] @ p[3])
             e /= scale[:, :, None]
-            e *= (np.arange(steps)[:, None] < np.array([len(p[0]) for p in chosen]))[:, :, None]
+            real = np.arange(steps)[:, None] < lengths
+            e *= real[:, :, None]
             for t in range(steps - 2, -1, -1):
                 n = active[t + 1]
                 e[t + 1, :n] *= b[t + 1, :n]
@@ -167,11 +210,11 @@ class Model:
             move += self.move * (a[:-1].reshape(-1, STATES).T @ e[1:].reshape(-1, STATES))
             g = a * b
             start += g[0, opens].sum(axis=0)
-            real = np.arange(steps)[:, None] < np.array([len(p[0]) for p in chosen])
+            real[0, ~opens] = False  # counted as the last symbol of the stretch before
             flat, weight = x[real], g[real]
             for s in range(STATES):
                 emit[:, s] += np.bincount(flat, weight[:, s], minlength=len(emit))
-        return start, move, emit
+        return start, move, emit, likely
 
 
 def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
@@ -229,26 +272,22 @@ def _received(sent) -> Model:
     return m
 
 
-def fit(training: DataFrame, counts: DataFrame, seed: int = 11) -> Model:
-    """training: (pick, text binary), with pick a number from 0 to 15 that deals texts out to rounds."""
-    model = _first_model(counts)
-    shapes = ((STATES,), (STATES, STATES), (len(model.share), STATES))
-
-    def packed(parts) -> bytes:
-        return np.concatenate([p.ravel() for p in parts]).tobytes()
-
-    for low, high in ROUNDS:
-        if (low, high) == ROUNDS[-1]:
-            model.counts = None
+def fit(model: Model, training: DataFrame) -> list[float]:
+    """Baum-Welch over training, a frame with one binary column of symbols (unsigned 16-bit); the log likelihood a token of each round."""
+    shapes = ((STATES,), (STATES, STATES), (len(model.share), STATES), (2,))
+    gained: list[float] = []
+    while len(gained) < ROUNDS and (len(gained) < 2 or gained[-1] - gained[-2] >= SETTLED):
         sent = _sent(training, model)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, total = _received(sent), None  # noqa: B023
             for b in batches:
-                found = m.expected([m.symbols(words_of(x.as_buffer().to_pybytes()))[0] for x in b.column(0)])
+                texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(0)]
+                *found, likely = m.expected(texts)
+                found.append(np.array([likely, sum(map(len, texts))]))
                 total = found if total is None else [x + y for x, y in zip(total, found, strict=True)]
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], ["counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([p.ravel() for p in total]).tobytes()])], ["counts"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -259,14 +298,15 @@ def fit(training: DataFrame, counts: DataFrame, seed: int = 11) -> Model:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
 
-        each = training.filter((F.col("pick") >= low) & (F.col("pick") < high)).select("text").mapInArrow(count, "counts binary")
-        rows = each.repartition(12).mapInArrow(add, "counts binary").collect()  # 12 rows of one size at most
-        if rows:
-            total = sum(np.frombuffer(r["counts"]) for r in rows)
-            cuts = np.cumsum([np.prod(s) for s in shapes])[:-1]
-            model.learn(*(p.reshape(s) for p, s in zip(np.split(total, cuts), shapes, strict=True)))
+        rows = training.mapInArrow(count, "counts binary").repartition(12).mapInArrow(add, "counts binary").collect()  # 12 rows of one size at most
         sent.unpersist()
-    return model
+        if not rows:
+            break
+        total = sum(np.frombuffer(r["counts"]) for r in rows)
+        *parts, (likely, tokens) = (p.reshape(s) for p, s in zip(np.split(total, np.cumsum([np.prod(s) for s in shapes])[:-1]), shapes, strict=True))
+        model.learn(*parts)
+        gained.append(likely / tokens)
+    return gained
 
 
 def held_out(id_col: str) -> Column:
@@ -279,56 +319,60 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The model learns from the rows whose crc32 of the id as text is not 0 modulo 10 (a null id counts as an empty
     one). Null texts count as empty: one token, the end. Scores are base-10 logarithms. Rows that repeat an id or a
     text are scored and counted each. Without training rows every base score is 0 per token; no rows give no rows.
-    Other columns are not read.
+    Very long texts are trained on and scored whole, in stretches. Other columns are not read, whatever their names.
     """
-    small_batches(docs.sparkSession, 500)
+    spark = docs.sparkSession
+    small_batches(spark, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), text_or_empty(text_col).cast("binary").alias("text"))
-    training = rows.filter(~F.col("held"))
-    counts = written(count_words(training.select("text")), "word-counts")
+    counts = written(count_words(rows.filter(~F.col("held")).select("text")), "word-counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = fit(training.select(F.pmod(F.xxhash64(F.lit(23), "id", F.length("text")), F.lit(16)).alias("pick"), "text"), counts)
+    model = _first_model(counts)
     ends = (counts.filter(F.col("word") == F.lit(END)).select("c").collect() or [{"c": 0}])[0]["c"]
     sent = _sent(docs, model)
     end_log = float(np.log10(ends + 0.1))
-    kind = "id long, held boolean, rid long, n long, local double, buckets double, symbols double, known long, word binary, times long"
-    names = ["id", "held", "rid", "n", "local", "buckets", "symbols", "known", "word", "times"]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64()]
+    names = ["id", "held", "rid", "n", "local", "buckets", "known", "symbols", "rare"]
+    far_type = pa.struct([("word", pa.binary()), ("times", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _received(sent)
         for b in batches:
-            texts, of_doc, rare = [], [], []
-            for rid, x in zip(b.column("rid").to_pylist(), b.column("text"), strict=True):
+            of_doc, starts, words_far, times_far = [], [0], [], []
+            for x in b.column("text"):
                 words = words_of(x.as_buffer().to_pybytes())
                 symbols, place = m.symbols(words)
-                texts.append(symbols)
                 far = Counter([words[i] for i in np.flatnonzero(place < 0).tolist()])
-                rare += [(rid, w, n) for w, n in far.items()]
+                words_far.extend(far.keys())
+                times_far.extend(far.values())
+                starts.append(len(words_far))
                 near = place >= 0
                 logs = m.log_of[place[near]]
                 inside = symbols[:-1] >= m.first_bucket
                 bucket_logs = logs[inside[near]].sum() - m.bucket_log[symbols[:-1][inside] - m.first_bucket].sum()
-                of_doc.append((rid, len(words) + 1, logs.sum() + end_log, bucket_logs, int(near.sum()) + (ends > 0)))
-            likely = m.likelihoods(texts) / np.log(10)
+                of_doc.append((len(words) + 1, logs.sum() + end_log, bucket_logs, int(near.sum()) + (ends > 0), symbols.astype(np.uint16).tobytes()))
             d = list(zip(*of_doc, strict=True)) if of_doc else [[]] * 5
-            none = [None] * len(of_doc)
-            columns = [pa.array(c, t) for c, t in zip((d[0], d[1], d[2], d[3], likely, d[4], none, none), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held"), *columns], names)
-            for k in range(0, len(rare), 50_000):
-                r = list(zip(*rare[k : k + 50_000], strict=True))
-                none = [None] * len(r[0])
-                columns = [pa.array(c, t) for c, t in zip((r[0], none, none, none, none, none, r[1], r[2]), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(r[0]), pa.int64()), pa.nulls(len(r[0]), pa.bool_()), *columns], names)
-
-    numbered = written(rows.select("id", "held", F.monotonically_increasing_id().alias("rid"), "text").mapInArrow(run, kind), "scored")
-    rare = numbered.filter("word is not null").select("rid", "word", "times")
+            columns = [pa.array(c, t) for c, t in zip(d, (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary()), strict=True)]
+            rare = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays([pa.array(words_far, pa.binary()), pa.array(times_far, pa.int64())], fields=list(far_type)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held"), b.column("rid"), *columns, rare], names)
+
+    kind = "id long, held boolean, rid long, n long, local double, buckets double, known long, symbols binary, rare array<struct<word: binary, times: long>>"
+    coded = written(rows.select("id", "held", F.monotonically_increasing_id().alias("rid"), "text").mapInArrow(encode, kind), "encoded")
+    sent.unpersist()
+    fit(model, coded.filter(~F.col("held")).select("symbols"))
+    final = _sent(docs, model)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _received(final)
+        for b in batches:
+            found = m.likelihoods([np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(b.num_columns - 1)]) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], [*names[:-2], "likely"])
+
+    scored = coded.select(*names[:-1]).mapInArrow(likely, "id long, held boolean, rid long, n long, local double, buckets double, known long, likely double")
+    rare = coded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times")
     met = rare.join(counts, "word", "left").select("rid", (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("far"), F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).alias("met"))
     sums = met.groupBy("rid").agg(F.sum("far").alias("far"), F.sum("met").alias("met"))
-    out = numbered.filter("word is null").drop("word", "times").join(sums, "rid", "left")
     far = F.coalesce("far", F.lit(0.0))
     floor = float(np.log10(tokens + 0.1 * (kinds + 1)))
-    return out.select(
+    return scored.join(sums, "rid", "left").select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("local") + far - F.col("n") * floor).alias("base_score"), (F.col("symbols") + F.col("buckets") + far).alias("score"),
+        (F.col("local") + far - F.col("n") * floor).alias("base_score"), (F.col("likely") + F.col("buckets") + far).alias("score"),
     )
-

@@ -43,7 +43,25 @@ def test_forward_recursion_and_counts_equal_the_sum_over_all_paths(three_states)
     texts = [np.array(x, np.int32) for x in ([0], [1, 0], [2, 3, 4, 0], [5, 5, 1, 2, 0], [1, 2, 3, 4, 5, 1, 0])]
     every = [paths(m, t) for t in texts]
     assert m.likelihoods(texts) == pytest.approx([np.log(e[0]) for e in every])
-    for got, want in zip(m.expected(texts), (sum(e[i] for e in every) for i in (1, 2, 3)), strict=True):
+    *counts, likely = m.expected(texts)
+    assert likely == pytest.approx(sum(np.log(e[0]) for e in every))
+    for got, want in zip(counts, (sum(e[i] for e in every) for i in (1, 2, 3)), strict=True):
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("places", [1 << 17, 40])
+def test_counts_of_stretches_are_those_of_whole_texts(three_states, monkeypatch, places):
+    rng, m = np.random.default_rng(5), small_model()
+    texts = [rng.integers(0, 6, n).astype(np.uint16) for n in (1, 2, 7, 8, 9, 15, 16, 33, 100)]
+    whole = m.expected(texts)
+    monkeypatch.setattr(hmm_lm, "_PLACES", places)
+    for stretch in (1, 2, 7, 8, 99):
+        monkeypatch.setattr(hmm_lm, "STRETCH", stretch)
+        for got, want in zip(m.expected(texts), whole, strict=True):
+            assert got == pytest.approx(want)
+    short = [paths(m, t) for t in texts[:4]]
+    monkeypatch.setattr(hmm_lm, "STRETCH", 3)
+    for got, want in zip(m.expected(texts[:4])[:3], (sum(e[i] for e in short) for i in (1, 2, 3)), strict=True):
         assert got == pytest.approx(want)
 
 
@@ -103,9 +121,12 @@ def test_shares_of_a_bucket_sum_to_one_with_many_tied_words(spark, monkeypatch):
 
 
 def test_the_model_is_estimated_from_all_training_texts_alike(spark):
-    docs = spark.createDataFrame([(i, i % 16, f"a b{i % 3} c") for i in range(160)], "id long, pick long, text string")
-    training = docs.select("pick", F.col("text").cast("binary").alias("text"))
-    m = hmm_lm.fit(training, hmm_lm.count_words(training.select("text")))
+    texts = [f"a b{i % 3} c" for i in range(160)]
+    training = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary")
+    m = hmm_lm._first_model(hmm_lm.count_words(training))
+    coded = spark.createDataFrame([(bytearray(m.symbols(t.encode().split())[0].astype(np.uint16).tobytes()),) for t in texts], "symbols binary")
+    gained = hmm_lm.fit(m, coded)
+    assert len(gained) >= 2 and all(b >= a - 1e-3 for a, b in zip(gained, gained[1:], strict=False))
     words = {w: m.counts[2][i + 1].sum() for w, i in m.known.items()}
     assert words == pytest.approx({b"a": 160, b"c": 160, b"b0": 54, b"b1": 53, b"b2": 53})
     assert m.counts[0].sum() == pytest.approx(160) and m.counts[2][0].sum() == pytest.approx(160)
