@@ -26,9 +26,9 @@ STATES, BUCKETS = 8, 1024
 #: Words with symbols of their own; words whose counts every task knows (the others are joined); bytes of such a word.
 SYMBOL_WORDS, KNOWN_WORDS, WORD_BYTES = 8192, 1 << 17, 64
 #: Rounds of Baum-Welch at most, and the gain in natural logarithms a token under which they end.
-ROUNDS, SETTLED = 8, 0.004
-#: Steps of a long text that are taken at once: in training, where stretches meet in one symbol, and in scoring.
-STRETCH, PIECE = 1024, 256
+ROUNDS, SETTLED = 5, 0.004
+#: Steps of a long text that are taken at once; stretches meet in one symbol.
+STRETCH = 512
 #: Places of a padded matrix of texts.
 _PLACES = 1 << 17
 #: The word of the end of a text.
@@ -97,112 +97,86 @@ class Model:
     def likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural logarithms, by the scaled forward recursion."""
         out = np.zeros(len(texts))
-        short = [i for i, t in enumerate(texts) if len(t) <= 4 * PIECE]
-        short.sort(key=lambda i: -len(texts[i]))
-        for k in range(0, len(short), 256):
-            chosen = short[k : k + 256]
-            x, active = _padded([texts[i] for i in chosen])
-            a = self.start * self.emit[x[0]]
-            total = np.zeros(len(chosen))
-            for t, n in enumerate(active):
-                if t:
-                    a = (a[:n] @ self.move) * self.emit[x[t, :n]]
-                s = a.sum(axis=1)
-                a /= s[:, None]
-                total[:n] += np.log(s)
-            out[chosen] = total
-        for i, t in enumerate(texts):
-            if len(t) > 4 * PIECE:
-                out[i] = self._long(t)
+        for chosen, _, _, _, scale in self._forward(texts):
+            np.add.at(out, [p[4] for p in chosen], np.log(scale).sum(axis=0))
         return out
 
-    def _long(self, text: np.ndarray) -> float:
-        """A long text in pieces: each maps any distribution at its start to one at its end, and these maps are applied in turn."""
-        first, rest = text[0], text[1:]
-        n = len(rest) // PIECE
-        body = rest[: n * PIECE].reshape(n, PIECE)
-        total, a = 0.0, self.start * self.emit[first]
-        for at in range(0, n, 512):
-            part = body[at : at + 512]
-            maps = np.broadcast_to(np.eye(STATES), (len(part), STATES, STATES))
-            logs = np.zeros(len(part))
-            for t in range(PIECE):
-                maps = (maps @ self.move) * self.emit[part[:, t]][:, None, :]
-                s = maps.max(axis=(1, 2))
-                maps = maps / s[:, None, None]
-                logs += np.log(s)
-            for m, s in zip(maps, logs, strict=True):
-                a = a @ m
-                total += s + np.log(scale := a.sum())
-                a = a / scale
-        for x in rest[n * PIECE :]:
-            a = (a @ self.move) * self.emit[x]
-            total += np.log(scale := a.sum())
-            a = a / scale
-        return float(total + np.log(a.sum()))
-
-    def _stretches(self, text: np.ndarray) -> list[tuple]:
-        """A long text as (symbols, opens, forward, backward): each stretch begins with the last symbol of the one before.
+    def _stretches(self, texts: list[np.ndarray], long: list[int]) -> list[tuple]:
+        """The texts at those places as (symbols, opens, forward, backward, place): each stretch begins with the last symbol of the one before.
 
         forward is the distribution of the states at its first symbol, given all symbols so far; backward is in
         proportion to the probability of all symbols after its last, given the state there.
         """
-        starts = range(0, len(text) - 1, STRETCH)
-        *parts, last = (text[i : i + STRETCH + 1] for i in starts)
-        maps = []
-        for at in range(0, len(parts), 512):
-            body = np.stack(parts[at : at + 512])
-            m = np.broadcast_to(np.eye(STATES), (len(body), STATES, STATES))
+        if not long:
+            return []
+        cut = [[t[i : i + STRETCH + 1] for i in range(0, len(t) - 1, STRETCH)] for t in (texts[k] for k in long)]
+        full = [x for parts in cut for x in parts[:-1]]
+        maps = np.empty((len(full), STATES, STATES))
+        for at in range(0, len(full), 1024):
+            body = np.stack(full[at : at + 1024])
+            m = np.tile(np.eye(STATES), (len(body), 1, 1))
             for t in range(1, STRETCH + 1):
-                m = (m @ self.move) * self.emit[body[:, t]][:, None, :]
+                m = (m.reshape(-1, STATES) @ self.move).reshape(m.shape)
+                m *= self.emit[body[:, t]][:, None, :]
                 if t % 8 == 0:
-                    m = m / m.max(axis=(1, 2), keepdims=True)
-            maps.extend(m / m.max(axis=(1, 2), keepdims=True))
-        a = self.start * self.emit[text[0]]
-        forward = [a / a.sum()]
-        for m in maps:
-            a = forward[-1] @ m
-            forward.append(a / a.sum())
-        b = np.ones(STATES)
-        for x in last[:0:-1]:
-            b = self.move @ (self.emit[x] * b)
-            b /= b.sum()
-        backward = [None, b]
-        for m in maps[:0:-1]:
-            b = m @ backward[-1]
-            backward.append(b / b.sum())
-        return [(x, k == 0, f, b) for k, (x, f, b) in enumerate(zip([*parts, last], forward, backward[::-1], strict=True))]
+                    m /= m.max(axis=(1, 2), keepdims=True)
+            maps[at : at + 1024] = m / m.max(axis=(1, 2), keepdims=True)
+        # From the end of each text back to where its last stretch begins.
+        order = sorted(range(len(long)), key=lambda i: -len(cut[i][-1]))
+        x, active = _padded([cut[i][-1][:0:-1] for i in order])
+        back = np.ones((len(long), STATES))
+        for t, n in enumerate(active):
+            b = (self.emit[x[t, :n]] * back[:n]) @ self.move.T
+            back[:n] = b / b.sum(axis=1, keepdims=True)
+        out, at = [], 0
+        for i, parts in enumerate(cut):
+            own = maps[at : at + len(parts) - 1]
+            at += len(parts) - 1
+            a = self.start * self.emit[parts[0][0]]
+            forward, backward = [a / a.sum()], [None, back[order.index(i)]]
+            for m in own:
+                a = forward[-1] @ m
+                forward.append(a / a.sum())
+            for m in own[:0:-1]:
+                b = m @ backward[-1]
+                backward.append(b / b.sum())
+            out += [(x, k == 0, f, b, long[i]) for k, (x, f, b) in enumerate(zip(parts, forward, backward[::-1], strict=True))]
+        return out
 
-    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts of some whole texts: start, moves, emissions; their natural log likelihood."""
-        start, move, emit, likely = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.share), STATES)), 0.0
-        pieces = []
-        for text in texts:
-            pieces += [(text, True, None, None)] if len(text) <= STRETCH + 1 else self._stretches(text)
+    def _forward(self, texts: list[np.ndarray]) -> Iterator[tuple]:
+        """Pieces of whole texts in groups of much the same length, with their symbols, how many reach each step, forward distributions and scales."""
+        short, long = ([i for i, t in enumerate(texts) if (len(t) > STRETCH + 1) == k] for k in (False, True))
+        pieces = [(texts[i], True, None, None, i) for i in short] + self._stretches(texts, long)
         pieces.sort(key=lambda p: -len(p[0]))
         while pieces:
             n = max(1, min(512, _PLACES // len(pieces[0][0])))
             chosen, pieces = pieces[:n], pieces[n:]
             x, active = _padded([p[0] for p in chosen])
-            opens, lengths = np.array([p[1] for p in chosen]), np.array([len(p[0]) for p in chosen])
-            steps, width = x.shape
-            e = self.emit[x]
-            a, scale = np.zeros((steps, width, STATES)), np.ones((steps, width))
+            goes_on = np.array([not p[1] for p in chosen])
+            a, scale = np.zeros((*x.shape, STATES)), np.ones(x.shape)
             for t, n in enumerate(active):
-                now = self.start * e[0] if t == 0 else (a[t - 1, :n] @ self.move) * e[t, :n]
-                if t == 0 and not opens.all():
-                    now[~opens] = [p[2] for p in chosen if not p[1]]
+                now = self.emit[x[t, :n]]
+                now *= a[t - 1, :n] @ self.move if t else self.start
+                if t == 0 and goes_on.any():
+                    now[goes_on] = [p[2] for p in chosen if not p[1]]
                 scale[t, :n] = s = now.sum(axis=1)
-                a[t, :n] = now / s[:, None]
-            scale[0, ~opens] = 1
+                np.divide(now, s[:, None], out=a[t, :n])
+            scale[0, goes_on] = 1
+            yield chosen, x, active, a, scale
+
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts of some whole texts: start, moves, emissions; their natural log likelihood."""
+        start, move, emit, likely = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.share), STATES)), 0.0
+        for chosen, x, active, a, scale in self._forward(texts):
             likely += float(np.log(scale).sum())
+            (steps, width), lengths, opens = x.shape, np.array([len(p[0]) for p in chosen]), np.array([p[1] for p in chosen])
+            real = np.arange(steps)[:, None] < lengths
+            e = self.emit[x]
+            e *= (real / scale)[:, :, None]
             b = np.ones((steps, width, STATES))
             for i, p in enumerate(chosen):
                 if p[3] is not None:
                     b[lengths[i] - 1, i] = p[3] / (a[lengths[i] - 1, i] @ p[3])
-            e /= scale[:, :, None]
-            real = np.arange(steps)[:, None] < lengths
-            e *= real[:, :, None]
             for t in range(steps - 2, -1, -1):
                 n = active[t + 1]
                 e[t + 1, :n] *= b[t + 1, :n]

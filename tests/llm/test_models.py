@@ -69,7 +69,7 @@ def test_long_texts_in_pieces_equal_one_pass(three_states, monkeypatch):
     m = small_model()
     x = np.random.default_rng(2).integers(0, 6, 5000).astype(np.int32)
     pieces = m.likelihoods([x])
-    monkeypatch.setattr(hmm_lm, "PIECE", 5000)
+    monkeypatch.setattr(hmm_lm, "STRETCH", 5000)
     assert m.likelihoods([x]) == pytest.approx(pieces)
 
 
