@@ -26,11 +26,11 @@ STATES, BUCKETS = 8, 1024
 #: Words with symbols of their own; words whose counts every task knows (the others are joined); bytes of such a word.
 SYMBOL_WORDS, KNOWN_WORDS, WORD_BYTES = 8192, 1 << 17, 64
 #: Rounds of Baum-Welch at most, and the gain in natural logarithms a token under which they end.
-ROUNDS, SETTLED = 5, 0.004
+ROUNDS, SETTLED = 4, 0.004
 #: Steps of a long text that are taken at once; stretches meet in one symbol.
 STRETCH = 512
-#: Places of a padded matrix of texts.
-_PLACES = 1 << 17
+#: Places of a padded matrix of texts; numbers of the distributions in training (scores have double precision, sums as well).
+_PLACES, _NUMBERS = 1 << 17, np.float32
 #: The word of the end of a text.
 END = b""
 
@@ -114,13 +114,13 @@ class Model:
         maps = np.empty((len(full), STATES, STATES))
         for at in range(0, len(full), 1024):
             body = np.stack(full[at : at + 1024])
-            m = np.tile(np.eye(STATES), (len(body), 1, 1))
+            m = np.repeat(np.eye(STATES)[:, None, :], len(body), axis=1)  # state before, text, state after
             for t in range(1, STRETCH + 1):
                 m = (m.reshape(-1, STATES) @ self.move).reshape(m.shape)
-                m *= self.emit[body[:, t]][:, None, :]
+                m *= self.emit[body[:, t]]
                 if t % 8 == 0:
-                    m /= m.max(axis=(1, 2), keepdims=True)
-            maps[at : at + 1024] = m / m.max(axis=(1, 2), keepdims=True)
+                    m /= m.max(axis=(0, 2))[:, None]
+            maps[at : at + 1024] = (m / m.max(axis=(0, 2))[:, None]).transpose(1, 0, 2)
         # From the end of each text back to where its last stretch begins.
         order = sorted(range(len(long)), key=lambda i: -len(cut[i][-1]))
         x, active = _padded([cut[i][-1][:0:-1] for i in order])
@@ -143,20 +143,21 @@ class Model:
             out += [(x, k == 0, f, b, long[i]) for k, (x, f, b) in enumerate(zip(parts, forward, backward[::-1], strict=True))]
         return out
 
-    def _forward(self, texts: list[np.ndarray]) -> Iterator[tuple]:
+    def _forward(self, texts: list[np.ndarray], numbers: type = np.float64) -> Iterator[tuple]:
         """Pieces of whole texts in groups of much the same length, with their symbols, how many reach each step, forward distributions and scales."""
         short, long = ([i for i, t in enumerate(texts) if (len(t) > STRETCH + 1) == k] for k in (False, True))
         pieces = [(texts[i], True, None, None, i) for i in short] + self._stretches(texts, long)
         pieces.sort(key=lambda p: -len(p[0]))
+        start, move, emit = (x.astype(numbers) for x in (self.start, self.move, self.emit))
         while pieces:
             n = max(1, min(512, _PLACES // len(pieces[0][0])))
             chosen, pieces = pieces[:n], pieces[n:]
             x, active = _padded([p[0] for p in chosen])
             goes_on = np.array([not p[1] for p in chosen])
-            a, scale = np.zeros((*x.shape, STATES)), np.ones(x.shape)
+            a, scale = np.zeros((*x.shape, STATES), numbers), np.ones(x.shape, numbers)
             for t, n in enumerate(active):
-                now = self.emit[x[t, :n]]
-                now *= a[t - 1, :n] @ self.move if t else self.start
+                now = emit[x[t, :n]]
+                now *= a[t - 1, :n] @ move if t else start
                 if t == 0 and goes_on.any():
                     now[goes_on] = [p[2] for p in chosen if not p[1]]
                 scale[t, :n] = s = now.sum(axis=1)
@@ -167,27 +168,28 @@ class Model:
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch counts of some whole texts: start, moves, emissions; their natural log likelihood."""
         start, move, emit, likely = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(self.share), STATES)), 0.0
-        for chosen, x, active, a, scale in self._forward(texts):
-            likely += float(np.log(scale).sum())
+        emissions, back = self.emit.astype(_NUMBERS), self.move.T.astype(_NUMBERS)
+        for chosen, x, active, a, scale in self._forward(texts, _NUMBERS):
+            likely += float(np.log(scale).sum(dtype=float))
             (steps, width), lengths, opens = x.shape, np.array([len(p[0]) for p in chosen]), np.array([p[1] for p in chosen])
             real = np.arange(steps)[:, None] < lengths
-            e = self.emit[x]
+            e = emissions[x]
             e *= (real / scale)[:, :, None]
-            b = np.ones((steps, width, STATES))
+            b = np.ones((steps, width, STATES), _NUMBERS)
             for i, p in enumerate(chosen):
                 if p[3] is not None:
                     b[lengths[i] - 1, i] = p[3] / (a[lengths[i] - 1, i] @ p[3])
             for t in range(steps - 2, -1, -1):
                 n = active[t + 1]
                 e[t + 1, :n] *= b[t + 1, :n]
-                b[t, :n] = e[t + 1, :n] @ self.move.T
+                np.matmul(e[t + 1, :n], back, out=b[t, :n])
             move += self.move * (a[:-1].reshape(-1, STATES).T @ e[1:].reshape(-1, STATES))
             g = a * b
-            start += g[0, opens].sum(axis=0)
+            start += g[0, opens].sum(axis=0, dtype=float)
             real[0, ~opens] = False  # counted as the last symbol of the stretch before
-            flat, weight = x[real], g[real]
+            flat, weight = x[real], g[real].T.astype(float)
             for s in range(STATES):
-                emit[:, s] += np.bincount(flat, weight[:, s], minlength=len(emit))
+                emit[:, s] += np.bincount(flat, weight[s], minlength=len(emit))
         return start, move, emit, likely
 
 

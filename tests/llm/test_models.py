@@ -36,6 +36,7 @@ def paths(m, x):
 @pytest.fixture
 def three_states(monkeypatch):
     monkeypatch.setattr(hmm_lm, "STATES", 3)
+    monkeypatch.setattr(hmm_lm, "_NUMBERS", np.float64)
 
 
 def test_forward_recursion_and_counts_equal_the_sum_over_all_paths(three_states):
@@ -49,6 +50,15 @@ def test_forward_recursion_and_counts_equal_the_sum_over_all_paths(three_states)
         assert got == pytest.approx(want)
 
 
+def test_counts_in_single_precision(three_states, monkeypatch):
+    m = small_model()
+    texts = [np.random.default_rng(n).integers(0, 6, n).astype(np.uint16) for n in (1, 5, 300, 700, 2500)]
+    whole = m.expected(texts)
+    monkeypatch.setattr(hmm_lm, "_NUMBERS", np.float32)
+    for got, want in zip(m.expected(texts), whole, strict=True):
+        assert got == pytest.approx(want, rel=1e-4)
+
+
 @pytest.mark.parametrize("places", [1 << 17, 40])
 def test_counts_of_stretches_are_those_of_whole_texts(three_states, monkeypatch, places):
     rng, m = np.random.default_rng(5), small_model()
