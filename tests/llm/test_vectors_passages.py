@@ -1,7 +1,7 @@
 import numpy as np
 
 from lorespark.llm import embeddings
-from lorespark.llm.embeddings import near_vectors, passes_for
+from lorespark.llm.embeddings import near_vectors
 from lorespark.llm.passages import compact_windows, hashed, matching_passages, repeated_passages, shingle_hashes
 
 
@@ -47,9 +47,49 @@ def test_recall_with_windows_far_smaller_than_the_table(spark, monkeypatch):
     assert true > 50 and 0.9 * true <= got <= true
 
 
-def test_more_vectors_need_more_passes():
-    assert passes_for(10**4, 0.3175) < passes_for(10**6, 0.3175) < passes_for(10**9, 0.3175)
-    assert embeddings.WINDOW < 1000
+def links_found(spark, x, **more):
+    """Links found, true links, and whether any vector has more than its true ones."""
+    x = np.asarray(x, np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    true = (u @ u.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = np.array([r.n_links for r in near_vectors(df, **more).orderBy("vec_id").collect()])
+    assert (got <= true).all()
+    return got.sum(), true.sum()
+
+
+def test_many_groups_far_larger_than_a_window(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CROWD", 8)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(80, 32)) * s for s in rng.uniform(0.02, 0.25, 40)])
+    got, true = links_found(spark, x, window=4)
+    assert true > 60_000 and got >= 0.97 * true
+
+
+def test_links_within_a_dense_cone(spark):
+    """A third of all vectors lie in a cone of cosine 0.85 with one another, where signs of projections tell little."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    axis = unit(rng.normal(size=64))
+    cone = np.sqrt(0.85) * axis + np.sqrt(0.15) * unit(rng.normal(size=(700, 64)))
+    near = unit(cone[:150] + 0.3 * unit(rng.normal(size=(150, 64))))
+    got, true = links_found(spark, np.concatenate([cone, near, rng.normal(size=(1500, 64))]), window=16)
+    assert true > 200 and got >= 0.97 * true
+
+
+def test_equal_vectors_doubles_and_other_lengths(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 8))
+    rows = [(i, a.tolist()) for i in range(300)] + [(300, (a * 1e-200).tolist()), (301, (b * 1e200).tolist()), (302, b.tolist())]
+    rows += [(400 + i, [1.0, 2.0, 3.0]) for i in range(3)] + [(500, [1.0, 2.0, 3.0, 0.0])]
+    # The cosine of these two is 0.95 in double precision, and less with single-precision components.
+    c = np.array([1.0, 0.0, 1e-9])
+    rows += [(600, c.tolist()), (601, [0.95, float(np.sqrt(1 - 0.95**2)), 1e-9])]
+    true = c @ np.array(rows[-1][1]) / np.linalg.norm(c) / np.linalg.norm(rows[-1][1]) >= 0.95
+    out = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(out) == len(rows) and {out[i] for i in range(301)} == {(300, 0)}
+    assert out[301] == out[302] == (1, 301) and {out[400 + i] for i in range(3)} == {(2, 400)} and out[500] == (0, 500)
+    assert out[601][0] == out[600][0] == int(true)
 
 
 def test_compact_windows_hold_every_subsequence_once():
