@@ -142,3 +142,52 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
 def test_odd_rows(odd_docs, no_docs):
     assert {r.doc_id for r in repeated_passages(odd_docs).collect()} <= {6}
     assert repeated_passages(no_docs).count() == 0
+
+
+def test_edits_in_the_middle_do_not_cut_a_passage_short():
+    for n in (85, 90, 100, 103):
+        one = [f"x{i}" for i in range(n)]
+        for at in range(0, n - 4):
+            other = [*one[:at], *(f"y{i}" for i in range(5)), *one[at + 5 :]]
+            a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (one, other))  # noqa: B905
+            similarity = len(a & b) / len(a | b)
+            found = matching_passages(shingle_hashes(" ".join(one).encode()), shingle_hashes(" ".join(other).encode()), 46, 0.8)
+            if similarity >= 0.8:
+                assert found, (n, at, similarity)
+
+
+def test_two_passages_with_much_between_stay_apart():
+    x, y = [f"x{i}" for i in range(60)], [f"y{i}" for i in range(60)]
+    a = shingle_hashes(" ".join(x + [f"a{i}" for i in range(200)] + y).encode())
+    b = shingle_hashes(" ".join(x + [f"b{i}" for i in range(200)] + y).encode())
+    assert [p[:4] for p in matching_passages(a, b, 46, 0.8)] == [(0, 56, 0, 56), (260, 316, 260, 316)]
+
+
+def test_runs_that_a_third_document_masks_are_found(spark):
+    rng = np.random.default_rng(9)
+    rows, pairs = [], []
+    for k in range(60):
+        run = words(rng, 56)
+        a = int(rng.integers(0, 8))
+        rows += [(10 * k, words(rng, 60) + run[a : a + 49] + words(rng, 60)), (10 * k + 1, words(rng, 80) + run + words(rng, 50)), (10 * k + 2, words(rng, 30) + run + words(rng, 90))]
+        pairs.append((10 * k + 2, 10 * k + 1))
+    out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == set(pairs)
+
+
+def test_shared_runs_equal_a_comparison_of_all_pairs(spark):
+    """Every document with a run of 50 words or more of an earlier one has a row, and no other: texts share whole runs only."""
+    rng = np.random.default_rng(10)
+    pool = [words(rng, int(n)) for n in (45, 49, 50, 51, 60, 80, 150)]
+    docs = {}
+    for i in range(80):
+        parts = [words(rng, int(rng.integers(5, 60)))]
+        for k in rng.choice(len(pool), int(rng.integers(0, 3)), replace=False):
+            cut = pool[k][int(rng.integers(0, 4)) :]
+            parts += [cut, words(rng, int(rng.integers(5, 60)))]
+        docs[i] = [w for p in parts for w in p]
+    runs = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in docs.items()}
+    want = {i for i in docs if any(runs[i] & runs[j] for j in range(i))}
+    out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), similarity=0.999).collect()
+    assert {r.doc_id for r in out} == want
+    assert all(r.other_id < r.doc_id and r.end - r.start >= 50 and runs[r.doc_id] & runs[r.other_id] for r in out)
