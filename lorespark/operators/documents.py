@@ -82,10 +82,19 @@ def floor_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[s
 
 
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, weight: float = 0.1) -> DataFrame:
-    """Exponential moving average of each group, seeded by its first value."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v"))))
-    fold = F.aggregate(F.col("__items"), F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x["__v"]).otherwise(weight * x["__v"] + (1 - weight) * s))
-    return df.groupBy(*keys).agg(items.alias("__items")).select(*keys, fold.alias("average"))
+    """Exponential moving average of each group, seeded by its first value.
+
+    A run of rows changes the average to decay * average + gain, whatever it was, so a group's rows are folded in
+    chunks of bounded size, ordered over the whole cluster, and one row a chunk remains to be put in order.
+    """
+    v = F.col(value).cast("double")
+    ordered = df.select(*keys, *(c for c in order if c not in keys), v.alias("__v")).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__row", F.monotonically_increasing_id())
+    fold = lambda start: F.aggregate(F.transform("__items", lambda x: x["__v"]), start, lambda s, x: F.when(s.isNull(), x).otherwise(weight * x + (1 - weight) * s))
+    chunks = ordered.groupBy(*keys, F.shiftright("__row", 12).alias("__chunk")).agg(F.array_sort(F.collect_list(F.struct("__row", "__v"))).alias("__items"))
+    part = F.struct("__chunk", fold(F.lit(None).cast("double")).alias("seeded"), fold(F.lit(0.0)).alias("gain"), F.pow(F.lit(1 - weight), F.size("__items")).alias("decay"))
+    parts = chunks.select(*keys, part.alias("__p")).groupBy(*keys).agg(F.array_sort(F.collect_list("__p")).alias("__parts"))
+    whole = F.aggregate("__parts", F.lit(None).cast("double"), lambda s, p: F.when(s.isNull(), p["seeded"]).otherwise(p["gain"] + p["decay"] * s))
+    return parts.select(*keys, whole.alias("average"))
 
 
 def running_mean(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
@@ -124,13 +133,18 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
 def containing_join(parts: DataFrame, wholes: DataFrame, most: int = 256) -> DataFrame:
     """Each part (part_id, part) with the first whole (whole_id, whole), by id, that holds it as a substring.
 
-    Wholes are cut into their substrings of the lengths that parts have, at most `most` characters, and joined on
-    equality, so no row meets rows it has nothing in common with. Longer and empty parts find nothing.
+    Wholes are cut into their substrings of the lengths that parts have, and joined on equality, so no row meets rows it
+    has nothing in common with. Of parts longer than `most` characters the first `most` are joined, and the whole ones
+    compared then. Empty parts find nothing.
     """
-    sizes = [r[0] for r in parts.select(F.length("part").alias("n")).filter(F.col("n").between(1, most)).distinct().collect()]
+    heads = parts.filter("part <> ''").select("part_id", "part", F.left("part", F.lit(most)).alias("head"))
+    sizes = [r[0] for r in heads.select(F.length("head").alias("n")).distinct().collect()]  # at most `most` numbers
     cuts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.when(F.length("whole") >= n, F.transform(F.sequence(F.lit(1), F.length("whole") - n + 1), lambda i: F.substring(F.col("whole"), i, n))).otherwise(F.array().cast("array<string>")))))
-    pieces = wholes.select("whole_id", F.explode(cuts).alias("part")).groupBy("part").agg(F.min("whole_id").alias("whole_id"))
-    return parts.join(pieces, "part").select("part_id", "part", "whole_id")
+    wanted = wholes.select("whole_id", F.explode(cuts).alias("head")).join(heads.select("head").distinct(), "head", "left_semi")
+    short, long = F.length("part") <= most, F.length("part") > most
+    found = heads.filter(short).join(wanted.groupBy("head").agg(F.min("whole_id").alias("whole_id")), "head").select("part_id", "part", "whole_id")
+    tried = heads.filter(long).join(wanted, "head").join(wholes, "whole_id").filter(F.contains("whole", "part"))
+    return found.unionByName(tried.groupBy("part_id", "part").agg(F.min("whole_id").alias("whole_id")))
 
 
 def emptied(df: DataFrame) -> DataFrame:

@@ -40,17 +40,15 @@ def siblings(nodes: DataFrame, node) -> DataFrame:
     return nodes.join(F.broadcast(own.limit(1)), match).filter(F.col("id") != node).drop("__p", "__l").orderBy("name", "id")
 
 
-def build_hierarchy(links: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, hierarchy_level, hierarchy_path) from (id, parent_id): a round for each level; nodes on or below a cycle, or below a missing parent, get none."""
+def build_hierarchy(links: DataFrame) -> DataFrame:
+    """(id, hierarchy_level, hierarchy_path) from (id, parent_id): a round for each level; nodes on a cycle, or below one or a missing parent, get none."""
     done = links.filter(F.col("parent_id").isNull()).select("id", F.lit(0).alias("hierarchy_level"), F.array().cast("array<bigint>").alias("hierarchy_path"))
     level, parts = written(done, "hierarchy"), []
-    for _ in range(max_depth):
+    while not level.isEmpty():
         parts.append(level)
         up = level.select(F.col("id").alias("parent_id"), "hierarchy_level", "hierarchy_path")
-        level = written(links.join(up, "parent_id").select("id", (F.col("hierarchy_level") + 1).alias("hierarchy_level"), F.concat("hierarchy_path", F.array("parent_id")).alias("hierarchy_path")), "hierarchy")
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, parts)
+        level = written(links.join(up, "parent_id").select("id", (F.col("hierarchy_level") + 1).alias("hierarchy_level"), F.concat("hierarchy_path", F.array("parent_id")).alias("hierarchy_path")).filter(~F.array_contains("hierarchy_path", F.col("id"))), "hierarchy")
+    return reduce(DataFrame.unionByName, parts, level)
 
 
 # --- property graphs

@@ -7,6 +7,8 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.sources.tables import written
+
 # --- fixed values: (class, parent) and (property, inverse, transitive)
 CLASSES = (
     ("CodeEntity", None), ("Container", "CodeEntity"), ("Class", "Container"), ("Library", "Container"), ("Module", "Container"), ("Project", "Container"), ("Function", "CodeEntity"), ("Variable", "CodeEntity"), ("DataType", "CodeEntity"),
@@ -53,11 +55,11 @@ class Ontology:
     def subclasses(self, iri: str) -> DataFrame:
         """All below a class, with their depth."""
         level = self.classes.filter(F.col("parent") == iri).select("iri", F.lit(1).alias("depth"))
-        out = level
-        for depth in range(2, 20):
-            level = self.classes.join(level.select(F.col("iri").alias("parent")), "parent", "left_semi").select("iri", F.lit(depth).alias("depth"))
-            if level.isEmpty():
-                break
+        out, depth = level, 1
+        while not level.isEmpty():  # what has been found before is on a cycle, or found by a shorter way
+            depth += 1
+            below = self.classes.join(level.select(F.col("iri").alias("parent")), "parent", "left_semi").select("iri", F.lit(depth).alias("depth"))
+            level = written(below.join(out.select("iri"), "iri", "left_anti").distinct(), "subclasses")
             out = out.unionByName(level)
         return out
 

@@ -139,7 +139,7 @@ def _upserted(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cascade(spark: SparkSession, sf: str) -> DataFrame:
     lines = Catalog(spark, sf).table("lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id")).distinct()
-    gone = spark.range(0, 1500, 100).select(F.col("id"))
+    gone = Catalog(spark, sf).table("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
     entities, edges = versioning.cascade(gone, _records(spark, sf).select("id", "file_version_id"), lines)
     return entities.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.col("file_version_id").alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b")))
 
@@ -205,11 +205,11 @@ QUERIES: dict[str, Query] = {
     "doc_semi_join": lambda spark, sf: _docs(spark, sf).select("id", "lang").join(Catalog(spark, sf).table("labels").filter("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi"),
     "doc_union_dedup": lambda spark, sf: d.first_of(_docs(spark, sf).filter("lang = 'en'").select("id", F.lit(0).alias("part")).unionByName(_docs(spark, sf).filter("n_chars > 2000").select("id", F.lit(1).alias("part"))), ["id"], [F.col("part")]),
     "name_resolution": lambda spark, sf: d.resolved(Catalog(spark, sf).table("nation").select("n_nationkey", F.concat(F.lit("../pkg."), F.col("n_name")).alias("name")), Catalog(spark, sf).table("nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("entity_id")), extraction.import_candidates(F.col("name"))),
-    "hot_cold_partitions": lambda spark, sf: d.balance(_interactions(spark, sf).filter("event_type <> 'view' or id % 20 = 0"), "event_type"),
+    "hot_cold_partitions": lambda spark, sf: d.balance(_interactions(spark, sf), "event_type"),
     "balance_score": lambda spark, sf: d.balance_score(_docs(spark, sf), "lang"),
     "latency_percentiles": _percentiles,
-    "ema_stats": lambda spark, sf: d.moving_average(_interactions(spark, sf).filter("session_id < 20"), ["session_id"], ["ts", "id"], "response_ms").select("session_id", _r("average").alias("average")),
-    "running_mean": lambda spark, sf: d.running_mean(_interactions(spark, sf).filter("session_id < 20"), ["session_id"], [F.col("ts"), F.col("id")], "response_ms").select("id", _r("running_mean", 10).alias("running_mean")),
+    "ema_stats": lambda spark, sf: d.moving_average(_interactions(spark, sf), ["session_id"], ["ts", "id"], "response_ms").select("session_id", _r("average").alias("average")),
+    "running_mean": lambda spark, sf: d.running_mean(_interactions(spark, sf), ["session_id"], [F.col("ts"), F.col("id")], "response_ms").select("id", _r("running_mean", 10).alias("running_mean")),
     "error_rate": lambda spark, sf: _interactions(spark, sf).groupBy("session_id").agg(_r(d.rate(F.col("event_type") == "error", 100.0), 4).alias("error_rate")),
     "same_group_pairs": lambda spark, sf: d.same_group_pairs(Catalog(spark, sf).table("nation").withColumn("g", F.col("n_regionkey")), "g", "n_nationkey", 100),
     "classification_report": lambda spark, sf: d.classification_report(Catalog(spark, sf).table("labels").withColumn("guess", (F.col("doc_id") % 3 == 0).cast("int")), "quality", "guess").select("class", "support", _r("precision").alias("precision"), _r("recall").alias("recall"), _r("f1").alias("f1")),
@@ -220,8 +220,8 @@ QUERIES: dict[str, Query] = {
     "hybrid_search": lambda spark, sf: retrieval.hybrid_search(_with_content(spark, sf), "the", VECTOR).select("id", _r("score").alias("score"), "found_by"),
     "rerank_fallback": lambda spark, sf: retrieval.rerank(_docs(spark, sf).select("id", "content", (F.col("id") % 4 / 4.0).alias("score")), "the of and", 20).select("id", _r("rerank_score").alias("rerank_score")),
     "similarity_join": lambda spark, sf: retrieval.similarity_join(_nodes(spark, sf).select("id", "embedding"), 0.3).select("a", "b", _r("similarity", 5).alias("similarity")),
-    "cluster_similarity": lambda spark, sf: _nodes(spark, sf).filter("id < 40").alias("x").join(_nodes(spark, sf).filter("id < 40").alias("y"), F.expr("x.entity_type = y.entity_type and x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), _r(cosine(F.col("x.embedding"), F.col("y.embedding"))).alias("cosine")),
-    "hashed_embeddings": lambda spark, sf: _docs(spark, sf).select("id", retrieval.hashed_embeddings()(F.col("content")).alias("v")).select("id", F.size("v").alias("n")),
+    "cluster_similarity": lambda spark, sf: retrieval.similarity_join(_nodes(spark, sf), -1.0, by="entity_type").select("a", "b", _r("similarity", 5).alias("cosine")),
+    "hashed_embeddings": lambda spark, sf: _docs(spark, sf).select("id", F.posexplode(retrieval.hashed_embeddings()(F.col("content"))).alias("position", "value")).filter("value <> 0").select("id", "position", _r(F.col("value").cast("double"), 4).alias("value")),
     # fusion
     "fusion_exact_dedup": lambda spark, sf: fusion.without_copies(_items(spark, sf)).select("query_id", "position", "content"),
     "fusion_scores": lambda spark, sf: _scored(spark, sf).select("query_id", "position", _r("query_score").alias("query_score"), _r("recency").alias("recency"), _r("relevance_score").alias("relevance_score")),
@@ -274,7 +274,7 @@ QUERIES: dict[str, Query] = {
     "backup_tags": lambda spark, sf: _files(spark, sf).select("page_id", F.array_join(t.path_tags(F.col("path")), ",").alias("tags")),
     "line_counts": lambda spark, sf: _docs(spark, sf).select("id", *(c.alias(n) for n, c in zip(("lines", "full_lines"), t.line_counts(F.col("content")), strict=True))),
     "term_overlap": lambda spark, sf: _docs(spark, sf).select("id", _r(t.overlap(F.lit("the of and les der"), F.col("content"))).alias("share")),
-    "jaccard": lambda spark, sf: _docs(spark, sf).select("id", _r(t.jaccard(F.lit("the of and les der"), F.left("content", F.lit(300)))).alias("jaccard")),
+    "jaccard": lambda spark, sf: _docs(spark, sf).select("id", _r(t.jaccard(F.lit("the of and les der"), F.col("content"))).alias("jaccard")),
     "truncate_ellipsis": lambda spark, sf: _docs(spark, sf).select("id", t.shortened(F.col("content"), 30).alias("short"), t.cut_with_mark(F.col("content"), 100).alias("cut")),
     "sha_ids": lambda spark, sf: _docs(spark, sf).select("id", t.short_hash(F.col("content")).alias("sha"), F.left(F.md5("content"), F.lit(8)).alias("md5"), t.file_identity(F.col("source"), F.concat(F.lit("/a\\b"), F.col("id"))).alias("identity")),
     "partition_key": lambda spark, sf: _docs(spark, sf).select("id", t.partition_key(F.col("source"), F.col("lang")).alias("key")),
@@ -336,11 +336,11 @@ ORACLE_SQL: dict[str, str] = {
     "doc_semi_join": "SELECT doc_id AS id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "doc_union_dedup": "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS part FROM documents WHERE lang = 'en' OR n_chars > 2000",
     "name_resolution": "SELECT n_nationkey, '../pkg.' || n_name AS name, n_regionkey AS entity_id FROM nation",
-    "hot_cold_partitions": "WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' OR event_id % 20 = 0 GROUP BY event_type), m AS (SELECT avg(n) AS mean FROM c) SELECT event_type, n, CASE WHEN n > 2 * mean THEN 'hot' WHEN n < 0.5 * mean THEN 'cold' ELSE 'normal' END AS state FROM c, m",
+    "hot_cold_partitions": "WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), m AS (SELECT avg(n) AS mean FROM c) SELECT event_type, n, CASE WHEN n > 2 * mean THEN 'hot' WHEN n < 0.5 * mean THEN 'cold' ELSE 'normal' END AS state FROM c, m",
     "balance_score": "WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), m AS (SELECT avg(n) AS mean FROM c) SELECT 1 - count(*) FILTER (n > 2 * mean OR n < 0.5 * mean) / count(*)::DOUBLE AS balance_score FROM c, m",
     "latency_percentiles": "WITH g AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY event_type) SELECT event_type, n, round(list_avg(v), 6) AS mean, v[1] AS least, v[-1] AS most, v[floor(0.5 * n)::INT + 1] AS median, v[floor(0.95 * n)::INT + 1] AS p95, v[floor(0.99 * n)::INT + 1] AS p99 FROM g",
-    "ema_stats": "WITH g AS (SELECT user_id AS session_id, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id < 20 GROUP BY user_id) SELECT session_id, round(list_reduce(v, lambda a, x: 0.1 * x + 0.9 * a), 6) AS average FROM g",
-    "running_mean": "SELECT event_id AS id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS running_mean FROM events WHERE user_id < 20",
+    "ema_stats": "WITH g AS (SELECT user_id AS session_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT session_id, round(list_reduce(v, lambda a, x: 0.1 * x + 0.9 * a), 6) AS average FROM g",
+    "running_mean": "SELECT event_id AS id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS running_mean FROM events",
     "error_rate": "SELECT user_id AS session_id, round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 4) AS error_rate FROM events GROUP BY user_id",
     "same_group_pairs": "SELECT a.n_regionkey AS g, a.n_nationkey, b.n_nationkey AS other_id FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "classification_report": "WITH x AS (SELECT quality AS y, (doc_id % 3 = 0)::INT AS g FROM labels), c AS (SELECT c AS class, count(*) FILTER (y = c) AS support, count(*) FILTER (g = c) AS predicted, count(*) FILTER (y = c AND g = c) AS hits FROM x, (VALUES (0), (1)) AS k(c) GROUP BY c) SELECT class, support, round(hits / predicted::DOUBLE, 6) AS precision, round(hits / support::DOUBLE, 6) AS recall, round(2 * (hits / predicted::DOUBLE) * (hits / support::DOUBLE) / (hits / predicted::DOUBLE + hits / support::DOUBLE), 6) AS f1 FROM c",
@@ -353,8 +353,10 @@ ORACLE_SQL: dict[str, str] = {
         y AS (SELECT id, 0.4 * (list_contains(w, 'the')::INT + list_contains(w, 'of')::INT + list_contains(w, 'and')::INT) / 3.0::DOUBLE + 0.3 * CASE WHEN contains(lower(text), 'the of and') THEN 0.2 ELSE 0 END + 0.1 * greatest(0, 1 - length(text) / 2000.0::DOUBLE) + 0.2 * CASE WHEN score = 0 THEN 0.5 ELSE score END AS z FROM x)
         SELECT id, round(z, 6) AS rerank_score FROM y ORDER BY z DESC, id LIMIT 20""",
     "similarity_join": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3",
-    "cluster_similarity": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 40 AND b.vec_id < 40",
-    "hashed_embeddings": "SELECT doc_id AS id, 64 AS n FROM documents",
+    "cluster_similarity": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id",
+    "hashed_embeddings": r"""WITH w AS (SELECT doc_id AS id, md5(unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'))) AS m FROM documents),
+        v AS (SELECT id, ('0x' || substr(m, 1, 8))::BIGINT % 64 AS position, sum(CASE WHEN substr(m, 9, 1) < '8' THEN -1 ELSE 1 END)::DOUBLE AS value FROM w GROUP BY 1, 2)
+        SELECT id, position, round((value / sqrt(sum(value * value) OVER (PARTITION BY id)))::FLOAT::DOUBLE, 4) AS value FROM v WHERE value <> 0""",
     "fusion_exact_dedup": f"WITH {_ITEMS} SELECT query_id, min(position) AS position, content FROM items GROUP BY query_id, content",
     "fusion_scores": f"WITH {_ITEMS} SELECT query_id, position, round(query_score, 6) AS query_score, round(recency, 6) AS recency, round(relevance_score, 6) AS relevance_score FROM rated",
     "fusion_ranked_merge": _ranked("relevance_score"),
@@ -386,7 +388,7 @@ ORACLE_SQL: dict[str, str] = {
     "conflict_summary": f"WITH {_CHANGES}, x AS (SELECT path FROM c WHERE branch_name = 'signup' INTERSECT SELECT path FROM c WHERE branch_name = 'error') SELECT count(*) AS conflicts, CASE WHEN count(*) > 10 THEN 'high' WHEN count(*) > 3 THEN 'medium' ELSE 'low' END AS severity FROM x",
     "changed_paths": f"WITH {_CHANGES} SELECT path, CASE WHEN change_type = 'D' THEN 'delete' ELSE 'update' END AS action FROM c UNION SELECT old_path, 'delete' FROM c WHERE change_type = 'R'",
     "soft_delete": f"WITH {_CHANGES}, {_RECORDS} SELECT 'f' || file_version_id IN (SELECT path FROM c WHERE change_type = 'D') AS deleted, count(*) AS n FROM r GROUP BY 1",
-    "cascade_delete": f"WITH {_RECORDS}, g AS (SELECT id, file_version_id FROM r WHERE file_version_id % 100 = 0 AND file_version_id < 1500) SELECT 'entity' AS kind, id AS a, file_version_id AS b FROM g UNION ALL SELECT DISTINCT 'edge', l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT id FROM g) OR l_partkey IN (SELECT id FROM g)",
+    "cascade_delete": f"WITH {_RECORDS}, g AS (SELECT id, file_version_id FROM r WHERE file_version_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) SELECT 'entity' AS kind, id AS a, file_version_id AS b FROM g UNION ALL SELECT DISTINCT 'edge', l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT id FROM g) OR l_partkey IN (SELECT id FROM g)",
     "ttl_expired": f"WITH {_RECORDS} SELECT id, state FROM r WHERE updated_at + to_seconds(ttl) > TIMESTAMP '{AS_OF}'",
     "purge_branch": "SELECT o_orderkey AS id FROM orders WHERE o_orderpriority <> '1-URGENT'",
     "upsert": f"WITH {_RECORDS} SELECT id, CASE WHEN id % 10 = 0 THEN 'deleted' ELSE state END AS state, CASE WHEN id % 10 = 0 THEN 86400 ELSE ttl END AS ttl, id % 10 = 0 AS new, FALSE AS created_now FROM r UNION ALL SELECT id + 10000000, 'deleted', 86400, TRUE, TRUE FROM r WHERE id % 100 = 0",
@@ -398,7 +400,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, contains(low, 'test') OR contains(name, 'spec') AS test, {_any("name", t.CONFIG_NAMES)} AS config, regexp_matches(name, '^.+\.(md|rst|txt|adoc)$') OR name IN ('readme', 'changelog', 'license', 'contributing', 'authors') OR contains(low, 'docs') AS documentation FROM n""",
     "line_counts": r"SELECT doc_id AS id, len(string_split(text, chr(10)))::INT AS lines, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '\s*')))::INT AS full_lines FROM documents",
     "term_overlap": f"SELECT doc_id AS id, round(len(list_intersect({_QUERY_WORDS}, {_TOKENS.format(c='text')})) / 5.0::DOUBLE, 6) AS share FROM documents",
-    "jaccard": f"WITH x AS (SELECT doc_id AS id, {_TOKENS.format(c='left(text, 300)')} AS w FROM documents) SELECT id, round(len(list_intersect({_QUERY_WORDS}, w)) / len(list_distinct(list_concat({_QUERY_WORDS}, w)))::DOUBLE, 6) AS jaccard FROM x",
+    "jaccard": f"WITH x AS (SELECT doc_id AS id, {_TOKENS.format(c='text')} AS w FROM documents) SELECT id, round(len(list_intersect({_QUERY_WORDS}, w)) / len(list_distinct(list_concat({_QUERY_WORDS}, w)))::DOUBLE, 6) AS jaccard FROM x",
     "truncate_ellipsis": "SELECT doc_id AS id, CASE WHEN length(text) > 30 THEN left(text, 27) || '...' ELSE text END AS short, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS cut FROM documents",
     "sha_ids": "SELECT doc_id AS id, left(sha256(text), 16) AS sha, left(md5(text), 8) AS md5, md5(source || ':a/b' || doc_id) AS identity FROM documents",
     "partition_key": "SELECT doc_id AS id, source || '#' || lang AS key FROM documents",

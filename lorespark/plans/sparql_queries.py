@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import graph as g
 from lorespark.sources import formats
-from lorespark.sources.catalog import EX, Catalog
+from lorespark.sources.catalog import EX, GROUP, Catalog, imported
 from lorespark.sparql.parser import RDF_TYPE
 
 P = f"PREFIX ex: <{EX}> "
 
 #: name: (query, {column: SQL type of its texts}, SQL)
+_IMPORTED = f"p_partkey - p_partkey % {GROUP} + (p_partkey % {GROUP} * 6 + 1) % {GROUP}"
+
 SPARQL: dict[str, tuple[str, dict[str, str], str]] = {
     "sparql_fanout": (
         "SELECT ?order (COUNT(?part) AS ?n) WHERE { ?order ex:contains ?part } GROUP BY ?order ORDER BY DESC(?n) ?order", {"n": "bigint"},
@@ -34,15 +36,15 @@ SPARQL: dict[str, tuple[str, dict[str, str], str]] = {
     ),
     "sparql_unused": (
         "SELECT ?part WHERE { ?part a ex:Part . FILTER NOT EXISTS { ?s ex:imports ?part } }", {},
-        f"SELECT '{EX}part/' || p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT (p_partkey * 3 + 1) % 200 + 1 FROM part WHERE p_partkey <= 200)",
+        f"SELECT '{EX}part/' || p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT {_IMPORTED} FROM part)",
     ),
     "sparql_transitive": (
         "SELECT ?a ?b WHERE { ?a ex:imports+ ?b }", {},
-        f"WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 3 + 1) % 200 + 1 AS b FROM part WHERE p_partkey <= 200), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT '{EX}part/' || a AS a, '{EX}part/' || b AS b FROM r",
+        f"WITH RECURSIVE e AS (SELECT p_partkey AS a, {_IMPORTED} AS b FROM part), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT '{EX}part/' || a AS a, '{EX}part/' || b AS b FROM r",
     ),
     "sparql_transitive_from": (
         "SELECT ?b WHERE { ex:part%2F1 ex:imports+ ?b }".replace("ex:part%2F1", f"<{EX}part/1>"), {},
-        f"WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 3 + 1) % 200 + 1 AS b FROM part WHERE p_partkey <= 200), r AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON r.b = e.a) SELECT '{EX}part/' || b AS b FROM r",
+        f"WITH RECURSIVE e AS (SELECT p_partkey AS a, {_IMPORTED} AS b FROM part), r AS (SELECT b FROM e WHERE a = 1 UNION SELECT e.b FROM r JOIN e ON r.b = e.a) SELECT '{EX}part/' || b AS b FROM r",
     ),
     "sparql_optional": (
         "SELECT ?n ?name ?c WHERE { ?n a ex:Nation ; ex:name ?name . OPTIONAL { ?s ex:inNation ?n ; a ex:Supplier ; ex:name ?c } }", {},
@@ -90,7 +92,7 @@ SPARQL: dict[str, tuple[str, dict[str, str], str]] = {
     ),
     "sparql_path_star": (
         "SELECT ?x WHERE { " + f"<{EX}part/7>" + " ex:imports* ?x }", {},
-        f"WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 3 + 1) % 200 + 1 AS b FROM part WHERE p_partkey <= 200), r AS (SELECT 7::BIGINT AS b UNION SELECT e.b FROM r JOIN e ON r.b = e.a) SELECT '{EX}part/' || b AS x FROM r",
+        f"WITH RECURSIVE e AS (SELECT p_partkey AS a, {_IMPORTED} AS b FROM part), r AS (SELECT 7::BIGINT AS b UNION SELECT e.b FROM r JOIN e ON r.b = e.a) SELECT '{EX}part/' || b AS x FROM r",
     ),
     "sparql_path_inverse_seq": (
         "SELECT ?s ?name WHERE { ?s ^ex:suppliedBy/ex:name ?name . ?s ex:name \"Supplier#000000001\" }", {},
@@ -103,7 +105,7 @@ SPARQL: dict[str, tuple[str, dict[str, str], str]] = {
     "sparql_count_all": (
         "SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o }", {"n": "bigint"},
         """SELECT 4 * (SELECT count(*) FROM orders) + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) + (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))
-            + 4 * (SELECT count(*) FROM part) + (SELECT count(*) FROM part WHERE p_partkey <= 200) + 3 * (SELECT count(*) FROM customer) + 3 * (SELECT count(*) FROM supplier) + 3 * (SELECT count(*) FROM nation) + 2 * (SELECT count(*) FROM region) AS n""",
+            + 4 * (SELECT count(*) FROM part) + (SELECT count(*) FROM part) + 3 * (SELECT count(*) FROM customer) + 3 * (SELECT count(*) FROM supplier) + 3 * (SELECT count(*) FROM nation) + 2 * (SELECT count(*) FROM region) AS n""",
     ),
     "sparql_inequality_join": (
         "SELECT ?a ?b WHERE { ?a a ex:Nation ; ex:inRegion ?r . ?b a ex:Nation ; ex:inRegion ?r . FILTER(?a != ?b) }", {},
@@ -131,11 +133,10 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    part = Catalog(spark, sf).table("part").filter("p_partkey <= 200")
-    return part.select(F.col("p_partkey").alias("source_id"), (F.pmod(F.col("p_partkey") * 3 + 1, F.lit(200)) + 1).alias("target_id"))
+    return Catalog(spark, sf).table("part").select(F.col("p_partkey").alias("source_id"), imported(F.col("p_partkey")).alias("target_id"))
 
 
-_EDGES = "edges AS (SELECT p_partkey AS source_id, (p_partkey * 3 + 1) % 200 + 1 AS target_id FROM part WHERE p_partkey <= 200)"
+_EDGES = f"edges AS (SELECT p_partkey AS source_id, {_IMPORTED} AS target_id FROM part)"
 _NODES = "nodes AS (SELECT vec_id AS id, label AS entity_type, length(vec_id::VARCHAR) - 1 AS hierarchy_level, CASE WHEN vec_id >= 10 THEN vec_id // 10 END AS parent_id, 'node_' || vec_id AS name FROM embeddings)"
 _TRIPLES = f"""triples AS (
     SELECT '{EX}order/' || o_orderkey AS s, '{RDF_TYPE}' AS p, '{EX}Order' AS o FROM orders
@@ -148,7 +149,7 @@ _TRIPLES = f"""triples AS (
     UNION ALL SELECT '{EX}part/' || p_partkey, '{EX}name', '"' || p_name || '"' FROM part
     UNION ALL SELECT '{EX}part/' || p_partkey, '{EX}brand', '"' || p_brand || '"' FROM part
     UNION ALL SELECT '{EX}part/' || p_partkey, '{EX}size', '"' || p_size || '"i' FROM part
-    UNION ALL SELECT '{EX}part/' || p_partkey, '{EX}imports', '{EX}part/' || ((p_partkey * 3 + 1) % 200 + 1) FROM part WHERE p_partkey <= 200
+    UNION ALL SELECT '{EX}part/' || p_partkey, '{EX}imports', '{EX}part/' || ({_IMPORTED}) FROM part
     UNION ALL SELECT '{EX}customer/' || c_custkey, '{RDF_TYPE}', '{EX}Customer' FROM customer
     UNION ALL SELECT '{EX}customer/' || c_custkey, '{EX}name', '"' || c_name || '"' FROM customer
     UNION ALL SELECT '{EX}customer/' || c_custkey, '{EX}inNation', '{EX}nation/' || c_nationkey FROM customer
