@@ -149,8 +149,8 @@ class Graph:
                 raise SparqlError("ORDER BY of a DISTINCT query must use what it selects")
             else:
                 c = F.col(f"__order{next(outer)}")
-            keys += _order(c, up)
-        df = s.df.orderBy(*keys) if keys else s.df
+            keys.append((c, up))
+        df = _ordered(s.df, keys)
         if q.offset:
             df = df.offset(q.offset)
         if q.limit is not None:
@@ -230,7 +230,7 @@ class Graph:
         s = self.group(q.where, bindings)
         df = s.df
         if q.order_by:
-            df = df.orderBy(*(k for e, up in q.order_by for k in _order(self.term_of(self.value(e, s)), up)))
+            df = _ordered(df, [(self.term_of(self.value(e, s)), up) for e, up in q.order_by])
         if q.offset:
             df = df.offset(q.offset)
         if q.limit is not None:
@@ -596,12 +596,16 @@ def _compare(op: str, a: Value, b: Value) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), do(x, y)).otherwise(other)
 
 
-def _order(c: Column, up: bool) -> list[Column]:
-    """Unbound first, then blank nodes, IRIs and literals; numbers by value."""
-    n = _number(Value("term", c))
-    kind = F.when(c.startswith("_:"), 0).when(is_literal(c), 2).otherwise(1)
-    keys = [kind, n, lexical(c), c]
-    return [k.asc_nulls_first() for k in keys] if up else [k.desc_nulls_last() for k in keys]
+def _ordered(df: DataFrame, by: list[tuple[Column, bool]]) -> DataFrame:
+    """Unbound first, then blank nodes, IRIs and literals; numbers by value. Keys are computed once a row, not once a comparison."""
+    keys, order = [], []
+    for i, (c, up) in enumerate(by):
+        kind = F.when(c.startswith("_:"), 0).when(is_literal(c), 2).otherwise(1)
+        for k, key in enumerate((kind, _number(Value("term", c)), lexical(c), c)):
+            name = f"__by{i}_{k}"
+            keys.append(key.alias(name))
+            order.append(F.col(name).asc_nulls_first() if up else F.col(name).desc_nulls_last())
+    return df.select("*", *keys).orderBy(*order) if keys else df
 
 
 #: Steps that one task follows on its own; more are followed in rounds of joins.
