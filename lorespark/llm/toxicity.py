@@ -222,11 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weight = np.array([counts.get(k, 1) / of_class[k] for k in (0, 1)])[y[held]]
     calibrate(c, c.raw(some), y[held], weight / weight.mean())
     fitted = docs.sparkSession.createDataFrame([(r["id"],) for r, x in zip(rows, held, strict=True) if not x], known.select("of").schema)  # at most 2 * sample rows
-    judged = small.join(known.join(F.broadcast(fitted), "of", "left_anti"), F.col("id") == F.col("of")).select("lang", "label", "text")
+    # Scores are joined with the labels, rather than texts.
+    scored = _scored(small.filter(F.col("id").isNotNull() & (_number("id", folds) != 0)), c, ["id", "lang"], "text")
+    judged = scored.join(known.join(F.broadcast(fitted), "of", "left_anti"), F.col("id") == F.col("of"))
     step = F.least(F.floor(F.col("score") * STEPS_OF_SCORE), F.lit(STEPS_OF_SCORE - 1)).cast("int")
     histogram: dict[str | None, np.ndarray] = {}
     # At most two rows for each step and language.
-    for r in score(judged, ToxicityModel(c, {}), "lang", "text").groupBy("lang", "label", step.alias("step")).count().collect():
+    for r in judged.groupBy("lang", "label", step.alias("step")).count().collect():
         for key in {r["lang"], ""}:
             histogram.setdefault(key, np.zeros((STEPS_OF_SCORE, 2), np.int64))[r["step"], r["label"]] += r["count"]
     every = histogram.pop("", np.zeros((STEPS_OF_SCORE, 2), np.int64))
@@ -234,27 +236,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(c, {k: best_threshold(h) for k, h in sorted(enough.items())}, best_threshold(every) if every[:, 1].any() else 0.5)
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs with score (0 to 1, of the text alone) and toxic: whether it reaches its language's threshold.
-
-    Null texts count as empty, and empty ones get the score of a text without words; unknown, null and absent languages
-    get the threshold of all languages together. Rows that repeat a text have the same score; no rows give no rows.
-    Very long texts are read whole, in pieces. Columns of docs called score or toxic are replaced; others stay.
-    """
+def _scored(docs: DataFrame, classifier: Classifier, kept: list[str], text_col: str) -> DataFrame:
+    """The columns kept of docs, and score."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model.classifier))  # some 8 MB at any size of input
-    kept = [c for c in docs.columns if c not in ("score", "toxic")]
+    sent = docs.sparkSession.sparkContext.broadcast(vars(classifier))  # some 8 MB at any size of input
     (as_bytes,) = spare(docs, "text_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = Classifier(**sent.value)
+        model = Classifier(**sent.value)
         for b in batches:
             texts = [x.as_buffer().to_pybytes() for x in b.column(b.num_columns - 1)]
-            scores = np.concatenate([np.zeros(0), *(classifier.scores(texts[i : i + 100]) for i in range(0, len(texts), 100))])
+            scores = np.concatenate([np.zeros(0), *(model.scores(texts[i : i + 100]) for i in range(0, len(texts), 100))])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], [*kept, "score"])
 
     with_bytes = docs.select(*kept, text_or_empty(text_col).cast("binary").alias(as_bytes))
-    out = with_bytes.mapInArrow(run, StructType([*docs.select(*kept).schema.fields]).add("score", DoubleType()))
+    return with_bytes.mapInArrow(run, StructType([*docs.select(*kept).schema.fields]).add("score", DoubleType()))
+
+
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs with score (0 to 1, of the text alone) and toxic: whether it reaches its language's threshold.
+
+    Null texts count as empty, and empty ones get the score of a text without words; unknown, null and absent languages
+    get the threshold of all languages together. Rows that repeat a text have the same score; no rows give no rows.
+    Very long texts are read whole, in pieces. Columns of docs called score or toxic are replaced; others stay.
+    """
+    kept = [c for c in docs.columns if c not in ("score", "toxic")]
+    out = _scored(docs, model.classifier, kept, text_col)
     known = F.lit(model.other)
     if lang_col in kept:
         for language, t in model.thresholds.items():
