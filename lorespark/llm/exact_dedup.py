@@ -27,6 +27,7 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 
 
@@ -105,7 +106,8 @@ def exact_dedup(
     old, told_before = None, None
     if earlier:
         mine = keys.select("digest").distinct()
-        old = written(read_state(spark, state_path).join(mine, "digest", "left_semi"), "exact-before")
+        with _settings(spark, _STATE_CONF):
+            old = written(read_state(spark, state_path).join(mine, "digest", "left_semi"), "exact-before")
         if _there(spark, clashes):
             told_before = written(spark.read.parquet(clashes).join(mine, "digest", "left_semi").groupBy("digest", "norm").agg(F.max("best").alias("best"), F.max("copies").alias("copies")), "exact-told")
             old = old.join(told_before.select("digest").distinct(), "digest", "left_anti")
@@ -120,7 +122,9 @@ def exact_dedup(
         lost = old.filter("norm is null").select("best.locator").first()
         if lost is not None:
             raise ValueError(f"nothing was fetched for the locator {lost[0]}")
-    state = written(update_state(spark, inbox, schema, state_path).join(keys.select("digest").distinct(), "digest", "left_semi") if earlier else update_state(spark, inbox, schema, state_path), "exact-groups")
+    state = update_state(spark, inbox, schema, state_path)
+    with _settings(spark, _STATE_CONF):  # readers open the state with these settings too
+        state = written(state.join(keys.select("digest").distinct(), "digest", "left_semi") if earlier else state, "exact-groups")
     several = state.filter("copies > 1").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
     hits = texts.select("digest", part, "norm").join(several, ["digest", "part"], "left_semi")
     if old is not None:
