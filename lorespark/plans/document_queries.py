@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import scoring as s
 from lorespark.functions import text as t
-from lorespark.functions.vector import cosine
 from lorespark.operators import documents as d
 from lorespark.operators import extraction, fusion, graph, memory, ontology, retrieval, routing, versioning
 from lorespark.sources.catalog import AS_OF, Catalog

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.plans import document_queries, sparql_queries
+from lorespark.plans import document_queries, record_queries, sparql_queries
 
-QUERIES = {**sparql_queries.QUERIES, **document_queries.QUERIES}
-ORACLE_SQL = {**sparql_queries.ORACLE_SQL, **document_queries.ORACLE_SQL}
+QUERIES = {**sparql_queries.QUERIES, **document_queries.QUERIES, **record_queries.QUERIES}
+ORACLE_SQL = {**sparql_queries.ORACLE_SQL, **document_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}
