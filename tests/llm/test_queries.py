@@ -13,3 +13,26 @@ def test_sql(spark, sf_dir, name):
 
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+CONTRACT = {
+    "op1": "doc_id keep_id group_size kept text_sha256", "op2": "doc_id fingerprint component_id", "op3": "doc_id piece start length ids_crc32 sequence_id offset", "op4": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op5": "doc_id size source_size target taken", "op6": "doc_id held_out n_tokens n_known train_tokens base_score score", "op7": "doc_id start end other_id", "op8": "vec_id n_links component_id kept", "op9": "doc_id held_out score predicted", "op10": "doc_id n_deleted",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_registered_queries_have_the_rows_and_columns_of_their_contracts(spark, sf_dir, name):
+    out = QUERIES[name](spark, sf_dir)
+    number = name.split("_")[0]
+    assert set(CONTRACT[number].split()) <= set(out.columns)
+    rows = out.collect()
+    table = "embeddings" if number == "op8" else "documents"
+    ids = [r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select("vec_id" if number == "op8" else "doc_id").collect()]
+    own = [r.vec_id if number == "op8" else r.doc_id for r in rows]
+    if number == "op7":
+        assert set(own) <= set(ids)
+    elif number == "op3":
+        assert set(own) == set(ids)
+    else:
+        assert sorted(own) == sorted(ids)
