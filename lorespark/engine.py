@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.scoring import importance
+from lorespark.functions.text import entity_names
 from lorespark.operators import fusion, graph, memory, retrieval, routing
 from lorespark.sources import formats
 from lorespark.sparql import Graph, SparqlError
@@ -23,6 +26,18 @@ class Stats:
     errors: int = 0
 
 
+#: How sure strategies are of what they find.
+CONFIDENCE = {"vector": 0.9, "database": 0.85, "graph": 0.8}
+
+
+@dataclass
+class Outcome:
+    strategy: str
+    rows: list[tuple]
+    confidence: float
+    error: str | None
+
+
 @dataclass
 class Engine:
     """tables: documents (id, content, embedding), nodes, edges, triples, memory, interactions; those that a tool needs must be there.
@@ -43,6 +58,7 @@ class Engine:
         self.translator = routing.Translator(self.prefixes)
         self.stats = Stats()
         self._kept: dict[str, tuple[float, DataFrame]] = {}
+        self._outcomes: list[Outcome] = []
 
     # --- queries over triples
     def sparql(self, text: str, bindings: dict[str, str] | None = None, limit: int | None = None, form: str | None = None) -> DataFrame:
@@ -53,6 +69,8 @@ class Engine:
         if key in self._kept and self._kept[key][0] > now:
             self.stats.hits += 1
             return self._kept[key][1]
+        for old in [k for k, (until, _) in self._kept.items() if until <= now]:
+            self._kept.pop(old)[1].unpersist()
         try:
             out = self.graph.query(text, bindings, limit)
             if form in ("json", "csv", "tsv"):
@@ -124,18 +142,48 @@ class Engine:
         return graph.repository_stats(self.tables["nodes"], self.tables["edges"])
 
     # --- fusion and orchestration
-    def process_query(self, text: str, intent: str = "HYBRID", confidence: float = 1.0, enough: int = 10) -> DataFrame:
-        """Results of the strategies for an intent: (strategy, id, content, score). A strategy that fails is left out."""
-        parts = []
-        for name in routing.strategies(intent, confidence):
-            try:
-                parts.append(self._run(name, text, enough).withColumn("strategy", F.lit(name)))
-            except (KeyError, SparqlError):
-                continue
-        empty = self.spark.createDataFrame([], "id string, content string, score double, strategy string")
-        out = empty
-        for p in parts:
-            out = out.unionByName(p)
+    def process_query(self, text: str, intent: str = "HYBRID", confidence: float = 1.0, enough: int = 10, parallel: bool = True, timeout: float = 30.0) -> DataFrame:
+        """Results of the strategies for an intent: (strategy, id, content, score); outcomes() tells how each of them went."""
+        names = routing.strategies(intent, confidence)
+        self._outcomes = self._side_by_side(names, text, enough, timeout) if parallel else self._one_by_one(names, text, enough)
+        rows = [(*row, o.strategy) for o in self._outcomes for row in o.rows]
+        return self.spark.createDataFrame(rows, "id string, content string, score double, strategy string")
+
+    def outcomes(self) -> DataFrame:
+        """(strategy, success, n, confidence, error) of the last process_query(); strategies that were not run have no row."""
+        rows = [(o.strategy, o.error is None, len(o.rows), o.confidence, o.error) for o in self._outcomes]
+        return self.spark.createDataFrame(rows, "strategy string, success boolean, n int, confidence double, error string")
+
+    def _outcome(self, name: str, text: str, enough: int, tag: str | None = None) -> Outcome:
+        if tag is not None:
+            self.spark.sparkContext.addJobTag(tag)
+        try:
+            rows = [tuple(r) for r in self._run(name, text, enough).collect()]  # `enough` rows at most
+        except Exception as e:  # noqa: BLE001  a strategy that fails must not take the others with it
+            return Outcome(name, [], 0.0, f"{type(e).__name__}: {e}".splitlines()[0])
+        return Outcome(name, rows, CONFIDENCE.get(name, 0.8) if rows else 0.0, None)
+
+    def _side_by_side(self, names: list[str], text: str, enough: int, timeout: float) -> list[Outcome]:
+        """All strategies at once; the jobs of those that are not done in time are cancelled."""
+        tags = {name: f"{name}-{uuid.uuid4().hex}" for name in names}
+        pool = ThreadPoolExecutor(max(1, len(names)))
+        try:
+            running = {name: pool.submit(self._outcome, name, text, enough, tags[name]) for name in names}
+            done, _ = wait(running.values(), timeout)
+            late = [name for name in names if running[name] not in done]
+            for name in late:
+                self.spark.sparkContext.cancelJobsWithTag(tags[name])
+            return [Outcome(name, [], 0.0, f"not done in {timeout:g} s") if name in late else running[name].result() for name in names]
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    def _one_by_one(self, names: list[str], text: str, enough: int) -> list[Outcome]:
+        """One strategy after another, until one brings enough rows with a confidence above 0.8."""
+        out = []
+        for name in names:
+            out.append(self._outcome(name, text, enough))
+            if out[-1].error is None and len(out[-1].rows) >= enough and out[-1].confidence > 0.8:
+                break
         return out
 
     def _run(self, name: str, text: str, n: int) -> DataFrame:
@@ -143,7 +191,8 @@ class Engine:
         if name == "vector":
             return shape(retrieval.vector_search(self.tables["documents"], self.vector(text), n, None), F.col("content"), F.col("score"))
         if name == "database":
-            words = [w for w in text.lower().split() if len(w) > 2][:3] or [text]
+            names = self.spark.createDataFrame([(text,)], "t string").select(entity_names(F.col("t"))).first()[0]
+            words = [w.lower() for w in names] or [w for w in text.lower().split() if len(w) > 2][:3] or [text.lower()]
             found = self.tables["documents"]
             hit = F.lit(False)
             for w in words:

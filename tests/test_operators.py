@@ -175,3 +175,24 @@ def test_engine(spark):
     assert {r.strategy for r in e.process_query("which function calls what").collect()} == {"graph", "vector", "database"}
     assert e.hybrid_search("function").first().id == "1"
     assert e.clear_cache() >= 2
+
+
+def test_strategies_stop_early_time_out_and_report_errors(spark, monkeypatch):
+    import time
+
+    from lorespark.engine import Engine
+
+    rows = [(str(i), f"Flask function {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "id string, content string").withColumn("embedding", retrieval.hashed_embeddings()(F.col("content")))
+    e = Engine(spark, {"documents": docs})
+    out = e.process_query("where is Flask used", "DATABASE_RAG", 0.5, enough=5, parallel=False).collect()
+    assert {r.strategy for r in out} == {"database"} and len(out) == 5 and [r.strategy for r in e.outcomes().collect()] == ["database"]
+    e.process_query("where is Flask used", "HYBRID")
+    state = {r.strategy: (r.success, r.n, r.confidence) for r in e.outcomes().collect()}
+    assert state == {"graph": (False, 0, 0.0), "vector": (True, 10, 0.9), "database": (True, 10, 0.85)}
+    one = e._run
+    monkeypatch.setattr(e, "_run", lambda name, text, n: time.sleep(5) if name == "vector" else one(name, text, n))
+    began = time.time()
+    out = e.process_query("where is Flask used", "HYBRID", timeout=3).collect()
+    errors = {r.strategy: r.error for r in e.outcomes().collect()}
+    assert time.time() - began < 5 and errors["vector"] == "not done in 3 s" and {r.strategy for r in out} == {"database"}
