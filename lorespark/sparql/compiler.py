@@ -71,6 +71,21 @@ def _null_or(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
 
+def _split_join(left: Solutions, right: Solutions, r: DataFrame, shared: list[str], extra: Column | None) -> DataFrame:
+    """An inner join on variables that either side may leave unbound, by cases: rows that bind them join on equality, so only unbound ones meet all."""
+    cases = [(left.df, r, [] if extra is None else [extra])]
+    for n in shared:
+        a, b, more = F.col(f"`{n}`"), F.col(f"`{n}__r`"), []
+        for x, y, on in cases:
+            more.append((x.filter(a.isNotNull()), y.filter(b.isNotNull()), [*on, a == b]))
+            if n in left.maybe:
+                more.append((x.filter(a.isNull()), y, on))
+            if n in right.maybe:
+                more.append((x.filter(a.isNotNull()), y.filter(b.isNull()), on))
+        cases = more
+    return reduce(DataFrame.unionByName, (x.join(y, reduce(lambda c, d: c & d, on)) if on else x.crossJoin(y) for x, y, on in cases))
+
+
 def join(left: Solutions, right: Solutions, how: str = "inner", extra: Column | None = None) -> Solutions:
     """Compatible solutions: shared variables agree, or one side leaves them unbound."""
     shared = [n for n in left.names if n in right.names]
@@ -78,7 +93,9 @@ def join(left: Solutions, right: Solutions, how: str = "inner", extra: Column |
     conditions = [_null_or(F.col(f"`{n}`"), F.col(f"`{n}__r`")) if n in left.maybe | right.maybe else F.col(f"`{n}`") == F.col(f"`{n}__r`") for n in shared]
     if extra is not None:
         conditions.append(extra)
-    if conditions:
+    if how == "inner" and shared and all(n in left.maybe | right.maybe for n in shared) and len(shared) <= 2:
+        joined = _split_join(left, right, r, shared, extra)
+    elif conditions:
         joined = left.df.join(r, reduce(lambda a, b: a & b, conditions), how)
     elif how == "inner":
         joined = left.df.crossJoin(r)

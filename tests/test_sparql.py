@@ -120,3 +120,17 @@ def test_reach_by_joins_equals_reach_in_a_task(spark, monkeypatch):
     few = {tuple(r) for r in compiler.reach(steps, "n2").collect()}
     monkeypatch.setattr(compiler, "FEW_STEPS", 0)
     assert {tuple(r) for r in compiler.reach(steps, "n2").collect()} == few
+
+
+def test_variables_left_unbound_on_either_side_join_by_cases(spark):
+    rows = [uri(f"urn:p{i}", "urn:type", "urn:P") for i in range(4)] + [uri(f"urn:q{i}", "urn:kind", "urn:Q") for i in range(4)]
+    rows += [lit("urn:p0", "urn:nick", "a"), lit("urn:p1", "urn:nick", "b"), lit("urn:p1", "urn:tag", "x"), lit("urn:p2", "urn:tag", "y")]
+    rows += [lit("urn:q0", "urn:alias", "a"), lit("urn:q1", "urn:alias", "c"), lit("urn:q1", "urn:tag", "x"), lit("urn:q3", "urn:tag", "y")]
+    g = Graph(spark.createDataFrame(rows, SCHEMA), {"": "urn:"})
+    left = {"p0": ("a", None), "p1": ("b", "x"), "p2": (None, "y"), "p3": (None, None)}
+    right = {"q0": ("a", None), "q1": ("c", "x"), "q2": (None, None), "q3": (None, "y")}
+    for shared in (1, 2):
+        more = lambda p, names: " ".join(f"OPTIONAL {{ ?{p} :{n} ?v{i} }}" for i, n in enumerate(names[:shared]))  # noqa: B023, E731
+        query = f"SELECT ?p ?q WHERE {{ {{ ?p :type :P {more('p', ('nick', 'tag'))} }} {{ ?q :kind :Q {more('q', ('alias', 'tag'))} }} }}"
+        agree = lambda a, b: all(x is None or y is None or x == y for x, y in list(zip(a, b, strict=True))[:shared])  # noqa: B023, E731
+        assert texts(g, query) == sorted((f"urn:{p}", f"urn:{q}") for p, a in left.items() for q, b in right.items() if agree(a, b))
