@@ -136,7 +136,11 @@ def fused(items: DataFrame, strategy: str = "balanced", config: FusionConfig = F
 
 def diversity(items: DataFrame) -> DataFrame:
     """1 less the mean cosine of all pairs of a query's (chosen) items, within 0 and 1; 1 for fewer than two."""
-    a = items.select("query_id", F.col("position").alias("i"), F.col("embedding").alias("x"))
-    b = items.select("query_id", F.col("position").alias("j"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "query_id").filter("i < j").groupBy("query_id").agg(F.avg(cosine(F.col("x"), F.col("y"))).alias("mean"))
+    # The cosines of all pairs of unit vectors add up to half of what the square of their sum has over their number.
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    unit = F.transform("embedding", lambda x: F.try_divide(x.cast("double"), size))
+    parts = items.select("query_id", F.posexplode(F.when(size > 0, unit)).alias("at", "x")).groupBy("query_id", "at").agg(F.sum("x").alias("x"))
+    squares = parts.groupBy("query_id").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    counts = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(size > 0).alias("sound"))
+    pairs = counts.join(squares, "query_id").select("query_id", F.try_divide(F.col("square") - F.col("sound"), F.col("n") * (F.col("n") - 1)).alias("mean"))
     return items.select("query_id").distinct().join(pairs, "query_id", "left").select("query_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("mean", F.lit(0.0)))).alias("diversity"))
