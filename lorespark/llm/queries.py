@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from lorespark.llm.embeddings import near_vectors
 from lorespark.llm.exact_dedup import exact_dedup
 from lorespark.llm.hmm_lm import score_texts
+from lorespark.llm.html_extract import extract_text
 from lorespark.llm.line_dedup import line_dedup
 from lorespark.llm.mixing import mix_sources
 from lorespark.llm.packing import pack_documents
 from lorespark.llm.passages import repeated_passages
+from lorespark.llm.prefix_trie import conversation_trie
 from lorespark.llm.secrets import BASE_RULES, scan_secrets
 from lorespark.llm.simhash import near_duplicates
 from lorespark.llm.toxicity import score, train
+from lorespark.llm.vantage import hard_negatives
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +84,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("deleted").cast("long").alias("n_deleted"), F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted"), F.col("clean").alias("text"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -92,6 +108,9 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_html_extract": op11_html_extract,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: DuckDB's SQL for those queries that SQL can express.
@@ -127,4 +146,45 @@ ORACLE_SQL = {
             coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY every.i), '') AS text
         FROM every LEFT JOIN gone ON every.doc_id = gone.doc_id AND every.i = gone.i GROUP BY every.doc_id
     """,
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM s WHERE same) WHERE k <= 5),
+        n AS (
+            SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS rank,
+                s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT * FROM n WHERE rank <= 10
+    """,
+    # CRC-32 of the decimal id, byte by byte and bit by bit, with the polynomial 0xEDB88320.
+    "op13_prefix_trie": """
+        WITH own AS (
+            SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (
+            SELECT conv_id, turns, conv_id - conv_id % 100 AS base, xor(list_reduce(
+                list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                lambda r, b: list_reduce([xor(r, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h
+            FROM own),
+        rebuilt AS (
+            SELECT h.conv_id, list_concat(coalesce(b.turns[1:h], []), h.turns[h + 1:]) AS turns FROM h LEFT JOIN own b ON b.conv_id = h.base),
+        px AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+        keyed AS (SELECT conv_id, depth, md5(turns[1:depth]::VARCHAR || depth) AS k, len(turns) = depth AS ends, coalesce(length(turns[depth].text), 0) AS chars, turns FROM px),
+        node AS (
+            SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(CASE WHEN depth = 0 THEN 0 ELSE chars END) AS chars,
+                sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+            FROM keyed GROUP BY k, depth),
+        up AS (SELECT node.*, p.k AS parent FROM node LEFT JOIN keyed p ON p.conv_id = node.conv_id AND p.depth = node.depth - 1),
+        counted AS (SELECT up.*, (SELECT count(*) FROM up c WHERE c.parent = up.k) AS n_children FROM up),
+        below AS (
+            SELECT a.k, sum((c.n_children = 0)::INT) AS n_leaves, sum((c.n - 1) * c.chars) AS saved_tokens
+            FROM counted c JOIN keyed a ON a.conv_id = c.conv_id AND a.depth <= c.depth GROUP BY a.k)
+        SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n AS n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+        FROM counted c JOIN below USING (k) LEFT JOIN node p ON p.k = c.parent
+    """,
 }
