@@ -60,13 +60,21 @@ def with_scores(interactions: DataFrame) -> DataFrame:
     return interactions.withColumn("score", feedback_score(F.col("feedback_type"), F.col("feedback_value")))
 
 
-def with_implied_feedback(interactions: DataFrame, query: str = "query") -> DataFrame:
-    """What the next query of a session and the time until it imply about this one."""
+def with_implied_feedback(interactions: DataFrame, query: str = "query", limit_s: int | None = None) -> DataFrame:
+    """What the next query of a session and the time until it imply about this one; after limit_s seconds it counts as none."""
     w = Window.partitionBy("session_id").orderBy("ts", "id")
-    nxt = interactions.withColumn("follow_up", F.lead(query).over(w)).withColumn("engaged_s", (F.unix_seconds(F.lead("ts").over(w)) - F.unix_seconds("ts")).cast("double"))
+    after = F.lead("ts").over(w)
+    near = F.lit(True) if limit_s is None else F.unix_millis(after) - F.unix_millis("ts") <= limit_s * 1000
+    nxt = interactions.withColumn("follow_up", F.when(near, F.lead(query).over(w))).withColumn("engaged_s", F.when(near, F.unix_seconds(after) - F.unix_seconds("ts")).cast("double"))
     return nxt.withColumn("implied", implied_feedback(F.col("response_ms") / 1000, F.col("follow_up"), F.col("engaged_s"))).select("*", "implied.*").drop("implied")
 
 
+def fingerprint(context: dict[str, Column]) -> Column:
+    """A session id for those who give none: from what is known of the client, written as sorted pairs; texts hold no quotes or backslashes."""
+    known = F.array_compact(F.array(*(F.concat(F.lit(f"('{name}', '"), value.cast("string"), F.lit("')")) for name, value in sorted(context.items()))))
+    return F.concat(F.lit("auto_"), F.left(F.sha2(F.concat(F.lit("["), F.array_join(known, ", "), F.lit("]")), 256), F.lit(16)))
+
+
 def strategy_success(history: DataFrame) -> DataFrame:
     """Of each strategy the share of uses with a ratio over 0.5, within 0.5 and 1.5."""
     share = F.count_if(F.coalesce("feedback_ratio", F.lit(0.5)) > 0.5) / F.count(F.lit(1))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lorespark.plans import document_queries, record_queries, sparql_queries
+from lorespark.plans import document_queries, maintenance_queries, record_queries, sparql_queries
 
-QUERIES = {**sparql_queries.QUERIES, **document_queries.QUERIES, **record_queries.QUERIES}
-ORACLE_SQL = {**sparql_queries.ORACLE_SQL, **document_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}
+_MODULES = (sparql_queries, document_queries, record_queries, maintenance_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
