@@ -2,9 +2,10 @@
 
 Inner products become distances: a vector x gets one more component, the root of M^2 - |x|^2 for a bound M on all norms,
 and a query q gets a zero there, so |q - x|^2 = |q|^2 + M^2 - 2 q.x. The highest scores are the nearest vectors, and a
-window of scores is an annulus around the query. A traversal keeps the nodes of a tree in a queue by the least distance
-that their bounds allow, leaves out those beyond the annulus on either side, and hands out vectors nearest first until it
-has k of them. Scores are integers and computed exactly; distances only order and prune, with room for rounding.
+window of scores is an annulus around the query. A traversal leaves out the nodes of a tree beyond the annulus on either
+side, takes the leaves of the others nearest first by the least distance that their bounds allow, and ends when it has k
+vectors nearer than any leaf that is left; the queries of a block go through a tree together. Scores are integers and
+computed exactly; distances only order and prune, with room for rounding.
 
 The top of the tree is fitted on a bounded sample and routes every row to a region; regions are cut into shards of
 bounded size by a hash, and a task builds the tree of a shard and searches it for a block of queries. A query first goes
@@ -14,7 +15,6 @@ k-th found, so results are exact; how many these are depends on the vectors.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -31,7 +31,7 @@ SHARD, BLOCK, LEAF = 4096, 2048, 64
 SAMPLE, REGIONS, FIRST = 16_384, 256, 2
 #: Share of distances that rounding may take; among others that of the root of M^2 - |x|^2 where it is near zero.
 _ROOM = 1e-7
-_FREE = 1 << 62
+_FREE, _NONE = 1 << 62, -(1 << 63) + 1
 
 
 def quantised(vector: Column) -> Column:
@@ -54,14 +54,8 @@ def _augmented(x: np.ndarray, bound: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(bound - np.einsum("ij,ij->i", x, x), 0))])
 
 
-def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products: by floats where these are exact, else in long arithmetic."""
-    top = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-    return (x.astype(float) @ q.astype(float)).astype(np.int64) if top < 2.0**53 else x @ q
-
-
 class VPTree:
-    """A vantage-point tree. Nodes: (vantage vector, leaf rows or None, inner child, outer child, border), by number."""
+    """A vantage-point tree. Of each node, by number: its vantage point and children, or its rows if it is a leaf."""
 
     def __init__(self, points: np.ndarray, leaf: int, most: int | None = None):
         self.vantage: list[np.ndarray | None] = []
@@ -94,30 +88,39 @@ class VPTree:
                     leaves += 1
             place += 1
 
-    def search(self, q: np.ndarray, inner: float, outer: float, score, k: int) -> list[tuple[int, int]]:
-        """The first k of what score(rows) gives as (-score, row), rows that lie in the annulus by distance to q.
+    def nearest_first(self, q: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows): the leaves that may hold points of the queries' annuli, for each query the nearest first.
 
-        score gives the rows of a leaf that are wanted, and the distance of each; they come out nearest first.
+        The caller lowers outer as it finds what it wants; leaves beyond that are left out.
         """
-        queue: list[tuple[float, int, int, int]] = [(0.0, 0, 0, -1)]  # nodes before vectors where distances agree
-        found: list[tuple[int, int]] = []
-        while queue:
-            _, kind, node, row = heapq.heappop(queue)
-            if kind:
-                found.append((node, row))
-                if len(found) == k:
-                    break
-            elif (rows := self.rows[node]) is not None:
-                for distance, order, r in score(rows):
-                    heapq.heappush(queue, (distance, 1, order, r))
-            else:
-                d = float(np.sqrt(((self.vantage[node] - q) ** 2).sum()))
+        leaves, low, high = self._bounds(q)
+        near = np.where((low <= outer[:, None]) & (high >= inner[:, None]), low, np.inf)
+        order = np.argsort(near, axis=1, kind="stable")
+        for place in order.T:
+            distance = near[np.arange(len(q)), place]
+            go = np.flatnonzero((distance <= outer) & (distance < np.inf))
+            if not len(go):
+                return
+            go = go[np.argsort(place[go], kind="stable")]
+            cuts = np.flatnonzero(np.diff(place[go])) + 1
+            for part in np.split(go, cuts):
+                yield part, self.rows[leaves[place[part[0]]]]
+
+    def _bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves, and for each query the least and the greatest distance that their points can have."""
+        inner_nodes = [i for i, v in enumerate(self.vantage) if v is not None]
+        low, high = np.zeros((len(q), len(self.rows))), np.full((len(q), len(self.rows)), math.inf)
+        if inner_nodes:
+            v = np.array([self.vantage[i] for i in inner_nodes])
+            d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1) - 2.0 * (q @ v.T), 0))
+            for node, of_node in zip(inner_nodes, d.T, strict=True):
                 for child in self.children[node]:
-                    low, high = self.near[child]
-                    room = _ROOM * (1.0 + d + high)
-                    if (least := max(low - d, d - high) - room) <= outer and d + high + room >= inner:
-                        heapq.heappush(queue, (least, 0, child, -1))
-        return found
+                    a, b = self.near[child]
+                    room = _ROOM * (1.0 + of_node + b)
+                    low[:, child] = np.maximum(low[:, node], np.maximum(a - of_node, of_node - b) - room)
+                    high[:, child] = np.minimum(high[:, node], of_node + b + room)
+        leaves = np.array([i for i, v in enumerate(self.vantage) if v is None])
+        return leaves, low[:, leaves], high[:, leaves]
 
     def regions(self, points: np.ndarray) -> np.ndarray:
         """The leaf of each point; those on a border go out."""
@@ -210,33 +213,35 @@ class _Index:
         bound, width = self.bound, self.width
 
         def find(rows: pa.Table, asks: pa.Table) -> pa.Table:
-            out: list[tuple[int, int, int]] = []
-            if rows.num_rows and asks.num_rows:
-                x, label = _matrix(rows.column("v").combine_chunks(), width), rows.column("label").to_numpy()
-                vid = rows.column("vid").to_numpy()
-                tree = VPTree(_augmented(x, bound), LEAF)
-                q = _matrix(asks.column("v").combine_chunks(), width)
-                own, of = asks.column("label").to_numpy(), asks.column("own").to_numpy()
-                ends = [asks.column(c).to_pylist() for c in ("low", "high", "worst")]
-                for i, (qid, low, high, worst) in enumerate(zip(asks.column("qid").to_pylist(), *ends, strict=True)):
-                    base = float((q[i].astype(float) ** 2).sum()) + bound
-                    floor = max(low, worst)
-
-                    def wanted(r, i=i, high=high, floor=floor, base=base):
-                        s = _products(x[r], q[i])
-                        keep = (s >= floor) & (s <= high) & ((label[r] == own[i]) if same else (label[r] != own[i]))
-                        if same:
-                            keep &= vid[r] != of[i]
-                        s, r = s[keep], r[keep]
-                        if len(s) > k:
-                            best = np.lexsort((vid[r], -s))[:k]
-                            s, r = s[best], r[best]
-                        return [(math.sqrt(max(base - 2.0 * a, 0.0)), -a, b) for a, b in zip(s.tolist(), vid[r].tolist(), strict=True)]
-
-                    inner, outer = (math.sqrt(max(base - 2.0 * e, 0.0)) for e in (high, floor))
-                    found = tree.search(np.append(q[i].astype(float), 0.0), inner, outer, wanted, k)
-                    out += [(qid, v, -s) for s, v in found]
-            return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], ["qid", "vid", "score"])
+            none = pa.table([pa.array([], pa.int64())] * 3, ["qid", "vid", "score"])
+            if not rows.num_rows or not asks.num_rows:
+                return none
+            rows = rows.sort_by("vid")  # of equal scores in a leaf the smaller id comes first
+            x, q = (_matrix(t.column("v").combine_chunks(), width) for t in (rows, asks))
+            vid, label = (rows.column(c).to_numpy() for c in ("vid", "label"))
+            qid, own, of, low, high, worst = (asks.column(c).to_numpy() for c in ("qid", "own", "label", "low", "high", "worst"))
+            tree = VPTree(_augmented(x, bound), LEAF)
+            base = (q.astype(float) ** 2).sum(1) + bound
+            least = np.maximum(low, worst)  # scores below are of no use any more
+            inner, outer = (np.sqrt(np.maximum(base - 2.0 * s, 0)) * (1 + sign * _ROOM) for s, sign in ((high.astype(float), -1), (least.astype(float), 1)))
+            score, found = np.full((len(q), k), _NONE), np.zeros((len(q), k), np.int64)
+            points = np.column_stack([q.astype(float), np.zeros(len(q))])
+            if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, width) < 2.0**53:
+                x, q = x.astype(float), q.astype(float)  # exact, and much faster
+            for asking, leaf in tree.nearest_first(points, inner, outer):
+                s = (q[asking] @ x[leaf].T).astype(np.int64)
+                other = label[leaf] != of[asking, None]
+                fits = (s >= least[asking, None]) & (s <= high[asking, None]) & (~other & (vid[leaf] != own[asking, None]) if same else other)
+                hit = fits.any(axis=1)
+                asking, s = asking[hit], np.where(fits[hit], s[hit], _NONE)
+                if len(asking):
+                    all_s, all_v = np.column_stack([score[asking], s]), np.column_stack([found[asking], np.broadcast_to(vid[leaf], s.shape)])
+                    best = np.lexsort((all_v, -all_s), axis=1)[:, :k]
+                    score[asking], found[asking] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_v, best, 1)
+                    least[asking] = np.maximum(least[asking], score[asking, -1])
+                    outer[asking] = np.sqrt(np.maximum(base[asking] - 2.0 * least[asking], 0)) * (1 + _ROOM)
+            i, j = np.nonzero(score > _NONE)
+            return pa.table([pa.array(qid[i]), pa.array(found[i, j]), pa.array(score[i, j])], ["qid", "vid", "score"])
 
         keys = ["region", "piece", "block"]
         return there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(find, "qid long, vid long, score long")

@@ -168,15 +168,19 @@ def test_negatives_of_odd_rows(spark):
     assert hard_negatives(df.filter(F.col("vec_id") % 100 != 0)).count() == 0
 
 
-def test_traversal_hands_out_the_nearest_first():
+def test_traversal_takes_the_nearest_leaves_first_and_ends_early():
     rng = np.random.default_rng(2)
-    x, q = rng.normal(size=(900, 5)), rng.normal(size=5)
-    d = np.sqrt(((x - q) ** 2).sum(1))
-    looked = []
-
-    def wanted(rows):
-        looked.extend(rows)
-        return [(d[r], 0, r) for r in rows if 0.8 <= d[r] <= 2.5]
-
-    got = [r for _, r in VPTree(x, 16).search(q, 0.8, 2.5, wanted, 12)]
-    assert got == [r for r in np.argsort(d) if 0.8 <= d[r] <= 2.5][:12] and len(looked) < 900
+    x, q = rng.normal(size=(900, 3)), rng.normal(size=(5, 3))
+    d = np.sqrt(((x - q[:, None]) ** 2).sum(2))
+    inner, outer = np.full(5, 0.8), np.full(5, 2.5)
+    looked, found = np.zeros(5), [[] for _ in q]
+    tree = VPTree(x, 16)
+    for asking, rows in tree.nearest_first(q, inner, outer):
+        for i in asking:
+            looked[i] += len(rows)
+            found[i] = sorted([*found[i], *(r for r in rows if 0.8 <= d[i, r] <= 2.5)], key=lambda r: d[i, r])[:12]
+            if len(found[i]) == 12:
+                outer[i] = min(outer[i], d[i, found[i][-1]])
+    for i in range(5):
+        assert found[i] == [r for r in np.argsort(d[i]) if 0.8 <= d[i, r] <= 2.5][:12]
+    assert (looked < 900).all() and looked.mean() < 450
