@@ -20,8 +20,14 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _bits(min_words: int) -> int:
+    """Bits that hold the number of lines before or behind another in a window: each line has a word at least."""
+    return max(1, (min_words - 1).bit_length())
+
+
 def _windows(lines: Column, min_words: int) -> Column:
-    """For an array of lines with words n: (left, right, place) of every window once, place being that of its least hash."""
+    """Every window of an array of lines with words n, once: its place (that of its least hash), the lines before it and the lines after its first, packed into a long."""
+    bits = _bits(min_words)
 
     def ends(step: int):
         def at(j: Column) -> Column:
@@ -29,8 +35,7 @@ def _windows(lines: Column, min_words: int) -> Column:
             for k in range(min_words):
                 if k:
                     words = words + F.get(lines, j + step * k)["n"]
-                left, right = (j, j + k) if step > 0 else (j - k, j)
-                value = F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"))
+                value = F.shiftleft((j if step > 0 else j - k).cast("long"), bits) + k
                 end = F.when(words >= min_words, value) if end is None else end.when(words >= min_words, value)
             return end
 
@@ -38,30 +43,46 @@ def _windows(lines: Column, min_words: int) -> Column:
 
     every = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda j: j < F.size(lines))  # without lines, sequence(0, -1) counts down
     every = F.when(F.size(lines) > 0, every).otherwise(F.array().cast("array<int>"))
+    # Longs, as Spark compares arrays of structs pair by pair.
     found = F.array_distinct(F.filter(F.concat(F.transform(every, ends(1)), F.transform(every, ends(-1))), lambda x: x.isNotNull()))
 
     def select(w: Column) -> Column:
-        least = let(F.transform(F.slice(lines, w["left"] + 1, w["right"] - w["left"] + 1), lambda x: x["h"]), lambda h: F.array_position(h, F.array_min(h)).cast("int") - 1)
-        return F.struct(w["left"].alias("left"), w["right"].alias("right"), F.when(w["left"] == w["right"], w["left"]).otherwise(w["left"] + least).alias("place"))
+        left, more = F.shiftright(w, bits).cast("int"), w.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        least = let(F.transform(F.slice(lines, left + 1, more + 1), lambda x: x["h"]), lambda h: F.array_position(h, F.array_min(h)).cast("int") - 1)
+        return let(F.when(more == 0, F.lit(0)).otherwise(least), lambda before: F.shiftleft((left + before).cast("long"), 2 * bits) + F.shiftleft(before, bits) + more)
 
     return F.transform(found, select)
 
 
+def _windows_around(places: Column, min_words: int) -> Column:
+    """What _windows() may give for windows with these places."""
+    bits = _bits(min_words)
+    shapes = [(before << bits) + more for more in range(min_words) for before in range(more + 1)]
+    return F.flatten(F.transform(places, lambda p: F.transform(F.array(*map(F.lit, shapes)), lambda x: F.shiftleft(p.cast("long"), 2 * bits) + x)))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4) -> DataFrame:
-    """(id, text_hash, lines): for each document that has any, the positions of its lines that repeat an earlier run."""
-    text = text_or_empty(text_col)
+    """(id, text_hash, lines): for each document that has any, the positions of its lines that repeat an earlier run. Time and space grow with the number of lines, in one text too."""
+    text, bits = text_or_empty(text_col), _bits(min_words)
     line = F.filter(F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0)
     base = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), line.alias("lines")).withColumn("windows", _windows(F.col("lines"), min_words)), "line-hashes")
     doc = F.struct("id", "text_hash")
     # Every selected position once, whatever the number of windows that selected it.
-    places = base.select("id", "text_hash", "lines", F.explode(F.array_distinct(F.transform("windows", lambda w: w["place"]))).alias("place"))
-    places = places.select("id", "text_hash", "place", F.get("lines", F.col("place"))["h"].alias("h"))
+    chosen = F.array_distinct(F.transform("windows", lambda w: F.shiftright(w, 2 * bits).cast("int")))
+    # What is exploded brings its lines along, so that no row carries the whole array of them.
+    places = base.select("id", "text_hash", F.explode(F.transform(chosen, lambda p: F.struct(p.alias("place"), F.get("lines", p)["h"].alias("h")))).alias("p")).select("id", "text_hash", "p.*")
     met = places.groupBy("h").agg(F.min(F.struct(doc, "place")).alias("a"), F.max(F.struct(doc, "place")).alias("b")).filter("a < b").select("h")
     joined = places.join(written(met, "line-fingerprints"), "h", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("place").alias("places"))
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash"))
-    around = base.join(joined.withColumnsRenamed({"id": "of", "text_hash": "hash"}), same).select("id", "text_hash", "lines", F.explode(F.filter("windows", lambda w: F.array_contains("places", w["place"]))).alias("w"))
-    part = F.slice("lines", F.col("w.left") + 1, F.col("w.right") - F.col("w.left") + 1)
-    matches = around.select("id", "text_hash", "w", part.alias("part")).select("id", "text_hash", F.col("part.i").alias("at"), F.xxhash64("part.h").alias("ahead"), F.xxhash64("part.g").alias("around"), (F.col("w.place") - F.col("w.left")).alias("before"))
+    low = F.lit((1 << bits) - 1)
+
+    def part(w: Column) -> Column:
+        before, more = F.shiftright(w, bits).bitwiseAND(low).cast("int"), w.bitwiseAND(low).cast("int")
+        return F.struct(before.alias("before"), F.slice("lines", F.shiftright(w, 2 * bits).cast("int") - before + 1, more + 1).alias("part"))
+
+    wanted = F.transform(F.array_intersect("windows", _windows_around(F.col("places"), min_words)), part)
+    around = base.join(joined.withColumnsRenamed({"id": "of", "text_hash": "hash"}), same).select("id", "text_hash", F.explode(wanted).alias("w")).select("id", "text_hash", "w.*")
+    matches = around.select("id", "text_hash", F.col("part.i").alias("at"), F.xxhash64("part.h").alias("ahead"), F.xxhash64("part.g").alias("around"), "before")
     matches = written(matches, "line-matches")
     place = F.struct("id", "text_hash", F.col("at")[0].alias("line"))
     key = ["ahead", "around", "before"]
@@ -76,8 +97,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes when it lies in a run of consecutive non-blank lines, of min_words words or more together, that also
     stands earlier: in a document with a smaller id (null first; among equal ids by a hash of the text) or further up
     in the same one. Runs of fewer words and blank lines stay. Rows equal in id and text count as one document. Null
-    texts have one empty line and an empty clean text; no rows give no rows. Very long texts are read whole: a row
-    holds its text's lines and their hashes. Other columns are kept as they are, whatever their names, but for n_lines,
+    texts have one empty line and an empty clean text; no rows give no rows. Very long texts are read whole, in time
+    that grows with their lines: a row holds its text's lines and their hashes. Other columns are kept as they are, whatever their names, but for n_lines,
     deleted and clean, which are replaced.
     """
     of, hashed, gone = spare(docs, "id_of", "hash_of", "gone")

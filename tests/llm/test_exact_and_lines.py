@@ -112,3 +112,17 @@ def test_lines_keep_columns_with_any_name(spark):
     df = spark.createDataFrame([(1, "a b c d", 7, 8, 9), (2, "a b c d", 7, 8, 9)], "doc_id long, text string, id_of long, gone long, __hash long")
     out = sorted(line_dedup(df).collect(), key=lambda r: r.doc_id)
     assert [(r.deleted, r.id_of, r.gone, r["__hash"]) for r in out] == [([], 7, 8, 9), ([0], 7, 8, 9)]
+
+
+def test_a_hundred_thousand_lines_in_one_text(spark):
+    import time
+
+    def texts(n):
+        lines = [f"line {i} has some words" if i % 3 else f"short {i}" for i in range(n)]
+        return spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["an own line of words", *lines[n // 2 :]]))], "doc_id long, text string")
+
+    line_dedup(texts(100)).collect()
+    began = time.time()
+    out = {r.doc_id: (len(r.deleted), r.deleted[:2]) for r in line_dedup(texts(100_000)).collect()}
+    assert out == {1: (0, []), 2: (50_000, [1, 2])}
+    assert time.time() - began < 120
