@@ -235,9 +235,14 @@ def _similar(fp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, tree: np.
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of docs: id, component_id: the smallest id reachable over links of at least that Jaccard similarity of the word shingles.
-
-    Texts without words make up one group; otherwise as near_duplicates.
+    """One row per row of docs: id, digest (XXH64 of the text), component_id, kept.
+
+    component_id is the smallest id reachable over links of at least that Jaccard similarity of the word shingles. Of
+    each component the rows with the first id (null last) and then the least digest are kept; rows that agree in both
+    are all kept or not, so that a caller chooses among them. Texts without words make up one group; null counts as
+    empty; texts with fewer words than a shingle count as one. Very long texts are read whole, a row at a time; ties
+    cannot occur. Ids are integers, and may be null, repeat, or stand at different texts. No rows give no rows; other
+    columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
 
@@ -274,8 +279,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = of_doc.select("fp", F.posexplode("bands").alias("piece", "bits")).distinct()
     crowds = written(components(written(_linked_in_shards(keyed, WIDE), "wide-links")), "crowds")
     # Of the texts with one set of shingles one goes on, found again by its digest and id.
-    first = of_doc.groupBy("node").agg(F.min("id").alias("id"), F.min("at").alias("at"), F.min("fp").alias("fp"))
-    named = written(first.join(crowds.select(F.col("node").alias("fp"), "component"), "fp", "left").select("node", "id", "at", "fp", F.coalesce("component", "fp").alias("crowd")), "crowd-texts")
+    lead = F.struct(F.col("id").isNull().alias("none"), "id", "at.digest")
+    first = of_doc.groupBy("node").agg(F.min("id").alias("id"), F.min("at").alias("at"), F.min("fp").alias("fp"), F.min(lead).alias("lead"))
+    named = written(first.join(crowds.select(F.col("node").alias("fp"), "component"), "fp", "left").select("node", "id", "at", "fp", "lead", F.coalesce("component", "fp").alias("crowd")), "crowd-texts")
     sizes = named.filter("node <> 0").groupBy("crowd").count().filter("count > 1").select("crowd", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     chosen = named.filter("node <> 0").join(sizes, "crowd").select("node", "fp", "crowd", "at.*")
     texts = small.select(of_text.alias("at"), "text").select("at.*", "text").join(chosen, ["digest", "row"]).select("node", "fp", "crowd", "text")
@@ -284,7 +290,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = sets.select("node", "fp", "crowd", "shingles", F.explode(pairs).alias("p")).select(F.xxhash64("crowd", "p.tree", "p.block").alias("shard"), F.col("p.role").alias("role"), "node", "fp", "shingles")
     edges = written(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(verified, "a long, b long").filter("a <> b").distinct(), "similar-links")
     groups = written(components(edges), "similar-groups").withColumnRenamed("node", "of")
-    grouped = named.join(groups, named["node"] == groups["of"], "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    ends = written(grouped.select("node", "component").join(least, "component").select("node", "component_id"), "similar-named")
-    return of_doc.join(ends, "node").select(F.col("id").alias(id_col), "component_id")
+    grouped = named.join(groups, named["node"] == groups["of"], "left").select("node", "id", "lead", F.coalesce("component", "node").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"), F.min("lead").alias("lead"))
+    ends = written(grouped.select("node", "component").join(least, "component").select("node", "component_id", "lead"), "similar-named")
+    kept = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("at.digest") == F.col("lead.digest"))
+    return of_doc.join(ends, "node").select(F.col("id").alias(id_col), F.col("at.digest").alias("digest"), "component_id", kept.alias("kept"))
