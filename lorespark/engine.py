@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.scoring import importance
 from lorespark.functions.text import entity_names
-from lorespark.operators import fusion, graph, memory, retrieval, routing
+from lorespark.operators import fusion, graph, memory, questions, retrieval, routing
 from lorespark.sources import formats
+from lorespark.sources.tables import written
 from lorespark.sparql import Graph, SparqlError
 
 
@@ -59,6 +60,7 @@ class Engine:
         self.stats = Stats()
         self._kept: dict[str, tuple[float, DataFrame]] = {}
         self._outcomes: list[Outcome] = []
+        self._labels: dict[str, DataFrame] = {}
 
     # --- queries over triples
     def sparql(self, text: str, bindings: dict[str, str] | None = None, limit: int | None = None, form: str | None = None) -> DataFrame:
@@ -98,6 +100,23 @@ class Engine:
         found = self.translator.translate(question, limit)
         return found, self.sparql(found.sparql) if found.executable else None
 
+    def label_index(self, schema: questions.Schema) -> DataFrame:
+        """The names in the graph, written once for a schema."""
+        if schema.base not in self._labels:
+            self._labels[schema.base] = written(questions.label_index(self.graph.triples, schema), "labels")
+        return self._labels[schema.base]
+
+    def translate_batch(self, asked: DataFrame, schema: questions.Schema) -> DataFrame:
+        """Questions (id, question) with their SPARQL, confidence and error, a row each."""
+        return questions.translated(asked, self.label_index(schema), schema)
+
+    def answer_batch(self, asked: DataFrame, schema: questions.Schema) -> DataFrame:
+        """Answers of questions (id, question): (id, answer, error)."""
+        return questions.answered(self.graph, asked, schema, self.label_index(schema))
+
+    def suggest(self, beginning: str, schema: questions.Schema, limit: int = 10) -> DataFrame:
+        return questions.suggestions(self.label_index(schema), beginning, limit)
+
     def discover_schema(self, type_: str | None = None) -> dict[str, DataFrame]:
         t = self.tables["triples"]
         out = {"types": graph.type_counts(t), "predicates": graph.predicate_counts(t)}
