@@ -26,17 +26,18 @@ def engine(spark):
     return Engine(spark, {"triples": triples(spark)}, {"ex": EX})
 
 
+#: Where several predicates would do and none is mentioned, the first of the schema counts.
 ASKED = {
     "Who wrote War and Peace?": ["a1"],
     "who edited WAR AND   PEACE": ["a2"],
     "who wrote War": ["a2"],
     "Which books are written by Ann \"A.\" Lee?": ["b1"],
     "books edited by bob": ["b1"],
-    "authors about peace, please": ["a1", "a2"],
+    "authors about peace, please": ["a1"],
     "who was born in New\\York": ["a2"],
     "How many books are by Bob?": "2",
     "number of authors of Oslo": "1",
-    "how many cities are about Peace": "2",
+    "how many cities are about Peace": "1",
     "Who wrote War and lives in Oslo": [],
     "Who wrote Nothing": "it names nothing that the graph has",
     "why Oslo": "it asks for no kind of thing that the graph has",
