@@ -58,6 +58,32 @@ SPARQL: dict[str, tuple[str, dict[str, str], str]] = {
         "SELECT ?n WHERE { ?n a ex:Nation MINUS { ?n ex:inRegion " + f"<{EX}region/1>" + " } }", {},
         f"SELECT '{EX}nation/' || n_nationkey AS n FROM nation WHERE n_regionkey <> 1",
     ),
+    "sparql_graph_variable": (
+        "SELECT ?g ?s ?name WHERE { GRAPH ?g { ?s ex:inNation ?n ; ex:name ?name } }", {},
+        f"""SELECT '{EX}graph/' || n_regionkey AS g, '{EX}supplier/' || s_suppkey AS s, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        UNION ALL SELECT '{EX}graph/' || n_regionkey, '{EX}customer/' || c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    ),
+    "sparql_graph_iri": (
+        f"SELECT ?s ?region WHERE {{ GRAPH <{EX}graph/1> {{ ?s ex:inNation ?n OPTIONAL {{ ?s ex:name ?name FILTER(STRSTARTS(?name, \"Sup\")) }} FILTER(BOUND(?name)) }} ?n ex:inRegion ?r . GRAPH <{EX}graph/regions> {{ ?r ex:name ?region }} }}", {},
+        f"SELECT '{EX}supplier/' || s_suppkey AS s, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1",
+    ),
+    "sparql_exists_or": (
+        "SELECT ?p WHERE { ?p a ex:Part ; ex:size ?z . FILTER(?z < 5 || EXISTS { ?q ex:imports ?p . ?q ex:size ?y FILTER(?y > 25) }) }", {},
+        f"SELECT '{EX}part/' || p_partkey AS p FROM part WHERE p_size < 5 OR p_partkey IN (SELECT {_IMPORTED} FROM part WHERE p_size > 25)",
+    ),
+    "sparql_exists_correlated": (
+        "SELECT ?p ?q WHERE { ?p ex:imports ?q . ?p ex:size ?z OPTIONAL { ?q ex:brand ?b FILTER(?b = \"Brand#3\") } FILTER(BOUND(?b) || !EXISTS { ?q ex:size ?y FILTER(?y < ?z) }) }", {},
+        f"""WITH e AS (SELECT p_partkey AS a, p_size AS z, {_IMPORTED} AS b FROM part)
+        SELECT '{EX}part/' || a AS p, '{EX}part/' || b AS q FROM e JOIN part q ON q.p_partkey = e.b WHERE q.p_brand = 'Brand#3' OR q.p_size >= z""",
+    ),
+    "sparql_exists_bind": (
+        "SELECT ?p ?used WHERE { ?p a ex:Part BIND(EXISTS { ?q ex:imports ?p } AS ?used) }", {},
+        f"SELECT '{EX}part/' || p_partkey AS p, (p_partkey IN (SELECT {_IMPORTED} FROM part))::VARCHAR AS used FROM part",
+    ),
+    "sparql_hashes_and_times": (
+        "SELECT ?c (MD5(?name) AS ?m) (SHA256(?name) AS ?h) (YEAR(NOW()) AS ?y) (MINUTES(\"2024-05-06T07:08:09.5Z\") AS ?i) (SECONDS(\"2024-05-06T07:08:09.5Z\") AS ?s) WHERE { ?c a ex:Customer ; ex:name ?name }", {"y": "bigint", "i": "bigint", "s": "double"},
+        f"SELECT '{EX}customer/' || c_custkey AS c, md5(c_name) AS m, sha256(c_name) AS h, 2024 AS y, 8 AS i, 9.5::DOUBLE AS s FROM customer",
+    ),
     "sparql_filter_numeric": (
         "SELECT ?o ?t WHERE { ?o ex:totalPrice ?t . FILTER(?t > 300000) }", {"t": "double"},
         f"SELECT '{EX}order/' || o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_totalprice > 300000",

@@ -85,7 +85,23 @@ class Catalog:
     def graph(self) -> Graph:
         # Relative sizes of the predicates, by which the compiler orders joins.
         sizes = {"contains": 60, "suppliedBy": 8, "placedBy": 15, "status": 15, "totalPrice": 15, "name": 4, "brand": 2, "size": 2, "imports": 2, "inNation": 1.6, "inRegion": 0.02}
-        return Graph(self.triples, PREFIXES, {EX + k: int(v * 1000) for k, v in sizes.items()} | {RDF_TYPE: 20_000})
+        return Graph(self.triples, PREFIXES, {EX + k: int(v * 1000) for k, v in sizes.items()} | {RDF_TYPE: 20_000}, self.quads, F.to_timestamp(F.lit(AS_OF)))
+
+    @cached_property
+    def quads(self) -> DataFrame:
+        """Suppliers and customers in a named graph for each region, and the names of regions in one of their own."""
+        nation, region = self.table("nation"), self.table("region")
+        none = F.lit(None).cast("string")
+
+        def quad(rows: DataFrame, s: Column, p: str, o: Column, kind: str, g: Column) -> DataFrame:
+            return rows.select(s.alias("s"), F.lit(EX + p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), none.alias("o_type"), none.alias("o_lang"), g.alias("g"))
+
+        parts = [quad(region, iri("region", "r_regionkey"), "name", F.col("r_name"), "literal", F.lit(EX + "graph/regions"))]
+        for kind, key, at, name in (("supplier", "s_suppkey", "s_nationkey", "s_name"), ("customer", "c_custkey", "c_nationkey", "c_name")):
+            rows = self.table(kind).join(nation, F.col(at) == F.col("n_nationkey"))
+            s, g = iri(kind, key), iri("graph", "n_regionkey")
+            parts += [quad(rows, s, "inNation", iri("nation", at), "uri", g), quad(rows, s, "name", F.col(name), "literal", g)]
+        return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def knowledge(self) -> DataFrame:

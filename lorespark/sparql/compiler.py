@@ -7,6 +7,7 @@ type or language, so that joins and DISTINCT compare terms. Catalyst gets the qu
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -17,6 +18,8 @@ from lorespark.sources.tables import written
 from lorespark.sparql.parser import RDF_TYPE, XSD, Query, SparqlError, parse
 
 _NUMERIC = tuple(XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong"))
+_DATE_TIME = r"^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?"
+_TIME_PARTS = {"YEAR": 1, "MONTH": 2, "DAY": 3, "HOURS": 4, "MINUTES": 5, "SECONDS": 6}
 _LITERAL = r'(?s)^"(.*)"(?:\^\^([^"]*)|@([^"]*))?$'
 
 
@@ -110,10 +113,15 @@ def join(left: Solutions, right: Solutions, how: str = "inner", extra: Column |
 
 
 class Graph:
-    """Triples to be queried. counts gives, where known, the number of triples of each predicate, by which joins are ordered."""
+    """Triples to be queried. counts gives, where known, the number of triples of each predicate, by which joins are ordered.
 
-    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None):
-        self.triples, self.prefixes, self.counts = triples, dict(prefixes or {}), counts or {}
+    quads are triples with the IRI g of a named graph, for GRAPH; now is what NOW() returns.
+    """
+
+    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, quads: DataFrame | None = None, now: Column | None = None):
+        self.triples, self.prefixes, self.counts, self.quads, self.now = triples, dict(prefixes or {}), counts or {}, quads, now
+        #: Within GRAPH ?g the name g, which every triple pattern then binds.
+        self._graph_name: str | None = None
         self.spark: SparkSession = triples.sparkSession
         self._parsed: dict[str, Query] = {}
 
@@ -305,6 +313,8 @@ class Graph:
                 inner_filters = [x[1] for x in p[1][1] if x[0] == "filter"]
                 right = self.group(("group", [x for x in p[1][1] if x[0] != "filter"]))
                 s = self.optional(s or self.unit(), right, inner_filters)
+            elif kind == "graph":
+                s = with_(self.named(p[1], p[2]))
             elif kind == "minus":
                 right = self.group(p[1])
                 s = s or self.unit()
@@ -314,7 +324,10 @@ class Graph:
                     s = join(s, right, "left_anti", some)
             else:
                 s = s or self.unit()
-                column = self.term_of(self.value(p[1], s))
+                names = s.names
+                s, e = self._marked(s, p[1])
+                s = replace(s, names=names)
+                column = self.term_of(self.value(e, s))
                 s = Solutions(s.df.select(*(F.col(f"`{n}`") for n in s.names), column.alias(p[2])), [*s.names, p[2]], s.maybe | {p[2]})
         s = s or self.unit()
         for f in filters:
@@ -334,7 +347,56 @@ class Graph:
                 both = self._side_by_side(s, right)
                 extra = reduce(lambda a, b: a & b, (_truth(self.value(f, both)) for f in inner))
             return join(s, right, "left_semi" if e[2] else "left_anti", extra)
-        return replace(s, df=s.df.filter(_truth(self.value(e, s))))
+        marked, e = self._marked(s, e)
+        kept = marked.df.filter(_truth(self.value(e, marked)))
+        return replace(s, df=kept if marked is s else kept.select(*(F.col(f"`{n}`") for n in s.names)))
+
+    def _marked(self, s: Solutions, e) -> tuple[Solutions, tuple]:
+        """s with a column of truth for each EXISTS inside of an expression, and the expression with these in their places."""
+        if isinstance(e, tuple) and e and e[0] == "exists":
+            name = f"__mark{len(s.df.columns)}"
+            return self._with_mark(s, e, name), ("mark", name)
+        if isinstance(e, (tuple, list)):
+            out = []
+            for x in e:
+                s, y = self._marked(s, x)
+                out.append(y)
+            return s, type(e)(out)
+        return s, e
+
+    def _with_mark(self, s: Solutions, e: tuple, name: str) -> Solutions:
+        inner = [x[1] for x in e[1][1] if x[0] == "filter"]
+        right = self.group(("group", [x for x in e[1][1] if x[0] != "filter"]))
+        shared = [n for n in s.names if n in right.names]
+        has = [F.col(f"`{c}`") for c in s.df.columns]
+        mark = (F.coalesce(F.col("__found"), F.lit(False)) == F.lit(e[2])).alias(name)
+        if not shared and not inner:
+            some = right.df.select(F.lit(1).alias("one")).limit(1).agg((F.count("one") > 0).alias("__found"))
+            return replace(s, df=s.df.crossJoin(F.broadcast(some)).select(*has, mark))  # one row
+        if not inner and not set(shared) & (s.maybe | right.maybe):
+            keys, on = right.df.select(*(F.col(f"`{n}`").alias(f"{n}__k") for n in shared)), shared
+        else:  # the distinct solutions that have a match, found again by all that they bind
+            extra = None
+            if inner:
+                both = self._side_by_side(s, right)
+                extra = reduce(lambda a, b: a & b, (_truth(self.value(f, both)) for f in inner))
+            some = replace(s, df=s.df.select(*(F.col(f"`{n}`") for n in s.names)).distinct())
+            keys, on = join(some, right, "left_semi", extra).df.select(*(F.col(f"`{n}`").alias(f"{n}__k") for n in s.names)), s.names
+        same = reduce(lambda a, b: a & b, (F.col(f"`{n}`").eqNullSafe(F.col(f"`{n}__k`")) for n in on))
+        return replace(s, df=s.df.join(keys.distinct().withColumn("__found", F.lit(True)), same, "left").select(*has, mark))
+
+    def named(self, term: tuple, group: tuple) -> Solutions:
+        """A group within one named graph, or within each in turn, whose IRI the variable then holds."""
+        if self.quads is None:
+            raise SparqlError("there are no named graphs")
+        inside = copy.copy(self)
+        if term[0] == "var":
+            inside.triples, inside._graph_name = self.quads, term[1]
+            if not group[1]:
+                return Solutions(self.quads.select(F.col("g").alias(term[1])).distinct(), [term[1]])
+        else:
+            inside.triples, inside._graph_name = self.quads.filter(F.col("g") == term[1]), None
+        return inside.group(group)
 
     @staticmethod
     def _side_by_side(left: Solutions, right: Solutions) -> Solutions:
@@ -388,7 +450,10 @@ class Graph:
                 df = df.filter((F.col("o") == o[1]) & (F.col("o_kind") != "literal"))
             elif o[0] == "lit":
                 df = df.filter((F.col("o") == o[1]) & (object_term() == encoded(o)))
-            return _bound(df.select(F.col("s"), F.col("p"), object_term().alias("o")), [(s, "s"), (p, "p"), (o, "o")])
+            graph = [] if self._graph_name is None else [(("var", self._graph_name), "g")]
+            return _bound(df.select(F.col("s"), F.col("p"), object_term().alias("o"), *(F.col("g") for _ in graph)), [(s, "s"), (p, "p"), (o, "o"), *graph])
+        if self._graph_name is not None:
+            raise SparqlError("a path within GRAPH needs the IRI of a graph")
         known = s[1] if s[0] == "iri" else None
         target = encoded(o) if o[0] != "var" else None
         return _bound(self.path(p, known, target), [(s, "s"), (o, "o")])
@@ -452,8 +517,10 @@ class Graph:
             if e[2] == XSD + "boolean":
                 return Value("truth", F.lit(e[1] in ("true", "1")))
             return Value("term", F.lit(encoded(e)))
+        if kind == "mark":
+            return Value("truth", F.col(e[1]))
         if kind == "exists":
-            raise SparqlError("EXISTS is supported as a filter of its own or within &&")
+            raise SparqlError("EXISTS is supported in FILTER and BIND")
         if kind == "agg":
             raise SparqlError("an aggregate stands outside of a grouped query")
         return self.call(e[1], e[2], s)
@@ -505,6 +572,15 @@ class Graph:
             return Value("text", F.substring(_text(v[0]), start, size))
         if name == "CONCAT":
             return Value("text", F.concat(*map(_text, v)))
+        if name in ("MD5", "SHA1", "SHA256", "SHA384", "SHA512"):
+            text = _text(v[0]).cast("binary")
+            return Value("text", F.md5(text) if name == "MD5" else F.sha1(text) if name == "SHA1" else F.sha2(text, int(name[3:])))
+        if name == "NOW":
+            if self.now is None:
+                raise SparqlError("NOW() needs a graph with a time")
+            return Value("term", F.concat(F.date_format(self.now, "'\"'yyyy-MM-dd'T'HH:mm:ss'Z\"^^'"), F.lit(XSD + "dateTime")))
+        if name in _TIME_PARTS:
+            return Value("number", F.regexp_extract(_text(v[0]), _DATE_TIME, _TIME_PARTS[name]).try_cast("double"))
         if name == "REPLACE":
             return Value("text", F.regexp_replace(_text(v[0]), _text(v[1]), _text(v[2])))
         if name == "REGEX":

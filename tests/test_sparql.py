@@ -134,3 +134,27 @@ def test_variables_left_unbound_on_either_side_join_by_cases(spark):
         query = f"SELECT ?p ?q WHERE {{ {{ ?p :type :P {more('p', ('nick', 'tag'))} }} {{ ?q :kind :Q {more('q', ('alias', 'tag'))} }} }}"
         agree = lambda a, b: all(x is None or y is None or x == y for x, y in list(zip(a, b, strict=True))[:shared])  # noqa: B023, E731
         assert texts(g, query) == sorted((f"urn:{p}", f"urn:{q}") for p, a in left.items() for q, b in right.items() if agree(a, b))
+
+
+def test_named_graphs_and_marks(spark):
+    rows = [("a", "p", "b"), ("b", "p", "c"), ("c", "q", "a"), ("d", "q", "d")]
+    kind = "s string, p string, o string, o_kind string, o_type string, o_lang string"
+    iri = lambda x: f"http://x/{x}"
+    triples = spark.createDataFrame([(*map(iri, r), "uri", None, None) for r in rows], kind)
+    quads = spark.createDataFrame([(*map(iri, r), "uri", None, None, iri(g)) for r, g in zip(rows, ("g1", "g2", "g1", "g2"), strict=True)], kind + ", g string")
+    graph = Graph(triples, {"x": "http://x/"}, quads=quads)
+    rows_of = lambda text: sorted(tuple((v or "-").removeprefix("http://x/") for v in r) for r in graph.query(text).collect())
+    assert rows_of("SELECT ?g ?s WHERE { GRAPH ?g { ?s x:p ?o } }") == [("g1", "a"), ("g2", "b")]
+    assert rows_of("SELECT ?g WHERE { GRAPH ?g { } }") == [("g1",), ("g2",)]
+    assert rows_of("SELECT ?s WHERE { GRAPH ?g { ?s x:p ?m . ?m x:p ?o } }") == []  # both patterns must be in one graph
+    assert rows_of("SELECT ?s ?o WHERE { GRAPH x:g1 { ?s x:p+ ?o } ?o x:p ?e }") == [("a", "b")]
+    assert rows_of("SELECT ?g ?s ?t WHERE { GRAPH ?g { ?s x:q ?o OPTIONAL { ?t x:p ?u } } }") == [("g1", "c", "a"), ("g2", "d", "b")]
+    for bad in ("SELECT ?s WHERE { GRAPH ?g { ?s x:p+ ?o } }", "SELECT ?s WHERE { ?s x:p ?o FILTER(NOW() = ?o) }"):
+        with pytest.raises(SparqlError):
+            graph.query(bad)
+    with pytest.raises(SparqlError, match="no named graphs"):
+        Graph(triples).query("SELECT ?s WHERE { GRAPH ?g { ?s ?p ?o } }")
+    assert rows_of("SELECT ?s WHERE { ?s ?p ?o FILTER(?s = x:d || EXISTS { ?o x:p ?z }) }") == [("a",), ("c",), ("d",)]
+    assert rows_of("SELECT ?s ?t WHERE { ?s x:p ?o OPTIONAL { ?t x:q ?s } FILTER(!EXISTS { ?t x:q ?z } || ?s = x:c) }") == []
+    assert rows_of("SELECT ?s WHERE { ?s x:q ?o FILTER(EXISTS { ?a x:p ?b } && NOT EXISTS { ?s x:p ?e }) }") == [("c",), ("d",)]
+    assert rows_of("SELECT ?s WHERE { ?s x:q ?o FILTER(EXISTS { ?o x:p ?b FILTER(?b != ?s) } || EXISTS { ?none x:none ?c }) }") == [("c",)]
