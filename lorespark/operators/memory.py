@@ -10,6 +10,8 @@ from lorespark.functions.text import overlap, short_hash, tokens
 from lorespark.operators.documents import first_of, top_rows
 
 SESSION_SECONDS = 24 * 3600
+#: How long entries stay in the short-term layer.
+SHORT_SECONDS = 3600
 
 
 def memories(entries: DataFrame, now: Column) -> DataFrame:
@@ -33,6 +35,28 @@ def retrieve(short_term: DataFrame, long_term: DataFrame, session, query: str, l
     return first_of(both, ["id"], [F.col("layer")]).orderBy(F.desc("importance"), F.desc("likeness"), "id").limit(limit)
 
 
+def short_term(entries: DataFrame, now: Column, most: int = 50, seconds: int = SHORT_SECONDS) -> DataFrame:
+    """The short-term layer of stored entries (…, session_id, id, stored_at): of each session the last ones that have not expired."""
+    fresh = entries.filter(F.unix_millis("stored_at") + seconds * 1000 > F.unix_millis(now))
+    return top_rows(fresh, ["session_id"], [F.desc("stored_at"), F.asc("id")], most).drop("rank")
+
+
+def recalled(entries: DataFrame, questions: DataFrame, now: Column, limit: int = 10, most: int = 50, seconds: int = SHORT_SECONDS) -> DataFrame:
+    """retrieve() for many sessions at once: questions (session_id, query); rows (session_id, rank, id, layer, importance, likeness).
+
+    Half of the results come from the session's short-term layer, by words shared with the query, half from all of its
+    entries, by importance; what both have counts once, as short-term.
+    """
+    asked = questions.select("session_id", "query")
+    near = lambda df: df.join(asked, "session_id").withColumn("likeness", overlap(F.col("query"), F.col("content")))
+    matching = near(short_term(entries, now, most, seconds)).filter(F.arrays_overlap(tokens(F.col("content")), tokens(F.col("query"))))
+    recent = top_rows(matching, ["session_id"], [F.desc("likeness"), F.asc("id")], limit // 2).withColumn("layer", F.lit("short"))
+    old = top_rows(near(entries), ["session_id"], [F.desc("importance"), F.desc("likeness"), F.asc("id")], limit // 2).withColumn("layer", F.lit("long"))
+    columns = ["session_id", "id", "layer", "importance", "likeness"]
+    both = first_of(recent.select(*columns).unionByName(old.select(*columns)), ["session_id", "id"], [F.when(F.col("layer") == "short", 0).otherwise(1)])
+    return top_rows(both, ["session_id"], [F.desc("importance"), F.desc("likeness"), F.asc("id")], limit)
+
+
 def cleared(entries: DataFrame, session) -> DataFrame:
     return entries.filter(F.col("session_id") != session)
 

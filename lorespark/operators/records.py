@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,34 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def accuracy_by_fold(df: DataFrame, key: str, label: str, predicted: str, folds: int = 5) -> DataFrame:
-    """(fold, n, accuracy): rows dealt to folds by their key."""
-    fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)).alias("fold")
-    return df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(label) == F.col(predicted)).cast("int")).alias("accuracy"))
+def fold_of(key: Column, folds: int = 5) -> Column:
+    """A fold from 0 on by the MD5 of a key's text."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def accuracy_by_fold(rows: DataFrame, key: str, label: str, guess: str, folds: int = 5) -> DataFrame:
+    """Accuracy of guesses that are there already, by fold."""
+    return rows.groupBy(fold_of(F.col(key), folds).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(label) == F.col(guess)).cast("int")).alias("accuracy"))
+
+
+def cross_validated(rows: DataFrame, key: str, label: str, features: list[str], folds: int = 5) -> DataFrame:
+    """rows with fold and guess: the class whose mean features, of the rows in the other folds, lie nearest.
+
+    All folds are fitted in one plan: means of a fold's complement are the sums of all rows less those of the fold, so
+    rows are read for the sums and once more for the guesses, which meet one row a fold and class. Of equal distances
+    the smaller class wins; rows with a null feature or label take no part. A class that a complement lacks is no guess.
+    """
+    known = rows.filter(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [label, *features]))).withColumn("fold", fold_of(F.col(key), folds))
+    sums = known.groupBy("fold", label).agg(F.count(F.lit(1)).alias("__n"), *(F.sum(F.col(c).cast("double")).alias(f"__s{i}") for i, c in enumerate(features)))
+    of_class = Window.partitionBy(label)
+    every = known.select("fold").distinct().crossJoin(F.broadcast(known.select(label).distinct()))  # folds times classes
+    full = every.join(sums, ["fold", label], "left").fillna(0)
+    rest = full.select("fold", F.col(label).alias("__class"), *((F.sum(c).over(of_class) - F.col(c)).alias(c) for c in ("__n", *(f"__s{i}" for i in range(len(features))))))
+    means = rest.filter("__n > 0").select("fold", "__class", *((F.col(f"__s{i}") / F.col("__n")).alias(f"__m{i}") for i in range(len(features))))
+    classes = means.groupBy("fold").agg(F.collect_list(F.struct("__class", *(f"__m{i}" for i in range(len(features))))).alias("__classes"))
+    far = lambda m: sum(((F.col(c).cast("double") - m[f"__m{i}"]) ** 2 for i, c in enumerate(features)), F.lit(0.0))
+    nearest = F.array_min(F.transform("__classes", lambda m: F.struct(far(m).alias("d"), m["__class"].alias("guess"))))
+    return known.join(F.broadcast(classes), "fold", "left").withColumn("guess", nearest["guess"]).drop("__classes")  # one row a fold
 
 
 def neighbour_pairs(nodes: DataFrame, keys: list[str], order: str, most: int = 5) -> DataFrame:

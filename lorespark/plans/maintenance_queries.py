@@ -90,14 +90,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.path, 'main' AS source, 'calls' AS type, r.target_name, coalesce(own.path, first.path) AS target_path
         FROM (SELECT DISTINCT * FROM ref) r LEFT JOIN (SELECT DISTINCT * FROM ent) own ON own.path = r.path AND own.name = r.target_name LEFT JOIN first ON first.name = r.target_name""",
     "incremental_entities": f"WITH {_LAST_FILES} SELECT DISTINCT path, name, 'function' AS entity_type FROM ent",
-    "stream_follow_ups": f"""WITH e AS (SELECT user_id AS session_id, event_id AS id, epoch_ms(ts) AS ms, {_QUERY} AS query, value * 40 AS response_ms FROM events), {_feedback("e")}
+    "stream_follow_ups": f"""WITH e AS (SELECT user_id AS session_id, event_id AS id, epoch_us(ts) // 1000 AS ms, {_QUERY} AS query, value * 40 AS response_ms FROM events), {_feedback("e")}
         SELECT session_id, id, follow_up, engaged_s, feedback_type, confidence FROM done WHERE ms + 300000 <= (SELECT max(ms) FROM e) - 600000""",
-    "stream_poll_ring": """WITH e AS (SELECT event_type AS container, event_id AS id, epoch_ms(ts) AS ms, CASE WHEN event_id % 13 <> 0 THEN round(value * 100) END AS value FROM events),
+    "stream_poll_ring": """WITH e AS (SELECT event_type AS container, event_id AS id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 13 <> 0 THEN round(value * 100) END AS value FROM events),
         r AS (SELECT container, id, ms, list({'ms': ms, 'value': value}) OVER (PARTITION BY container ORDER BY ms, id ROWS BETWEEN 287 PRECEDING AND CURRENT ROW) AS ring FROM e),
         k AS (SELECT container, id, ms, list_filter(ring, lambda p: p.ms > ms - 86400000) AS ring FROM r),
         v AS (SELECT *, list_filter(list_transform(ring, lambda p: p.value), lambda x: x IS NOT NULL) AS vals FROM k)
         SELECT container, id, len(ring)::INT AS polls, list_min(vals) AS least, round(list_avg(vals), 6) AS mean, list_max(vals) AS most FROM v WHERE ms <= (SELECT max(ms) FROM e) - 600000""",
-    "implicit_feedback_limited": f"""WITH e AS (SELECT user_id AS session_id, event_id AS id, epoch_ms(ts) AS ms, {_QUERY} AS query, value AS response_ms FROM events), {_feedback("e")}
+    "implicit_feedback_limited": f"""WITH e AS (SELECT user_id AS session_id, event_id AS id, epoch_us(ts) // 1000 AS ms, {_QUERY} AS query, value AS response_ms FROM events), {_feedback("e")}
         SELECT id, follow_up, engaged_s, feedback_type, confidence FROM done""",
     "session_fingerprint": """SELECT c_custkey, 'auto_' || left(sha256('[' || concat_ws(', ', '(''ip_address'', ''10.0.0.' || c_nationkey || ''')', '(''user_agent'', ''' || c_mktsegment || ''')',
         CASE WHEN c_custkey % 3 <> 0 THEN '(''user_id'', ''' || c_name || ''')' END) || ']'), 16) AS session_id FROM customer""",
