@@ -269,7 +269,7 @@ QUERIES: dict[str, Query] = {
     "commits_since": lambda spark, sf: versioning.commits_since(Catalog(spark, sf).table("events").select(F.col("event_id").cast("string").alias("sha"), F.struct("ts", "event_id").alias("sequence"), "event_id"), "500").select("event_id"),
     # text
     "language_detect": lambda spark, sf: _files(spark, sf).select("page_id", t.language(F.col("path")).alias("language"), t.extension(F.col("path")).alias("extension"), t.file_name(F.col("path")).alias("name")),
-    "file_roles": lambda spark, sf: _files(spark, sf).select("page_id", t.is_test_file(F.col("path")).alias("test"), t.is_config_file(F.col("path")).alias("config"), t.is_documentation_file(F.col("path")).alias("documentation")),
+    "file_roles": lambda spark, sf: _files(spark, sf).select("page_id", *(t.file_role(F.col("path"), role).alias(role) for role in ("test", "config", "documentation"))),
     "backup_tags": lambda spark, sf: _files(spark, sf).select("page_id", F.array_join(t.path_tags(F.col("path")), ",").alias("tags")),
     "line_counts": lambda spark, sf: _docs(spark, sf).select("id", *(c.alias(n) for n, c in zip(("lines", "full_lines"), t.line_counts(F.col("content")), strict=True))),
     "term_overlap": lambda spark, sf: _docs(spark, sf).select("id", _r(t.overlap(F.lit("the of and les der"), F.col("content"))).alias("share")),
@@ -397,6 +397,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, CASE {" ".join(f"WHEN extension IN ({', '.join(repr(x) for x in known)}) THEN '{k}'" for k, known in t.EXTENSIONS.items())} END AS language, extension, name FROM e""",
     "file_roles": rf"""WITH {_PATHS}, n AS (SELECT page_id, lower(path) AS low, lower(regexp_extract(replace(path, '\', '/'), '[^/]*$')) AS name FROM f)
         SELECT page_id, contains(low, 'test') OR contains(name, 'spec') AS test, {_any("name", t.CONFIG_NAMES)} AS config, regexp_matches(name, '^.+\.(md|rst|txt|adoc)$') OR name IN ('readme', 'changelog', 'license', 'contributing', 'authors') OR contains(low, 'docs') AS documentation FROM n""",
+    "backup_tags": rf"""WITH {_PATHS}, n AS (SELECT page_id, lower(path) AS low, lower(regexp_extract(replace(path, '\', '/'), '[^/]*$')) AS name FROM f), x AS (SELECT *, regexp_extract(name, '^.+\.([^.]+)$', 1) AS ext FROM n)
+        SELECT page_id, array_to_string(list_concat(
+            CASE ext WHEN 'py' THEN ['python'] WHEN 'js' THEN ['javascript'] WHEN 'jsx' THEN ['javascript'] WHEN 'ts' THEN ['typescript'] WHEN 'tsx' THEN ['typescript'] WHEN 'java' THEN ['java'] WHEN 'go' THEN ['go'] WHEN 'rs' THEN ['rust']
+                WHEN 'c' THEN ['c'] WHEN 'h' THEN ['c'] WHEN 'cpp' THEN ['cpp'] WHEN 'hpp' THEN ['cpp'] WHEN 'cs' THEN ['csharp'] ELSE [] END,
+            CASE WHEN contains(low, 'test') THEN ['test', 'testing'] ELSE [] END, CASE WHEN contains(low, 'config') OR name = 'settings.py' THEN ['config', 'configuration'] ELSE [] END, CASE WHEN ext IN ('md', 'rst', 'txt') THEN ['documentation', 'docs'] ELSE [] END,
+            CASE WHEN contains(low, '.claude') THEN ['ai-tool', 'claude'] ELSE [] END, CASE WHEN contains(low, '.cursor') OR contains(low, '.vscode') THEN ['ide-config', 'development-tool'] ELSE [] END,
+            CASE WHEN contains(name, 'dockerfile') OR contains(name, 'docker-compose') THEN ['docker', 'containerization'] ELSE [] END, CASE WHEN ext IN ('json', 'yaml', 'yml') THEN ['config', 'data'] ELSE [] END), ',') AS tags FROM x""",
+    "entity_extraction": rf"""WITH {_QUESTIONS} SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(question, '"([^"]*)"', 1),
+        list_filter(regexp_split_to_array(trim(question), '\s+'), lambda w: regexp_matches(w, '^[A-Z]') AND length(w) > 2 AND w NOT IN {t.QUESTION_WORDS}),
+        regexp_extract_all(question, '\b([a-z_][a-z0-9_]*[a-z0-9]|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*)\b', 1)))), ',') AS names FROM q""",
     "line_counts": r"SELECT doc_id AS id, len(string_split(text, chr(10)))::INT AS lines, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '\s*')))::INT AS full_lines FROM documents",
     "term_overlap": f"SELECT doc_id AS id, round(len(list_intersect({_QUERY_WORDS}, {_TOKENS.format(c='text')})) / 5.0::DOUBLE, 6) AS share FROM documents",
     "jaccard": f"WITH x AS (SELECT doc_id AS id, {_TOKENS.format(c='text')} AS w FROM documents) SELECT id, round(len(list_intersect({_QUERY_WORDS}, w)) / len(list_distinct(list_concat({_QUERY_WORDS}, w)))::DOUBLE, 6) AS jaccard FROM x",
