@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.operators.versioning import changed_paths
+from lorespark.sources.tables import last_version
 
 _FILES = "path string, action string, version int"
 _ENTITIES = "path string, name string, entity_type string, version int"
@@ -44,12 +45,7 @@ class LinkedIndex:
 
     def last_version(self) -> int:
         """The number of the last whole version: its files table is written last."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/files")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        n = 0
-        while fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/files/{n + 1}/_SUCCESS")):
-            n += 1
-        return n
+        return last_version(self.spark, f"{self.folder}/files")
 
     def _heads(self, version: int) -> DataFrame:
         """(path, version, action): the last change of every path."""

@@ -12,7 +12,7 @@ _own_folders: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder where that is unset and all runs in one process."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -32,3 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The last of the tables 1, 2, … in a folder that has been written whole; 0 if there is none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    done = (int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+    return max(done, default=0)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lorespark.operators.lifecycle import branch_history, session_generations
 from lorespark.operators.memory import recalled, short_term
+from lorespark.operators.online import OnlineModel, OnlineRegressor, hashed_words
 from lorespark.operators.records import cross_validated, fold_of
+from lorespark.sources.tables import last_version, new_path
+from lorespark.streaming import sync
 
 START = datetime(2024, 1, 1)
 
@@ -60,3 +63,66 @@ def test_cross_validation_equals_a_loop(spark):
         best = min(far.values())
         assert r.fold == fold[r.id] and abs(far[r.guess] - best) < 1e-9
     assert cross_validated(df, "id", "label", ["x", "y"]).count() == len(known)
+
+
+def test_hashed_words_are_those_of_a_plain_loop(spark):
+    from zlib import crc32
+
+    texts = ["One two  TWO\tthree", "", None, "ä", " x "]
+    got = [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select(hashed_words(F.col("t"), 97).alias("h")).collect()]
+    for t, h in zip(texts, got, strict=True):
+        words = (t or "").lower().split()
+        assert h == [crc32(x.encode()) % 97 for x in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]]
+
+
+def _sentences(n, seed):
+    rng = random.Random(seed)
+    good, bad = ["good", "great", "fine", "lovely"], ["bad", "awful", "poor", "sad"]
+    rows = []
+    for _ in range(n):
+        words = [rng.choice(good + bad) for _ in range(rng.randrange(1, 9))]
+        rows.append((" ".join(words), float(sum(w in good for w in words) - sum(w in bad for w in words)) / len(words)))
+    return rows
+
+
+def test_a_regressor_learns_over_batches_and_resumes(spark):
+    held = spark.createDataFrame(_sentences(100, 99) + [("no value", None)], "text string, value double")
+    folder = new_path(spark, "weights")
+    batches = [spark.createDataFrame(_sentences(120, i), "text string, value double").repartition(3) for i in range(4)]
+    model = OnlineRegressor(features=200, rate=1.0, inner=3, folder=folder)
+    errors = [model.errors(held).first()["mse"]]
+    for i, b in enumerate(batches[:3], 1):
+        errors.append(model.partial_fit(b, version=i).errors(held).first()["mse"])
+    assert all(b < a for a, b in zip(errors, errors[1:], strict=False)) and errors[-1] < 0.5 * errors[0]
+    assert last_version(spark, folder) == 3
+    again = OnlineRegressor.resumed(spark, folder, features=200, rate=1.0, inner=3)
+    before = again.weights["value"].copy()
+    again.partial_fit(batches[0], version=2)  # a batch that has been there
+    assert again.steps == 3 and (again.weights["value"] == before).all() and abs(before - model.weights["value"]).max() < 1e-12
+    for m in (again, model):
+        m.partial_fit(batches[3], version=4)
+    assert abs(again.weights["value"] - model.weights["value"]).max() < 1e-9
+    one = OnlineRegressor(features=200, rate=1.0, inner=3)
+    one.partial_fit(batches[0].coalesce(1))
+    many = OnlineRegressor(features=200, rate=1.0, inner=3)
+    many.partial_fit(batches[0].repartition(7))
+    assert abs(one.weights["value"] - many.weights["value"]).max() < 1e-9 and model.predict("great fine") > 0 > model.predict("sad poor")
+    assert OnlineRegressor(features=200).partial_fit(held.limit(0)).predict("x") == 0.0
+
+
+def test_a_classifier_on_a_stream_goes_on_where_it_stopped(spark):
+    folder, source, checkpoint = (new_path(spark, x) for x in ("weights", "source", "checkpoint"))
+    schema = "text string, label string"
+
+    def feed(seed):
+        rows = [(t, "pos" if v > 0 else "neg") for t, v in _sentences(80, seed) if v] + [("unlabelled", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    for n in (1, 2):
+        feed(n)
+        model = OnlineModel.resumed(spark, folder, features=300, inner=2)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        sync.learn_online(stream, checkpoint, lambda batch, i, model=model: model.partial_fit(batch, version=i + 1)).awaitTermination()
+        assert model.steps == n
+    assert set(model.weights) == {"pos", "neg"} and model.predict("great fine") == "pos" and model.predict("poor awful sad") == "neg"
+    assert OnlineModel(features=9).predict("x") is None
