@@ -54,6 +54,17 @@ def _ring(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("container", "id", "polls", "least", F.round("mean", 6).alias("mean"), "most")
 
 
+def _bulk(spark: SparkSession, sf: str) -> DataFrame:
+    """Triple documents in the order of their times, in four runs of which the first three are bounded."""
+    c = Catalog(spark, sf).table("customer")
+    k = F.col("c_custkey")
+    docs = c.select(k.cast("string").alias("id"), F.when(k % 13 != 0, k * 7919 % 1009).alias("_ts"), F.when(k % 9 == 4, "other").otherwise("rdf_triple").alias("type"), F.concat(F.lit("http://x/c"), k % 400).alias("subject"), F.when(k % 11 != 5, "http://x/segment").alias("predicate"), F.concat(F.lit('"'), "c_mktsegment", F.lit('"')).alias("object"))
+    folder, n = new_path(spark, "bulk-sync"), c.count()
+    for most in (n // 4, n // 4, n // 4, None):
+        sync.bulk_sync(docs, folder, most)
+    return sync.synced(spark, folder).select("s", "p", "o", "o_kind")
+
+
 _LAST_FILES = """e AS (SELECT event_id AS n, event_type, printf('src/u%08d.py', user_id) AS path FROM events),
     f AS (SELECT path, max(n) AS n, arg_max(event_type, n) AS event_type FROM e GROUP BY path HAVING arg_max(event_type, n) <> 'error'),
     ent AS (SELECT path, unnest(['f' || n % 211, 'g' || n % 17, 'main']) AS name FROM f),
@@ -62,6 +73,7 @@ _LAST_FILES = """e AS (SELECT event_id AS n, event_type, printf('src/u%08d.py',
 QUERIES: dict[str, Query] = {
     "incremental_links": lambda spark, sf: _relinked(spark, sf).links(),
     "incremental_entities": lambda spark, sf: _relinked(spark, sf).entities(),
+    "bulk_sync": _bulk,
     "stream_follow_ups": _followed,
     "stream_poll_ring": _ring,
     "implicit_feedback_limited": lambda spark, sf: memory.with_implied_feedback(
@@ -90,6 +102,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.path, 'main' AS source, 'calls' AS type, r.target_name, coalesce(own.path, first.path) AS target_path
         FROM (SELECT DISTINCT * FROM ref) r LEFT JOIN (SELECT DISTINCT * FROM ent) own ON own.path = r.path AND own.name = r.target_name LEFT JOIN first ON first.name = r.target_name""",
     "incremental_entities": f"WITH {_LAST_FILES} SELECT DISTINCT path, name, 'function' AS entity_type FROM ent",
+    "bulk_sync": "SELECT DISTINCT 'http://x/c' || c_custkey % 400 AS s, 'http://x/segment' AS p, c_mktsegment AS o, 'literal' AS o_kind FROM customer WHERE c_custkey % 9 <> 4 AND c_custkey % 11 <> 5",
     "stream_follow_ups": f"""WITH e AS (SELECT user_id AS session_id, event_id AS id, epoch_us(ts) // 1000 AS ms, {_QUERY} AS query, value * 40 AS response_ms FROM events), {_feedback("e")}
         SELECT session_id, id, follow_up, engaged_s, feedback_type, confidence FROM done WHERE ms + 300000 <= (SELECT max(ms) FROM e) - 600000""",
     "stream_poll_ring": """WITH e AS (SELECT event_type AS container, event_id AS id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_id % 13 <> 0 THEN round(value * 100) END AS value FROM events),

@@ -126,3 +126,33 @@ def test_rings_in_batches(spark, interactions):
         assert (r.polls, r.least, r.most) == (len(ring), min(seen, default=None), max(seen, default=None))
         assert (r["mean"] is None) == (not seen) and (not seen or abs(r["mean"] - sum(seen) / len(seen)) < 1e-9)
     assert set(got) == {r[1] for r in rows[:-1]}
+
+
+def test_a_sync_in_bounded_runs_equals_one_run(spark):
+    rng = random.Random(2)
+    rows = [(f"d{i:03d}", rng.choice([None, *range(40)]), "rdf_triple", f"http://x/{rng.randrange(30)}", "http://x/p", f'"{rng.randrange(5)}"') for i in range(150)]
+    docs = spark.createDataFrame(rows, "id string, _ts long, type string, subject string, predicate string, object string").repartition(4)
+    folder, one = new_path(spark, "bulk"), new_path(spark, "bulk")
+    order = sorted(rows, key=lambda r: (r[1] or 0, r[0]))
+    for k in range(3):
+        got = sync.bulk_sync(docs, folder, 40)
+        seen = {(r[3], r[5]) for r in order[: 40 * (k + 1)]}
+        assert got["version"] == k + 1 and got["documents"] == 40 and sync.synced(spark, folder).count() == len(seen)
+    # A run that stops before its bookmark leaves nothing that counts.
+    sync.synced(spark, folder).limit(1).write.parquet(f"{folder}/triples/4")
+    assert sync.synced(spark, folder).count() == len(seen)
+    assert sync.bulk_sync(docs, folder)["documents"] == 30 and sync.bulk_sync(docs, folder) == {"version": 4, "documents": 0, "added": 0}
+    assert sync.bulk_sync(docs, one)["documents"] == 150
+    assert sorted(map(tuple, sync.synced(spark, folder).collect()), key=str) == sorted(map(tuple, sync.synced(spark, one).collect()), key=str)
+
+
+def test_a_stream_stops_at_its_limits_and_goes_on(spark):
+    schema = "type string, subject string, predicate string, object string"
+    source, target, checkpoint = (new_path(spark, x) for x in ("source", "target", "checkpoint"))
+    for i in range(4):
+        spark.createDataFrame([("rdf_triple", f"http://x/{j % 30}", "http://x/p", f'"{i}"') for j in range(50)], schema).coalesce(1).write.mode("append").parquet(source)
+    first = sync.sync_triples(spark, source, schema, target, checkpoint, bytes_per_batch=1, documents=50).count()
+    assert 30 <= first <= 120 and first % 30 == 0
+    with pytest.raises(sync.SyncStopped, match="state takes"):
+        sync.sync_triples(spark, source, schema, new_path(spark, "target"), new_path(spark, "checkpoint"), files_per_batch=1, state_bytes=1)
+    assert sync.sync_triples(spark, source, schema, target, checkpoint, bytes_per_batch=1).count() == 120
