@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.sources.tables import written
+
 
 def contains_any(columns: list[Column], text: str) -> Column:
     """Whether any of the columns holds the text, without regard to case."""
@@ -130,21 +132,26 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
     return sums.select("class", "support", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
-def containing_join(parts: DataFrame, wholes: DataFrame, most: int = 256) -> DataFrame:
+def containing_join(parts: DataFrame, wholes: DataFrame, anchor: int = 8) -> DataFrame:
     """Each part (part_id, part) with the first whole (whole_id, whole), by id, that holds it as a substring.
 
-    Wholes are cut into their substrings of the lengths that parts have, and joined on equality, so no row meets rows it
-    has nothing in common with. Of parts longer than `most` characters the first `most` are joined, and the whole ones
-    compared then. Empty parts find nothing.
+    Parts are looked up by an anchor of so many characters, or of all of a shorter one: of those at their beginning,
+    middle and end the one that the fewest wholes have. Wholes are cut into substrings of that length only, so a whole
+    gives a few short rows a character, and those that share an anchor with a part are compared. Empty parts find nothing.
     """
-    heads = parts.filter("part <> ''").select("part_id", "part", F.left("part", F.lit(most)).alias("head"))
-    sizes = [r[0] for r in heads.select(F.length("head").alias("n")).distinct().collect()]  # at most `most` numbers
-    cuts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.when(F.length("whole") >= n, F.transform(F.sequence(F.lit(1), F.length("whole") - n + 1), lambda i: F.substring(F.col("whole"), i, n))).otherwise(F.array().cast("array<string>")))))
-    wanted = wholes.select("whole_id", F.explode(cuts).alias("head")).join(heads.select("head").distinct(), "head", "left_semi")
-    short, long = F.length("part") <= most, F.length("part") > most
-    found = heads.filter(short).join(wanted.groupBy("head").agg(F.min("whole_id").alias("whole_id")), "head").select("part_id", "part", "whole_id")
-    tried = heads.filter(long).join(wanted, "head").join(wholes, "whole_id").filter(F.contains("whole", "part"))
-    return found.unionByName(tried.groupBy("part_id", "part").agg(F.min("whole_id").alias("whole_id")))
+    n = F.least(F.length("part"), F.lit(anchor))
+    ends = F.array(F.left("part", n), F.substring(F.col("part"), F.floor((F.length("part") - n) / 2).cast("int") + 1, n), F.right("part", n))
+    tried = parts.filter("part <> ''").select("part_id", "part", F.explode(F.array_distinct(ends)).alias("anchor"))
+    sizes = [r[0] for r in tried.select(F.length("anchor")).distinct().collect()]  # at most `anchor` numbers
+    none = F.array().cast("array<string>")
+    cuts = F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda k: F.when(F.length("whole") >= k, F.transform(F.sequence(F.lit(1), F.length("whole") - k + 1), lambda i: F.substring(F.col("whole"), i, k))).otherwise(none)))
+    there = written(wholes.select("whole_id", F.explode(F.array_distinct(cuts)).alias("anchor")).join(tried.select("anchor").distinct(), "anchor", "left_semi"), "anchors")
+    counts = there.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    rarest = tried.join(counts, "anchor", "left").groupBy("part_id", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("a")).filter("a.n > 0")
+    met = rarest.select("part_id", "part", "a.anchor").join(there, "anchor")
+    sure = met.filter("part = anchor").select("part_id", "part", "whole_id")
+    checked = met.filter("part <> anchor").join(wholes, "whole_id").filter(F.contains("whole", "part")).select("part_id", "part", "whole_id")
+    return sure.unionByName(checked).groupBy("part_id", "part").agg(F.min("whole_id").alias("whole_id"))
 
 
 def emptied(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ _OWL, _RDF, _RDFS = "{http://www.w3.org/2002/07/owl#}", "{http://www.w3.org/1999
 
 
 class Ontology:
-    """classes: (iri, parent); properties: (iri, inverse_of, transitive, kind). A few hundred rows at most, so Spark broadcasts them."""
+    """classes: (iri, parent); properties: (iri, inverse_of, transitive, kind)."""
 
     def __init__(self, classes: DataFrame, properties: DataFrame):
         self.classes, self.properties = classes, properties
@@ -46,6 +46,18 @@ class Ontology:
         properties = [(about(e), target(e, _OWL + "inverseOf"), any((x.get(_RDF + "resource") or "").endswith("TransitiveProperty") for x in e.iter(_RDF + "type")), kind) for kind, tag in (("object", "ObjectProperty"), ("data", "DatatypeProperty")) for e in root.iter(_OWL + tag) if about(e)]
         return Ontology(spark.createDataFrame(classes, "iri string, parent string"), spark.createDataFrame(properties, "iri string, inverse_of string, transitive boolean, kind string"))
 
+    @staticmethod
+    def of_triples(triples: DataFrame) -> Ontology:
+        """From a graph (s, p, o) that declares classes and properties in OWL terms. A class with several parents has a row for each."""
+        at = lambda ns, name: (ns + name).translate(str.maketrans("", "", "{}"))
+        said = lambda p, name: triples.filter(F.col("p") == p).select(F.col("s").alias("iri"), F.col("o").alias(name)).distinct()
+        kinds = said(at(_RDF, "type"), "kind")
+        classes = kinds.filter(F.col("kind") == at(_OWL, "Class")).select("iri").join(said(at(_RDFS, "subClassOf"), "parent"), "iri", "left")
+        kind = F.when(F.col("kind") == at(_OWL, "ObjectProperty"), "object").when(F.col("kind") == at(_OWL, "DatatypeProperty"), "data")
+        named = kinds.select("iri", kind.alias("kind"), (F.col("kind") == at(_OWL, "TransitiveProperty")).alias("transitive"))
+        properties = named.groupBy("iri").agg(F.max("kind").alias("kind"), F.max("transitive").alias("transitive")).filter("kind is not null")
+        return Ontology(classes, properties.join(said(at(_OWL, "inverseOf"), "inverse_of"), "iri", "left").select("iri", "inverse_of", "transitive", "kind"))
+
     def search(self, pattern: str) -> DataFrame:
         """(kind, iri) of classes and properties whose local name matches a pattern with * and ?."""
         like = pattern.lower().replace("%", r"\%").replace("_", r"\_").replace("*", "%").replace("?", "_")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,36 @@ _ITEMS = f"""items AS (SELECT label::BIGINT AS query_id, vec_id AS position, 'te
     rated AS (SELECT *, least(1, 0.4 * query_score + 0.2 * authority + 0.1 * recency + 0.1 * confidence) AS relevance_score FROM scored)"""
 
 
+def _ontology(spark: SparkSession, sf: str) -> ontology.Ontology:
+    """Vectors as classes, each below the one whose number lacks its last digit; parts as properties, those of size 1 as transitive ones."""
+    c = Catalog(spark, sf)
+    name = lambda kind, k: F.concat(F.lit(f"urn:x#{kind}"), k.cast("string"))
+    owl, rdf, rdfs = ("http://www.w3.org/2002/07/owl#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2000/01/rdf-schema#subClassOf")
+    say = lambda df, s_, p, o: df.select(s_.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    nodes, part = c.golden_nodes.select("id", "parent_id"), c.table("part").select(F.col("p_partkey").alias("k"), "p_size")
+    me, prop = name("C", F.col("id")), name("has_part", F.col("k"))
+    triples = [
+        say(nodes, me, rdf, F.lit(owl + "Class")), say(nodes.filter("parent_id is not null"), me, rdfs, name("C", F.col("parent_id"))),
+        say(part, prop, rdf, F.when(F.col("k") % 3 == 0, owl + "DatatypeProperty").otherwise(owl + "ObjectProperty")), say(part.filter("p_size = 1"), prop, rdf, F.lit(owl + "TransitiveProperty")),
+        say(part.filter("k % 3 = 1"), prop, owl + "inverseOf", name("has_part", F.col("k") + 1)),
+    ]
+    return ontology.Ontology.of_triples(reduce(DataFrame.unionByName, triples))
+
+
+def _greedy(weight: float) -> str:
+    """SQL of the greedy choice of ten items a query, each step in one round of a recursion."""
+    return f"""WITH RECURSIVE {_ITEMS}, r AS (SELECT query_id, position, relevance_score AS own, embedding::DOUBLE[] AS v FROM rated JOIN embeddings ON vec_id = position),
+        b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own DESC, position) AS j FROM r),
+        g AS (
+            SELECT query_id, 1 AS step, [position] AS chosen, [v] AS vectors, position, own AS final FROM b WHERE j = 1
+            UNION ALL SELECT query_id, step + 1, list_append(chosen, position), list_append(vectors, v), position, adjusted
+            FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, own DESC, position) AS j
+                FROM (SELECT g.query_id, g.step, g.chosen, g.vectors, r.position, r.v, r.own, r.own - {weight} * greatest(0, list_max(list_transform(g.vectors, lambda u: list_cosine_similarity(u, r.v)))) AS adjusted
+                    FROM g JOIN r ON r.query_id = g.query_id WHERE g.step < 10 AND NOT list_contains(g.chosen, r.position)))
+            WHERE j = 1 AND adjusted > -1)
+        SELECT query_id, position, step::INT AS rank, round(final, 6) AS final_score FROM g"""
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.scored(_items(spark, sf), F.array(*map(F.lit, VECTOR)), _now())
 
@@ -249,9 +280,9 @@ QUERIES: dict[str, Query] = {
     "diagram_type": lambda spark, sf: _questions(spark, sf).select("item_id", routing.diagram_type(F.col("question")).alias("type")),
     "question_entities": lambda spark, sf: _questions(spark, sf).select("item_id", F.array_join(routing.named_things(F.col("question"), routing.ENTITY_WORDS), ",").alias("entities"), F.array_join(routing.named_things(F.col("question"), routing.RELATION_WORDS), ",").alias("relations")),
     "containing_join": lambda spark, sf: d.containing_join(Catalog(spark, sf).table("nation").select(F.col("n_nationkey").alias("part_id"), F.concat(F.lit("#"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("part")).withColumn("part", F.substring("part", 3, 2)), Catalog(spark, sf).table("supplier").select(F.col("s_suppkey").alias("whole_id"), F.col("s_name").alias("whole"))),
-    "ontology_search": lambda spark, sf: ontology.Ontology.built_in(spark).search("*import*"),
-    "ontology_subclasses": lambda spark, sf: ontology.Ontology.built_in(spark).subclasses("urn:code#CodeEntity"),
-    "ontology_info": lambda spark, sf: ontology.Ontology.built_in(spark).info(),
+    "ontology_search": lambda spark, sf: _ontology(spark, sf).search("*T1?"),
+    "ontology_subclasses": lambda spark, sf: _ontology(spark, sf).subclasses("urn:x#C1"),
+    "ontology_info": lambda spark, sf: _ontology(spark, sf).info(),
     "backup": _backup,
     # versions
     "branch_query": lambda spark, sf: versioning.on_branch(_versions(spark, sf), "repo", "src4", "entity_type = 'en'").select("id"),
@@ -318,9 +349,10 @@ ORACLE_SQL: dict[str, str] = {
     "diagram_type": f"WITH {_QUESTIONS}, x AS (SELECT item_id, [{', '.join(n for _, n in _DIAGRAMS)}] AS n FROM q) SELECT item_id, CASE WHEN list_max(n) = 0 THEN 'flowchart TD' ELSE [{', '.join(repr(k) for k, _ in _DIAGRAMS)}][list_position(n, list_max(n))] END AS type FROM x",
     "question_entities": f"WITH {_QUESTIONS} SELECT item_id, {_things(routing.ENTITY_WORDS)} AS entities, {_things(routing.RELATION_WORDS)} AS relations FROM q",
     "containing_join": "WITH p AS (SELECT n_nationkey AS part_id, substr('#' || lpad(n_nationkey::VARCHAR, 3, '0'), 3, 2) AS part FROM nation) SELECT part_id, part, min(s_suppkey) AS whole_id FROM p JOIN supplier ON contains(s_name, part) GROUP BY part_id, part",
-    "ontology_search": "SELECT * FROM (VALUES ('class', 'urn:code#PythonImport'), ('data property', 'urn:code#import_alias'), ('object property', 'urn:code#imports'), ('object property', 'urn:code#importedBy')) AS t(kind, iri)",
-    "ontology_subclasses": "SELECT 'urn:code#' || c AS iri, d AS depth FROM (VALUES ('Container', 1), ('Function', 1), ('Variable', 1), ('DataType', 1), ('Class', 2), ('Library', 2), ('Module', 2), ('Project', 2)) AS t(c, d)",
-    "ontology_info": "SELECT 18 AS classes, 8 AS roots, 19 AS object_properties, 11 AS data_properties, 3 AS transitive_properties",
+    "ontology_search": "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'data property' ELSE 'object property' END AS kind, 'urn:x#has_part' || p_partkey AS iri FROM part WHERE p_partkey BETWEEN 10 AND 19",
+    "ontology_subclasses": "SELECT 'urn:x#C' || vec_id AS iri, (length(vec_id::VARCHAR) - 1)::INT AS depth FROM embeddings WHERE starts_with(vec_id::VARCHAR, '1') AND vec_id > 1",
+    "ontology_info": """SELECT count(*) AS classes, count(*) FILTER (vec_id < 10) AS roots, any_value(o) AS object_properties, any_value(d) AS data_properties, any_value(t) AS transitive_properties
+        FROM embeddings, (SELECT count(*) FILTER (p_partkey % 3 <> 0) AS o, count(*) FILTER (p_partkey % 3 = 0) AS d, count(*) FILTER (p_size = 1) AS t FROM part)""",
     "backup": "SELECT 'region' AS name, count(*) AS rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier",
     "doc_projection": "SELECT doc_id AS id, lang AS language, length(text) AS size FROM documents",
     "doc_filters": "SELECT doc_id AS id, lang FROM documents WHERE lang IN ('en', 'fr') AND source = 'src3' AND n_chars >= 500",
@@ -407,6 +439,14 @@ ORACLE_SQL: dict[str, str] = {
     "entity_extraction": rf"""WITH {_QUESTIONS} SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(question, '"([^"]*)"', 1),
         list_filter(regexp_split_to_array(trim(question), '\s+'), lambda w: regexp_matches(w, '^[A-Z]') AND length(w) > 2 AND w NOT IN {t.QUESTION_WORDS}),
         regexp_extract_all(question, '\b([a-z_][a-z0-9_]*[a-z0-9]|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*)\b', 1)))), ',') AS names FROM q""",
+    "fusion_balanced": _greedy(0.3),
+    "fusion_diversity_first": _greedy(0.6),
+    "fusion_near_dedup": """WITH RECURSIVE i AS (SELECT label::BIGINT AS query_id, vec_id AS position, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+        g AS (
+            SELECT query_id, k, position, true AS kept, [v] AS vectors FROM i WHERE k = 1
+            UNION ALL SELECT query_id, k, position, NOT hit, CASE WHEN hit THEN vectors ELSE list_append(vectors, v) END
+            FROM (SELECT i.query_id, i.k, i.position, i.v, g.vectors, len(list_filter(g.vectors, lambda u: list_cosine_similarity(u, i.v) >= 0.25)) > 0 AS hit FROM g JOIN i ON i.query_id = g.query_id AND i.k = g.k + 1))
+        SELECT query_id, position FROM g WHERE kept""",
     "line_counts": r"SELECT doc_id AS id, len(string_split(text, chr(10)))::INT AS lines, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '\s*')))::INT AS full_lines FROM documents",
     "term_overlap": f"SELECT doc_id AS id, round(len(list_intersect({_QUERY_WORDS}, {_TOKENS.format(c='text')})) / 5.0::DOUBLE, 6) AS share FROM documents",
     "jaccard": f"WITH x AS (SELECT doc_id AS id, {_TOKENS.format(c='text')} AS w FROM documents) SELECT id, round(len(list_intersect({_QUERY_WORDS}, w)) / len(list_distinct(list_concat({_QUERY_WORDS}, w)))::DOUBLE, 6) AS jaccard FROM x",

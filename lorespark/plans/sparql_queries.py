@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorespark.operators import graph as g
 from lorespark.sources import formats
 from lorespark.sources.catalog import EX, GROUP, Catalog, imported
-from lorespark.sparql.parser import RDF_TYPE
+from lorespark.sparql.parser import RDF_TYPE, XSD
 
 P = f"PREFIX ex: <{EX}> "
 
@@ -188,6 +188,9 @@ _TRIPLES = f"""triples AS (
     UNION ALL SELECT '{EX}region/' || r_regionkey, '{RDF_TYPE}', '{EX}Region' FROM region
     UNION ALL SELECT '{EX}region/' || r_regionkey, '{EX}name', '"' || r_name || '"' FROM region)"""
 
+#: Predicate and object of a triple as they are serialised.
+_PAIR = f"""('<' || p || '> ' || CASE WHEN o LIKE '"%"d' THEN left(o, -1) || '^^<{XSD}double>' WHEN o LIKE '"%"i' THEN left(o, -1) || '^^<{XSD}integer>' WHEN starts_with(o, '"') THEN o ELSE '<' || o || '>' END)"""
+
 
 def _graph(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: Catalog(spark, sf).graph.query(P + text)
@@ -220,8 +223,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sparql(na
     "sparql_csv": lambda spark, sf: formats.csv_lines(Catalog(spark, sf).graph.query(P + "SELECT ?n ?name WHERE { ?n a ex:Region ; ex:name ?name }")),
     "sparql_tsv": lambda spark, sf: formats.tsv_lines(Catalog(spark, sf).graph.query(P + "SELECT ?n ?name WHERE { ?n a ex:Region ; ex:name ?name }")),
     "sparql_json": lambda spark, sf: formats.sparql_json(Catalog(spark, sf).graph.query(P + "SELECT ?n ?name WHERE { ?n a ex:Region ; ex:name ?name }")),
-    "serialize_ntriples": lambda spark, sf: formats.n_triples(Catalog(spark, sf).triples.filter(F.col("p") == EX + "inRegion")),
-    "serialize_turtle": lambda spark, sf: formats.turtle(Catalog(spark, sf).triples.filter(F.col("p") == EX + "inRegion")),
+    "serialize_ntriples": lambda spark, sf: formats.n_triples(Catalog(spark, sf).triples),
+    "serialize_turtle": lambda spark, sf: formats.turtle(Catalog(spark, sf).triples),
     "graph_stats": lambda spark, sf: g.graph_stats(Catalog(spark, sf).triples),
     "schema_discovery": lambda spark, sf: g.type_counts(Catalog(spark, sf).triples),
     "schema_predicates": lambda spark, sf: g.predicate_counts(Catalog(spark, sf).triples),
@@ -251,8 +254,8 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in SPARQL.items()}
     "sparql_csv": f"SELECT '{EX}region/' || r_regionkey || ',' || r_name AS value FROM region",
     "sparql_tsv": f"SELECT '{EX}region/' || r_regionkey || chr(9) || r_name AS value FROM region",
     "sparql_json": f"""SELECT '{{"n":{{"type":"uri","value":"{EX}region/' || r_regionkey || '"}},"name":{{"type":"literal","value":"' || r_name || '"}}}}' AS value FROM region""",
-    "serialize_ntriples": f"SELECT '<{EX}nation/' || n_nationkey || '> <{EX}inRegion> <{EX}region/' || n_regionkey || '> .' AS value FROM nation",
-    "serialize_turtle": f"SELECT '<{EX}nation/' || n_nationkey || '> <{EX}inRegion> <{EX}region/' || n_regionkey || '> .' AS value FROM nation",
+    "serialize_ntriples": f"WITH {_TRIPLES} SELECT '<' || s || '> ' || {_PAIR} || ' .' AS value FROM triples",
+    "serialize_turtle": f"WITH {_TRIPLES} SELECT '<' || s || '> ' || string_agg(DISTINCT {_PAIR}, ' ;' || chr(10) || '    ' ORDER BY {_PAIR}) || ' .' AS value FROM triples GROUP BY s",
     "graph_stats": f"WITH {_TRIPLES} SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates, count(DISTINCT o) AS objects FROM triples",
     "schema_discovery": f"WITH {_TRIPLES} SELECT o AS type, count(*) AS n FROM triples WHERE p = '{RDF_TYPE}' GROUP BY o",
     "schema_predicates": f"WITH {_TRIPLES} SELECT p, count(*) AS n FROM triples GROUP BY p",
