@@ -111,6 +111,7 @@ def test_near_copies_of_any_similarity_from_0_8_leave_the_pipeline(spark, monkey
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     out = simhash.similar_texts(df).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in out) == sorted((rows[k][0] or -1, rows[label[k]][0]) if rows[k][0] != 0 else (-1, 0) for k in range(len(rows)))
-    kept = {r.doc_id for r in corpus_pipeline.near_copy_removal(spark, df, "").collect()}
-    assert kept == {i for k, (i, _) in enumerate(rows) if i is not None and rows[label[k]][0] == i} | {None}
+    # One row of each group, and so not the copy without an id, which used to stay.
+    kept = [r.doc_id for r in corpus_pipeline.near_copy_removal(spark, df, "").collect()]
+    assert sorted(kept) == sorted(rows[k][0] for k in range(len(rows)) if label[k] == k)
     assert 5 < sum(label[2 * i + 1] != 2 * i for i in range(60)) < 55
