@@ -85,7 +85,7 @@ class Catalog:
     def graph(self) -> Graph:
         # Relative sizes of the predicates, by which the compiler orders joins.
         sizes = {"contains": 60, "suppliedBy": 8, "placedBy": 15, "status": 15, "totalPrice": 15, "name": 4, "brand": 2, "size": 2, "imports": 2, "inNation": 1.6, "inRegion": 0.02}
-        return Graph(self.triples, PREFIXES, {EX + k: int(v * 1000) for k, v in sizes.items()} | {RDF_TYPE: 20_000}, self.quads, F.to_timestamp(F.lit(AS_OF)))
+        return Graph(self.triples, PREFIXES, {EX + k: int(v * 1000) for k, v in sizes.items()} | {RDF_TYPE: 20_000}, lambda: self.quads, F.to_timestamp(F.lit(AS_OF)))
 
     @cached_property
     def quads(self) -> DataFrame:

@@ -8,6 +8,7 @@ type or language, so that joins and DISTINCT compare terms. Catalyst gets the qu
 from __future__ import annotations
 
 import copy
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -115,10 +116,10 @@ def join(left: Solutions, right: Solutions, how: str = "inner", extra: Column |
 class Graph:
     """Triples to be queried. counts gives, where known, the number of triples of each predicate, by which joins are ordered.
 
-    quads are triples with the IRI g of a named graph, for GRAPH; now is what NOW() returns.
+    quads are triples with the IRI g of a named graph, for GRAPH, or make them when they are asked for; now is what NOW() returns.
     """
 
-    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, quads: DataFrame | None = None, now: Column | None = None):
+    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, quads: DataFrame | Callable[[], DataFrame] | None = None, now: Column | None = None):
         self.triples, self.prefixes, self.counts, self.quads, self.now = triples, dict(prefixes or {}), counts or {}, quads, now
         #: Within GRAPH ?g the name g, which every triple pattern then binds.
         self._graph_name: str | None = None
@@ -389,6 +390,8 @@ class Graph:
         """A group within one named graph, or within each in turn, whose IRI the variable then holds."""
         if self.quads is None:
             raise SparqlError("there are no named graphs")
+        if not isinstance(self.quads, DataFrame):
+            self.quads = self.quads()
         inside = copy.copy(self)
         if term[0] == "var":
             inside.triples, inside._graph_name = self.quads, term[1]
