@@ -77,6 +77,15 @@ def test_near_copies_go_greedily(spark):
     assert fusion.without_near_copies(once, 0.9).count() == 3
 
 
+def test_vector_search_without_a_limit_returns_every_row_over_the_threshold(spark):
+    df = spark.range(1500).select("id", F.array(F.lit(1.0), F.when(F.col("id") % 3 == 0, 50.0).otherwise(0.1)).alias("embedding"))
+    assert retrieval.vector_search(df, [1.0, 0.0], None, 0.5).count() == 1000
+    assert retrieval.vector_search(df, [1.0, 0.0], None, 0.01).count() == 1500
+    from lorespark.plans.document_queries import QUERIES
+
+    assert "Limit" not in QUERIES["vector_threshold"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_similarity_join_is_exact_over_blocks(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 8))
