@@ -95,6 +95,14 @@ def test_similarity_join_is_exact_over_blocks(spark):
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.5}
 
 
+def test_similarity_join_sends_a_row_to_a_bounded_number_of_strips(spark):
+    df = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id")).alias("embedding"), (F.col("id") % 2).alias("kind"))
+    for by, groups in ((None, 1), ("kind", 2)):
+        joined = retrieval.similarity_join(df, -1.0, block=2, by=by)
+        assert joined.select("a", "b").distinct().count() == joined.count() == groups * (300 // groups) * (300 // groups - 1) // 2
+        assert retrieval._strips(df, 2, by).count() == 300 * retrieval.STRIPS
+
+
 def test_triple_documents_are_parsed(spark):
     rows = [("rdf_triple", "http://a", "http://p", "http://b"), ("rdf_triple", "http://a", "http://p", '"main"'), ("rdf_triple", "http://a", "http://p", '"3"^^<http://www.w3.org/2001/XMLSchema#integer>'), ("other", "http://a", "http://p", "x"), ("rdf_triple", None, "http://p", "x")]
     out = [(r.o, r.o_kind, r.o_type) for r in formats.from_documents(spark.createDataFrame(rows, "type string, subject string, predicate string, object string")).collect()]
