@@ -34,6 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str, each: int = 1 << 19) -> DataFrame:
+    """df dealt by its keys to so many partitions that one holds some `each` of its rows, however many there are; at least the session's number."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // each)), *keys)
+
+
 def last_version(spark: SparkSession, folder: str) -> int:
     """The last of the tables 1, 2, … in a folder that has been written whole; 0 if there is none."""
     jvm = spark.sparkContext._jvm

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.sources.tables import written
+from lorespark.sources.tables import spread, written
 from lorespark.sparql.parser import RDF_TYPE, XSD, Query, SparqlError, parse
 
 _NUMERIC = tuple(XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong"))
@@ -731,7 +731,7 @@ def _followed(start: str):
 
 def reach(steps: DataFrame, start: str) -> DataFrame:
     """(s, o): all that one or more steps lead to from start. Only new nodes are followed in each round."""
-    edges = written(steps.select("s", "o").distinct(), "steps")
+    edges = written(steps.select("s", "o").repartition("s", "o").distinct(), "steps")
     if edges.count() <= FEW_STEPS:
         return edges.coalesce(1).mapInPandas(_followed(start), "s string, o string")
     new = written(edges.filter(F.col("s") == start).select(F.col("o").alias("n")).distinct(), "reached")
@@ -744,16 +744,24 @@ def reach(steps: DataFrame, start: str) -> DataFrame:
 
 
 def closure(steps: DataFrame) -> DataFrame:
-    """(s, o): all pairs that one or more steps join, by squaring: the number of rounds is the logarithm of the longest way."""
-    pairs = written(steps.select("s", "o").distinct(), "closure")
-    n = pairs.count()
+    """(s, o): all pairs that one or more steps join; the number of rounds is the logarithm of the longest way.
+
+    Round k has the pairs joined by fewer than 2^k steps, and those joined by 2^k, which lengthen the former: a way is
+    found by one split of its steps, not by each. Sets are dealt to partitions by their rows before they are formed.
+    """
+    pairs = ways = written(steps.select("s", "o").repartition("s", "o").distinct(), "closure")
+    n = m = pairs.count()
+
+    def then(df: DataFrame) -> DataFrame:
+        return df.select("s", F.col("o").alias("m")).join(ways.select(F.col("s").alias("m"), F.col("o").alias("e")), "m").select("s", F.col("e").alias("o"))
+
     while True:
-        right = pairs.select(F.col("s").alias("m"), F.col("o").alias("e"))
-        longer = pairs.select("s", F.col("o").alias("m")).join(right, "m").select("s", F.col("e").alias("o"))
-        pairs = written(pairs.unionByName(longer).distinct(), "closure")
-        if (m := pairs.count()) == n:
+        ways = written(spread(then(ways), 2 * m, "s", "o", each=1 << 18).distinct(), "ways")
+        m = ways.count()
+        pairs = written(spread(pairs.unionByName(ways).unionByName(then(pairs)), 2 * (n + m), "s", "o", each=1 << 18).distinct(), "closure")
+        if (now := pairs.count()) == n:
             return pairs
-        n = m
+        n = now
 
 
 __all__ = ["Graph", "RDF_TYPE", "Solutions", "Value", "closure", "encoded", "lexical", "literal", "object_term", "reach"]

@@ -158,3 +158,21 @@ def test_named_graphs_and_marks(spark):
     assert rows_of("SELECT ?s ?t WHERE { ?s x:p ?o OPTIONAL { ?t x:q ?s } FILTER(!EXISTS { ?t x:q ?z } || ?s = x:c) }") == []
     assert rows_of("SELECT ?s WHERE { ?s x:q ?o FILTER(EXISTS { ?a x:p ?b } && NOT EXISTS { ?s x:p ?e }) }") == [("c",), ("d",)]
     assert rows_of("SELECT ?s WHERE { ?s x:q ?o FILTER(EXISTS { ?o x:p ?b FILTER(?b != ?s) } || EXISTS { ?none x:none ?c }) }") == [("c",)]
+
+
+def test_closure_deals_its_sets_by_their_rows_and_finds_a_way_by_one_split(spark, monkeypatch):
+    import random
+
+    from lorespark.sparql import compiler
+
+    rng, sent = random.Random(4), []
+    spread = compiler.spread
+    monkeypatch.setattr(compiler, "spread", lambda df, rows, *keys, **kw: sent.append((df.count(), rows)) or spread(df, rows, *keys, **kw))
+    for edges in ({(i, i + 1) for i in range(20)}, {(i, (i + 1) % 13) for i in range(13)}, {(rng.randrange(12), rng.randrange(12)) for _ in range(15)}):
+        want = set(edges)
+        while (more := want | {(a, d) for a, b in want for c, d in edges if b == c}) != want:
+            want = more
+        got = compiler.closure(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "s string, o string")).collect()
+        assert sorted((r.s, r.o) for r in got) == sorted((f"n{a}", f"n{b}") for a, b in want)
+        if len(edges) == 20:
+            assert max(n for n, _ in sent) <= len(want)
