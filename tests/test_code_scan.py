@@ -1,6 +1,7 @@
 """Nested, commented and quoted code of each language against entities written down by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorespark.operators.code_scan import code_entities, scan
 
@@ -260,3 +261,9 @@ def test_files(spark):
     rows = [("a.py", "python", "class A:\n    def f(self):\n        pass\n"), ("b.go", "go", "package b\nfunc F() {}\n"), ("c", "cobol", "x"), ("d", None, "y"), ("e.c", "c", None), ("f.c", "c", "int f() { }\0"), ("g.c", "c", "x" * (1 << 20) + "yz"), ("h.java", "java", "")]
     got = sorted(tuple(r) for r in code_entities(spark.createDataFrame(rows, "path string, language string, content string")).select("path", "language", "name", "entity_type", "line_start", "line_end").collect())
     assert got == [("a.py", "python", "A", "class", 1, 3), ("a.py", "python", "f", "method", 2, 3), ("b.go", "go", "F", "function", 2, 2), ("b.go", "go", "b", "package", 1, 1)]
+
+
+def test_files_are_dealt_to_all_tasks(spark):
+    files = spark.range(40).select(F.col("id").cast("string").alias("path"), F.lit("java").alias("language"), F.lit("class A {\n}").alias("content")).coalesce(1)
+    out = code_entities(files)
+    assert out.count() == 40 and out.select(F.spark_partition_id()).distinct().count() > 1
