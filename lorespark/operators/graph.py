@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.scoring import node_size
 from lorespark.functions.text import entity_iri, external_iri
-from lorespark.sources.tables import written
+from lorespark.sources.tables import spread, written
 from lorespark.sparql.compiler import object_term
 from lorespark.sparql.parser import RDF_TYPE, XSD
 
@@ -156,7 +156,7 @@ def entity_triples(entities: DataFrame, base: str, code: str, python: str) -> Da
     """Triples of entities (name, entity_type, language, file_path, parent_entity, signature, line_start, line_end, calls, imports).
 
     Calls and imports of names that the same file defines point to those entities, with an inverse edge; other names
-    become external nodes. The graph is a set.
+    become external nodes. The graph is a set, formed in partitions whose number grows with the entities.
     """
     who = entity_iri(base, F.col("entity_type"), F.col("file_path"), F.col("name"), F.col("parent_entity"))
     e = entities.withColumn("s", who)
@@ -181,9 +181,9 @@ def entity_triples(entities: DataFrame, base: str, code: str, python: str) -> Da
         uses = uses.join(named, ["file_path", "target"], "left").withColumn("o", F.coalesce("found", external_iri(base, F.lit(kind), F.col("file_path"), F.col("target"))))
         uri = lambda s, p, o: uses.select(s.alias("s"), F.lit(code + p).alias("p"), o.alias("o"), F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))  # noqa: B023, E731
         parts += [uri(F.col("s"), forward, F.col("o")), uri(F.col("o"), inverse, F.col("s"))]
-        outside = uses.filter("found is null").select(F.col("o").alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(code + kind).alias("o"), F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))
+        outside = uses.filter("found is null").select(F.col("o").alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(code + kind).alias("o"), F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_type")).distinct()
         parts.append(outside)
     parents = e.filter("parent_entity is not null").join(named.withColumnRenamed("target", "parent_entity"), ["file_path", "parent_entity"])
     link = lambda s, p, o: parents.select(s.alias("s"), F.lit(code + p).alias("p"), o.alias("o"), F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))
     parts += [link(F.col("found"), "contains", F.col("s")), link(F.col("s"), "containedIn", F.col("found"))]
-    return reduce(DataFrame.unionByName, parts).distinct().withColumn("o_lang", F.lit(None).cast("string"))
+    return spread(reduce(DataFrame.unionByName, parts), entities.count(), "s", "p", "o", each=1 << 15).distinct().withColumn("o_lang", F.lit(None).cast("string"))

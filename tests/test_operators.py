@@ -103,6 +103,14 @@ def test_similarity_join_sends_a_row_to_a_bounded_number_of_strips(spark):
         assert retrieval._strips(df, 2, by).count() == 300 * retrieval.STRIPS
 
 
+def test_triples_of_entities_are_dealt_by_their_number(spark):
+    none = F.array().cast("array<string>")
+    name = F.concat(F.lit("f"), "id")
+    e = spark.range(1 << 18).select(name.alias("name"), F.lit("function").alias("entity_type"), F.lit("python").alias("language"), F.lit("a.py").alias("file_path"), F.lit(None).cast("string").alias("parent_entity"), F.lit(None).cast("string").alias("signature"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"), none.alias("calls"), none.alias("imports"))
+    out = graph.entity_triples(e, "urn:b#", "urn:c#", "urn:p#")
+    assert out.count() == 5 * (1 << 18) and out.select(F.spark_partition_id()).distinct().count() == 8
+
+
 def test_triple_documents_are_parsed(spark):
     rows = [("rdf_triple", "http://a", "http://p", "http://b"), ("rdf_triple", "http://a", "http://p", '"main"'), ("rdf_triple", "http://a", "http://p", '"3"^^<http://www.w3.org/2001/XMLSchema#integer>'), ("other", "http://a", "http://p", "x"), ("rdf_triple", None, "http://p", "x")]
     out = [(r.o, r.o_kind, r.o_type) for r in formats.from_documents(spark.createDataFrame(rows, "type string, subject string, predicate string, object string")).collect()]
