@@ -2,14 +2,15 @@
 
 Both hold the rows of a key until the watermark has passed them, and then take them in the order of their times, so
 that results do not depend on the order in which rows arrive. State is in RocksDB, keyed by session or container; a
-timer wakes a key when it has something to do, and clears what a silent key leaves behind.
+timer wakes a key when it has something to do, and clears what a silent key leaves behind. A timer too many does no
+harm, as all that the watermark allows is done at the first, so timers are set without a look at those that are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,16 +28,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _ms(t: datetime) -> int:
-    return (t.replace(tzinfo=t.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(milliseconds=1)
-
-
-def _wake(handle: StatefulProcessorHandle, at: int) -> None:
-    """One timer a key is enough: when it wakes, it does all that the watermark allows, and sets the next one itself."""
-    if all(at < t for t in handle.listTimers()):
-        handle.registerTimer(at)
-
-
 class _FollowUps(StatefulProcessor):
     """Buffers a session's rows as (ms, id, query, response_ms) and hands out each with what followed within the limit, once nothing more can."""
 
@@ -48,9 +39,9 @@ class _FollowUps(StatefulProcessor):
         self.held = handle.getListState("held", "ms long, id long, query string, response_ms double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(_ms(r.ts), r.id, r.query, r.response_ms) for r in rows]
+        new = [(r.ms, r.id, r.query, r.response_ms) for r in rows]
         self.held.appendList(new)
-        _wake(self.handle, min(ms for ms, *_ in new) + self.ms)
+        self.handle.registerTimer(min(ms for ms, *_ in new) + self.ms)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -63,7 +54,8 @@ class _FollowUps(StatefulProcessor):
         if n == len(held):
             self.held.clear()
         else:
-            self.held.put(held[n:])
+            if n:
+                self.held.put(held[n:])
             self.handle.registerTimer(held[n][0] + self.ms)
 
     def close(self) -> None:
@@ -78,7 +70,7 @@ def follow_up_feedback(interactions: DataFrame, delay: str = "10 minutes", secon
     rows that come later than that are left out. Equal times are in the order of ids.
     """
     use_rocksdb(interactions.sparkSession)
-    keyed = interactions.select("session_id", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"), F.col("query").cast("string").alias("query"), F.col("response_ms").cast("double").alias("response_ms"))
+    keyed = interactions.select("session_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("id").cast("long").alias("id"), F.col("query").cast("string").alias("query"), F.col("response_ms").cast("double").alias("response_ms"))
     kind = dict(keyed.dtypes)["session_id"]
     out = keyed.withWatermark("ts", delay).groupBy("session_id").transformWithState(
         _FollowUps(seconds), f"session_id {kind}, id long, response_ms double, follow_up string, engaged_s double", "append", "eventTime"
@@ -86,39 +78,94 @@ def follow_up_feedback(interactions: DataFrame, delay: str = "10 minutes", secon
     return out.withColumn("f", implied_feedback(F.col("response_ms") / 1000, F.col("follow_up"), F.col("engaged_s"))).select("session_id", "id", "follow_up", "engaged_s", "f.feedback_type", "f.confidence")
 
 
+#: Polls that wait are kept by the hour, in arrays of so many at most; null values are told by none.
+_HOUR_MS, _CHUNK = 3600 * 1000, 1 << 15
+_POLL = np.dtype([("ms", "<i8"), ("id", "<i8"), ("value", "<f8"), ("none", "?")])
+
+
 class _Ring(StatefulProcessor):
-    """The polls of a container that the watermark has not passed, and the ring of the last ones that it has."""
+    """The polls of a container that the watermark has not passed, by hours, and the ring of the last ones that it has.
+
+    A task holds the polls of one hour at a time, however many wait.
+    """
 
     def __init__(self, seconds: int, most: int):
         self.ms, self.most = seconds * 1000, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, id long, value double")
+        self.waiting = handle.getMapState("waiting", "hour long, chunk long", "polls binary")
+        self.chunks = handle.getValueState("chunks", "n long")
         self.ring = handle.getListState("ring", "ms long, id long, value double")
 
+    def _keep(self, polls: np.ndarray, n: int) -> int:
+        """Add polls to their hours; n chunks were made before, and the number after this is returned."""
+        hours = polls["ms"] // _HOUR_MS
+        for hour in np.unique(hours):
+            self.waiting.updateValue((int(hour), n), (polls[hours == hour].tobytes(),))
+            n += 1
+        return n
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(_ms(r.ts), r.id, r.value) for r in rows]
-        self.waiting.appendList(new)
-        _wake(self.handle, min(ms for ms, *_ in new))
+        found = self.chunks.get()
+        n, first, new = found[0] if found else 0, None, []
+        for r in rows:
+            new.append((r.ms, r.id, 0.0 if r.value is None else r.value, r.value is None))
+            first = r.ms if first is None else min(first, r.ms)
+            if len(new) == _CHUNK:
+                n, new = self._keep(np.array(new, _POLL), n), []
+        if new:
+            n = self._keep(np.array(new, _POLL), n)
+        self.chunks.update((n,))
+        self.handle.registerTimer(first)
         yield from ()
 
+    def _rings(self, container: str, polls: np.ndarray, old: int) -> Iterator[Row]:
+        """The ring after each poll but the old ones, a block of polls at a time."""
+        start = np.maximum(np.arange(len(polls)) - self.most + 1, np.searchsorted(polls["ms"], polls["ms"] - self.ms, "right"))
+        back, step = np.arange(1 - self.most, 1), max(1, (1 << 20) // self.most)
+        for i in range(old, len(polls), step):
+            at = np.arange(i, min(i + step, len(polls)))
+            place = at[:, None] + back
+            inside = place >= start[at, None]
+            place = np.maximum(place, 0)
+            inside &= ~polls["none"][place]
+            values, n = polls["value"][place], inside.sum(1)
+            least, most = np.where(inside, values, np.inf).min(1), np.where(inside, values, -np.inf).max(1)
+            total = np.where(inside, values, 0.0).sum(1)
+            for id_, size, k, low, sum_, high in zip(polls["id"][at].tolist(), (at - start[at] + 1).tolist(), n.tolist(), least.tolist(), total.tolist(), most.tolist(), strict=True):
+                yield Row(container=container, id=id_, polls=size, least=low if k else None, mean=sum_ / k if k else None, most=high if k else None)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
-        n = sum(ms <= now for ms, *_ in waiting)
-        ring = list(self.ring.get())
-        for poll in waiting[:n]:
-            ring = [p for p in [*ring, poll][-self.most :] if p[0] > poll[0] - self.ms]
-            values = [v for _, _, v in ring if v is not None]
-            yield Row(container=key[0], id=poll[1], polls=len(ring), least=min(values, default=None), mean=sum(values) / len(values) if values else None, most=max(values, default=None))
-        ring = [p for p in ring if p[0] > now - self.ms]
+        hours: dict[int, list[int]] = {}
+        for hour, chunk in self.waiting.keys():
+            hours.setdefault(hour, []).append(chunk)
+        ring = np.array([(ms, id_, value or 0.0, value is None) for ms, id_, value in self.ring.get()], _POLL)
+        later = None
+        for hour in sorted(hours):
+            if hour * _HOUR_MS > now:
+                later = min(np.frombuffer(self.waiting.getValue((hour, c))[0], _POLL)["ms"].min() for c in hours[hour])
+                break
+            polls = np.concatenate([np.frombuffer(self.waiting.getValue((hour, c))[0], _POLL) for c in hours[hour]])
+            polls = polls[np.lexsort((polls["id"], polls["ms"]))]
+            due = int(np.searchsorted(polls["ms"], now, "right"))
+            yield from self._rings(key[0], np.concatenate([ring, polls[:due]]), len(ring))
+            ring = np.concatenate([ring, polls[:due]])[-self.most :]
+            if due:
+                for c in hours[hour]:
+                    self.waiting.removeKey((hour, c))
+            if due < len(polls):
+                if due:
+                    self.waiting.updateValue((hour, hours[hour][0]), (polls[due:].tobytes(),))
+                later = polls["ms"][due]
+                break
+        ring = [(ms, id_, None if none else value) for ms, id_, value, none in ring[ring["ms"] > now - self.ms].tolist()]
         self.ring.put(ring) if ring else self.ring.clear()
-        if n < len(waiting):
-            self.waiting.put(waiting[n:])
-            self.handle.registerTimer(waiting[n][0])
+        if later is not None:
+            self.handle.registerTimer(int(later))
         else:
-            self.waiting.clear()
+            self.chunks.clear()
             if ring:  # a silent container is forgotten with its last poll
                 self.handle.registerTimer(ring[-1][0] + self.ms)
 
@@ -133,7 +180,7 @@ def polled_metrics(polls: DataFrame, delay: str = "10 minutes", seconds: int = R
     Null values are polls that gave nothing. A poll comes out when the watermark has passed it.
     """
     use_rocksdb(polls.sparkSession)
-    keyed = polls.select(F.col("container").cast("string").alias("container"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    keyed = polls.select(F.col("container").cast("string").alias("container"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("value").cast("double").alias("value"))
     return keyed.withWatermark("ts", delay).groupBy("container").transformWithState(
         _Ring(seconds, max(1, seconds // interval)), "container string, id long, polls int, least double, mean double, most double", "append", "eventTime"
     )

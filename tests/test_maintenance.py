@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lorespark.operators.memory import with_implied_feedback
@@ -156,3 +157,36 @@ def test_a_stream_stops_at_its_limits_and_goes_on(spark):
     with pytest.raises(sync.SyncStopped, match="state takes"):
         sync.sync_triples(spark, source, schema, new_path(spark, "target"), new_path(spark, "checkpoint"), files_per_batch=1, state_bytes=1)
     assert sync.sync_triples(spark, source, schema, target, checkpoint, bytes_per_batch=1).count() == 120
+
+
+def test_a_ring_holds_the_waiting_polls_of_one_hour_at_a_time(spark, interactions, monkeypatch):
+    class Map(dict):
+        removeKey, getValue = dict.pop, dict.get
+        updateValue = dict.__setitem__
+
+    class One(list):
+        def get(self):
+            return self[0] if self and isinstance(self[0], int) is False and len(self) == 1 and len(self[0]) == 1 else iter(self)
+
+        def update(self, v):
+            self[:] = [v]
+
+        put = lambda self, v: self.__setitem__(slice(None), v)
+
+    class Handle:
+        registerTimer = lambda self, at: None
+        getMapState = lambda self, *a: Map()
+        getValueState = getListState = lambda self, *a: One()
+
+    ring = stateful._Ring(600, 10)
+    ring.init(Handle())
+    monkeypatch.setattr(stateful, "_CHUNK", 100)
+    hour = 3600 * 1000
+    rows = [Row(ms=(i % 20) * hour + i, id=i, value=None if i % 7 == 0 else float(i)) for i in range(2000)]
+    ring.chunks.append((0,))
+    assert not list(ring.handleInputRows(("c",), iter(rows), None))
+    assert max(len(v[0]) for v in ring.waiting.values()) <= 100 * stateful._POLL.itemsize and len({k[0] for k in ring.waiting}) == 20
+    now = type("T", (), {"getCurrentWatermarkInMs": lambda self: 7 * hour + 500})()
+    first = list(ring.handleExpiredTimer(("c",), now, None))
+    assert [r.id for r in first] == [r.id for r in sorted(rows, key=lambda r: r.ms) if r.ms <= 7 * hour + 500]
+    assert sum(len(v[0]) for v in ring.waiting.values()) == (2000 - len(first)) * stateful._POLL.itemsize
