@@ -190,3 +190,16 @@ def test_a_ring_holds_the_waiting_polls_of_one_hour_at_a_time(spark, interaction
     first = list(ring.handleExpiredTimer(("c",), now, None))
     assert [r.id for r in first] == [r.id for r in sorted(rows, key=lambda r: r.ms) if r.ms <= 7 * hour + 500]
     assert sum(len(v[0]) for v in ring.waiting.values()) == (2000 - len(first)) * stateful._POLL.itemsize
+
+
+def test_follow_ups_set_timers_without_listing_them(spark):
+    class Handle:
+        timers = []
+        registerTimer = lambda self, at: self.timers.append(at)
+        getListState = lambda self, *a: self
+        appendList = lambda self, rows: setattr(self, "rows", rows)
+
+    f, handle = stateful._FollowUps(300), Handle()
+    f.init(handle)
+    assert not list(f.handleInputRows((1,), iter([Row(ms=m, id=m, query="q", response_ms=1.0) for m in (5, 3)]), None))
+    assert handle.timers == [300_003] and len(handle.rows) == 2
