@@ -224,7 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sparql(na
     "sparql_tsv": lambda spark, sf: formats.tsv_lines(Catalog(spark, sf).graph.query(P + "SELECT ?n ?name WHERE { ?n a ex:Region ; ex:name ?name }")),
     "sparql_json": lambda spark, sf: formats.sparql_json(Catalog(spark, sf).graph.query(P + "SELECT ?n ?name WHERE { ?n a ex:Region ; ex:name ?name }")),
     "serialize_ntriples": lambda spark, sf: formats.n_triples(Catalog(spark, sf).triples),
-    "serialize_turtle": lambda spark, sf: formats.turtle(Catalog(spark, sf).triples),
+    "serialize_turtle": lambda spark, sf: formats.turtle(Catalog(spark, sf).statements),
     "graph_stats": lambda spark, sf: g.graph_stats(Catalog(spark, sf).triples),
     "schema_discovery": lambda spark, sf: g.type_counts(Catalog(spark, sf).triples),
     "schema_predicates": lambda spark, sf: g.predicate_counts(Catalog(spark, sf).triples),

@@ -7,6 +7,7 @@ memories and events for interactions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,14 @@ class Catalog:
     @cached_property
     def triples(self) -> DataFrame:
         """A union of selections with a constant predicate each, so a query reads the tables of its predicates only."""
+        return self._stated(DataFrame.distinct)
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        """The triples, some of them repeated, for what forms sets itself."""
+        return self._stated(lambda pairs: pairs)
+
+    def _stated(self, once: Callable[[DataFrame], DataFrame]) -> DataFrame:
         t = self.table
         order, part, supplier, customer, nation, region = (t(n) for n in ("orders", "part", "supplier", "customer", "nation", "region"))
         line = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
@@ -60,8 +69,8 @@ class Catalog:
             resource(order, iri("order", "o_orderkey"), "placedBy", iri("customer", "o_custkey")),
             value(order, iri("order", "o_orderkey"), "status", F.col("o_orderstatus")),
             value(order, iri("order", "o_orderkey"), "totalPrice", F.col("o_totalprice"), "double"),
-            resource(line.select("l_orderkey", "l_partkey").distinct(), iri("order", "l_orderkey"), "contains", iri("part", "l_partkey")),
-            resource(line.select("l_partkey", "l_suppkey").distinct(), iri("part", "l_partkey"), "suppliedBy", iri("supplier", "l_suppkey")),
+            resource(once(line.select("l_orderkey", "l_partkey")), iri("order", "l_orderkey"), "contains", iri("part", "l_partkey")),
+            resource(once(line.select("l_partkey", "l_suppkey")), iri("part", "l_partkey"), "suppliedBy", iri("supplier", "l_suppkey")),
             resource(part, iri("part", "p_partkey"), RDF_TYPE, F.lit(EX + "Part")),
             value(part, iri("part", "p_partkey"), "name", F.col("p_name")),
             value(part, iri("part", "p_partkey"), "brand", F.col("p_brand")),

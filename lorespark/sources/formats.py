@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +56,48 @@ def n_triples(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat_ws(" ", _node(F.col("s")), F.concat(F.lit("<"), F.col("p"), F.lit(">")), _object(), F.lit(".")).alias("value"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, pairs) of rows (hash, node, pair) in the order of their hashes: the different pairs of a node, in order."""
+
+    def joined(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        t = t.take(pc.sort_indices(t, [("hash", "ascending"), ("node", "ascending"), ("pair", "ascending")])).combine_chunks()
+        nodes, pairs = (pa.concat_arrays(t.column(c).chunks) for c in ("node", "pair"))
+        new = np.ones(len(nodes), bool)
+        new[1:] = pc.not_equal(nodes[1:], nodes[:-1]).to_numpy(zero_copy_only=False)
+        kept = new.copy()
+        kept[1:] |= pc.not_equal(pairs[1:], pairs[:-1]).to_numpy(zero_copy_only=False)
+        ends = np.append((np.cumsum(kept) - 1)[new], kept.sum())
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs.filter(pa.array(kept)))
+        return pa.RecordBatch.from_arrays([nodes.filter(pa.array(new)), pc.binary_join(listed, " ;\n    ")], ["node", "pairs"])
+
+    held, last = [], None  # rows of the last hash, which may go on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        hashes = b.column("hash").to_numpy()
+        cut = int(np.searchsorted(hashes, hashes[-1]))
+        if held and (cut or hashes[0] != last):
+            yield joined([*held, b[:cut]])
+            held = []
+        elif cut:
+            yield joined([b[:cut]])
+        held.append(b[cut:])
+        last = hashes[-1]
+    if held:
+        yield joined(held)
+
+
 def turtle(triples: DataFrame) -> DataFrame:
-    """One block of Turtle a subject."""
+    """One block of Turtle a subject; repeated triples count once.
+
+    Rows are sorted by a hash of the subject, a number, and blocks are joined from Arrow batches of them: sets of objects
+    a subject, which Spark sorts by the whole strings, take longer.
+    """
     pair = F.concat_ws(" ", F.concat(F.lit("<"), F.col("p"), F.lit(">")), _object())
-    return triples.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(pair)), " ;\n    ").alias("pairs")).select(F.concat(_node(F.col("s")), F.lit(" "), F.col("pairs"), F.lit(" .")).alias("value"))
+    rows = triples.select(F.xxhash64("s").alias("hash"), F.coalesce(_node(F.col("s")), F.lit("")).alias("node"), pair.alias("pair"))
+    blocks = rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(_blocks, "node string, pairs string")
+    return blocks.select(F.when(F.col("node") != "", F.concat("node", F.lit(" "), "pairs", F.lit(" ."))).alias("value"))
 
 
 def json_ld(triples: DataFrame) -> DataFrame:

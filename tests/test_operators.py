@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import scoring, text
 from lorespark.operators import documents, extraction, fusion, graph, memory, retrieval, routing, versioning
 from lorespark.operators.online import OnlineModel
+from lorespark.plans.registry import QUERIES
 from lorespark.sources import formats
 
 
@@ -149,6 +150,24 @@ def test_serialisations_escape(spark):
     assert "&quot;" in formats.rdf_xml(t).first()[0]
 
 
+def test_turtle_blocks_over_many_batches(spark, sf_dir):
+    rows = [("http://a", "http://p", f"http://o{i % 70}") for i in range(200)] + [(f"http://b{i % 9}", "http://p", f"http://o{i}") for i in range(90)] + [(None, "http://p", "http://o")]
+    want = {}
+    for s, p, o in rows:
+        want.setdefault(s, set()).add(f"<{p}> <{o}>")
+    want = {s and f"<{s}> " + " ;\n    ".join(sorted(x)) + " ." for s, x in want.items()}
+    t = spark.createDataFrame([(*r, "uri", None, None) for r in rows], "s string, p string, o string, o_kind string, o_type string, o_lang string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [r[0] for r in formats.turtle(t.repartition(3)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(want) and set(got) == want
+    plan = QUERIES["serialize_turtle"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Aggregate" not in plan
+
+
 def test_conflicts_and_commits(spark):
     c = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "b"), ("y", "c")], "branch_name string, path string")
     assert [r.path for r in versioning.merge_conflicts(c, "x", "y").collect()] == ["b"]
