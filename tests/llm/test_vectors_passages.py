@@ -1,8 +1,12 @@
+import random
+
 import numpy as np
+import pyarrow as pa
+from xxhash import xxh64_intdigest
 
 from lorespark.llm import embeddings
 from lorespark.llm.embeddings import near_vectors
-from lorespark.llm.passages import compact_windows, hashed, matching_passages, repeated_passages, shingle_hashes
+from lorespark.llm.passages import compact_windows, each_shingles, hashed, matching_passages, repeated_passages, shingle_hashes, word_hashes
 
 
 def brute(rows, least=0.95):
@@ -109,6 +113,17 @@ def test_repetitive_texts_make_shallow_trees():
     assert len(compact_windows(hashed(shingle_hashes(b"word " * 100_000), 0), 46)) < 10_000
 
 
+def test_words_hashed_together_are_the_same_as_one_by_one():
+    r = random.Random(4)
+    pieces = [b"a", b"B", b"\xc3\xa9", b" ", b"\n", b"\t", b"\x0b", b"\x1c", b"\x85", b"\x00", b"z" * 9, b"q" * 70]
+    texts = [b"".join(r.choice(pieces) for _ in range(r.randrange(60))) for _ in range(300)] + [b"", b"word " * 60_000, b"x" * 300_000]
+    for x in texts:
+        assert word_hashes(x)[0].tolist() == [xxh64_intdigest(w, 0) for w in x.split()]
+    for x, got in zip(texts, each_shingles(pa.array(texts, pa.binary())), strict=True):
+        assert len(got) == max(0, len(x.split()) - 4) and np.array_equal(got, shingle_hashes(x))
+    assert np.array_equal(shingle_hashes(b"A b C d E f"), shingle_hashes(b"\ta B c D e\nF "))
+
+
 def test_passages_are_measured():
     a = shingle_hashes(" ".join(f"x{i}" for i in range(100)).encode())
     b = shingle_hashes((" ".join(f"y{i}" for i in range(30)) + " " + " ".join(f"x{i}" for i in range(20, 90))).encode())
