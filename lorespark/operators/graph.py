@@ -97,7 +97,15 @@ def divergences(versions: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def graph_stats(triples: DataFrame) -> DataFrame:
-    return triples.agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct("p").alias("predicates"), F.count_distinct(object_term()).alias("objects"))
+    """One row: triples, and how many different subjects, predicates and objects they have.
+
+    Subjects and objects are each dealt by themselves to partitions whose number grows with the triples, so that a task
+    holds a bounded number of them; together they would be spread out threefold and held at once.
+    """
+    n, predicates = triples.agg(F.count(F.lit(1)), F.count_distinct("p")).first()
+    several = lambda c, name: spread(triples.select(c.alias("term")), n, "term").distinct().agg(F.count("term").alias(name))
+    counts = several(F.col("s"), "subjects").crossJoin(F.broadcast(several(object_term(), "objects")))  # one row each
+    return counts.select(F.lit(n).cast("long").alias("triples"), "subjects", F.lit(predicates).cast("long").alias("predicates"), "objects")
 
 
 def type_counts(triples: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.sources.tables import spread
 from lorespark.sparql.compiler import Graph
 from lorespark.sparql.parser import RDF_TYPE, XSD
 
@@ -53,7 +54,8 @@ class Catalog:
     @cached_property
     def triples(self) -> DataFrame:
         """A union of selections with a constant predicate each, so a query reads the tables of its predicates only."""
-        return self._stated(DataFrame.distinct)
+        rows = self.table("lineitem").count()
+        return self._stated(lambda pairs: spread(pairs, rows, *pairs.columns).distinct())
 
     @cached_property
     def statements(self) -> DataFrame:

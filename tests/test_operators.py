@@ -150,6 +150,17 @@ def test_serialisations_escape(spark):
     assert "&quot;" in formats.rdf_xml(t).first()[0]
 
 
+def test_graph_stats_are_counted_in_partitions_by_the_number_of_triples(spark, monkeypatch):
+    rows = [(f"s{i % 40}", f"p{i % 3}", str(i % 25), "literal" if i % 2 else "uri", None, "en" if i % 4 == 1 else None) for i in range(300)] + [(None, "p", None, "uri", None, None)]
+    t = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_type string, o_lang string")
+    dealt = []
+    monkeypatch.setattr(graph, "spread", lambda df, n, *keys: dealt.append((n, keys)) or df.repartition(7, *keys))
+    want = (len(rows), 40, 4, len({(o, kind, lang) for _, _, o, kind, _, lang in rows[:-1]}))
+    assert tuple(graph.graph_stats(t).first()) == want
+    assert dealt == [(len(rows), ("term",))] * 2
+    assert tuple(graph.graph_stats(t.limit(0)).first()) == (0, 0, 0, 0)
+
+
 def test_turtle_blocks_over_many_batches(spark, sf_dir):
     rows = [("http://a", "http://p", f"http://o{i % 70}") for i in range(200)] + [(f"http://b{i % 9}", "http://p", f"http://o{i}") for i in range(90)] + [(None, "http://p", "http://o")]
     want = {}
