@@ -5,7 +5,8 @@ sequences of all questions are joined with it, and of overlapping hits in a ques
 for a class of things; what links it with each entity named is the shortest way through the graph's schema, of equally
 short ones that whose predicates the question mentions. From this a query's algebra is built and written as text. To
 answer, questions of one shape share a query: it leaves the names open, and its rows are joined with the questions'
-labels, so the number of queries run is bounded by the schema and not by the number of questions.
+labels, so the number of queries run is bounded by the schema and not by the number of questions. These queries begin
+with the things that questions name, found once, and carry their labels, so a name is normalised once and not in each row.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.sources.tables import written
-from lorespark.sparql.compiler import Graph
+from lorespark.sources.tables import dealt, spread, written
+from lorespark.sparql.compiler import Graph, lexical
 from lorespark.sparql.parser import RDF_TYPE, SparqlError, parse
 
 # --- fixed values: words that ask for a number
@@ -30,6 +31,8 @@ COUNT_WORDS = ("how many", "number of", "count")
 #: Words of a label, at most.
 LABEL_WORDS = 5
 GATE = 0.7
+#: What links things with the labels that questions name, in the queries that answer them.
+LABEL = "urn:lorespark:label"
 
 
 class SelectText:
@@ -160,7 +163,7 @@ def plan(words: list[str], entities: list[dict], schema: Schema) -> dict:
 
 
 def query_text(meaning: dict, schema: Schema, open_names: bool = False, limit: int | None = None) -> str:
-    """The SPARQL of a plan; with open_names the names of its entities are variables ?name0, … of the result."""
+    """The SPARQL of a plan; with open_names the labels of its entities are variables ?label0, … of the result."""
     t, iri = SelectText(), lambda p: SelectText.iri(schema.base + p)
     t.triple("?x", SelectText.iri(RDF_TYPE), iri(meaning["target"]))
     for i, part in enumerate(meaning["parts"]):
@@ -170,12 +173,12 @@ def query_text(meaning: dict, schema: Schema, open_names: bool = False, limit: i
             t.triple(*((at, iri(p), to) if forwards else (to, iri(p), at)))
             at = to
         t.triple(at, SelectText.iri(RDF_TYPE), iri(part["class"]))
-        t.triple(at, iri(schema.name), f"?name{i}")
-        if not open_names:
-            t.values(f"?name{i}", [SelectText.literal(x) for x in part["texts"]])
-    names = [f"?name{i}" for i in range(len(meaning["parts"]))]
+        if open_names:
+            t.triple(at, SelectText.iri(LABEL), f"?label{i}")
+        else:
+            t.triple(at, iri(schema.name), f"?name{i}").values(f"?name{i}", [SelectText.literal(x) for x in part["texts"]])
     if open_names:
-        return t.text("?x", *names, distinct=True)
+        return t.text("?x", *(f"?label{i}" for i in range(len(meaning["parts"]))), distinct=True)
     return t.text("?x", distinct=True, count="?x" if meaning["count"] else None, limit=limit)
 
 
@@ -191,8 +194,9 @@ def translated(questions: DataFrame, index: DataFrame, schema: Schema) -> DataFr
     """One row per question (id, question): sparql, confidence, error, target, is_count, labels and shape.
 
     Questions that cannot be translated have an error and no sparql. Null and empty questions name nothing. Ids are
-    distinct integers.
+    distinct integers. Questions are dealt to tasks by their number, as a small frame of them is much work.
     """
+    asked = questions.select(F.col("id").cast("long").alias("id"), "question")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -212,31 +216,40 @@ def translated(questions: DataFrame, index: DataFrame, schema: Schema) -> DataFr
                 rows.append((id_, question, text, _confidence(m, 0), None, m["target"], m["count"], [p["label"] for p in m["parts"]], json.dumps(shape)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TRANSLATED.split(", ")])
 
-    return linked(questions.select(F.col("id").cast("long").alias("id"), "question"), index).mapInPandas(run, _TRANSLATED)
+    return spread(linked(asked, index), asked.count(), "id", "question", each=1 << 10).mapInPandas(run, _TRANSLATED)
+
+
+def _with_labels(graph: Graph, known: DataFrame, schema: Schema) -> Graph:
+    """The graph, and a triple with LABEL for each name that a question asks for; joins begin with these."""
+    asked = known.select(F.explode("labels").alias("o")).distinct()
+    names = graph.triples.filter(F.col("p") == schema.base + schema.name).select("s", _normal(F.col("o")).alias("o"))
+    none = F.lit(None).cast("string")
+    labels = written(names.join(asked, "o", "left_semi").select("s", "o"), "labels").select("s", F.lit(LABEL).alias("p"), "o", F.lit("literal").alias("o_kind"), none.alias("o_type"), none.alias("o_lang"))
+    return Graph(graph.triples.select(*labels.columns).unionByName(labels), graph.prefixes, graph.counts | {LABEL: 1}, rows=graph.rows)
 
 
 def answered(graph: Graph, questions: DataFrame, schema: Schema, index: DataFrame | None = None) -> DataFrame:
-    """(id, answer, error): an IRI for each thing asked for, a number for questions of how many, an error where there is one.
+    """(id, question, answer, error): an IRI for each thing asked for, a number for questions of how many, an error where there is one.
 
-    Questions of one shape are answered by one query. A list without anything has no row; a count has one, with 0.
+    Questions of one shape are answered by one query. A list without anything has no row; a count has one, with 0. The
+    triples may be repeated; ids are distinct.
     """
     index = label_index(graph.triples, schema) if index is None else index
     known = written(translated(questions, index, schema), "translated")
     shapes = [r[0] for r in known.filter("shape is not null").select("shape").distinct().collect()]  # bounded by the schema
-    parts = [known.filter("error is not null").select("id", F.lit(None).cast("string").alias("answer"), "error")]
+    parts = [known.filter("error is not null").select("id", "question", F.lit(None).cast("string").alias("answer"), "error")]
+    labelled = _with_labels(graph, known, schema) if shapes else graph
     for shape in sorted(shapes):
         m = json.loads(shape)
-        m["parts"] = [{**p, "texts": []} for p in m["parts"]]
-        n = len(m["parts"])
-        rows = graph.values(query_text(m, schema, open_names=True))
-        rows = rows.select("x", *(_normal(F.col(f"name{i}")).alias(f"label{i}") for i in range(n)))
-        mine = known.filter(F.col("shape") == shape).select("id", *(F.col("labels")[i].alias(f"label{i}") for i in range(n)))
-        found = mine.join(rows, [f"label{i}" for i in range(n)], "left" if m["count"] else "inner")
+        labels = [f"label{i}" for i in range(len(m["parts"]))]
+        rows = labelled.query(query_text(m, schema, open_names=True))  # a set
+        mine = known.filter(F.col("shape") == shape).select("id", "question", *(F.concat(F.lit('"'), F.col("labels")[i], F.lit('"')).alias(c) for i, c in enumerate(labels)))
         if m["count"]:
-            found = found.groupBy("id").agg(F.count_distinct("x").cast("string").alias("answer"))
+            found = mine.join(rows.groupBy(*labels).agg(F.count("x").alias("n")), labels, "left").withColumn("answer", F.coalesce("n", F.lit(0)).cast("string"))
         else:
-            found = found.select("id", F.col("x").alias("answer")).distinct()
-        parts.append(found.select("id", "answer", F.lit(None).cast("string").alias("error")))
+            many = max((graph.rows.get(schema.base + p, 0) for part in m["parts"] for p, _ in part["way"]), default=0)
+            found = mine.join(dealt(rows, many, *labels), labels).withColumn("answer", lexical(F.col("x")))
+        parts.append(found.select("id", "question", "answer", F.lit(None).cast("string").alias("error")))
     return reduce(DataFrame.unionByName, parts)
 
 

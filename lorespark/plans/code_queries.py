@@ -74,7 +74,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "code_entities": lambda spark, sf: code_entities(_files(spark, sf)),
-    "question_answers": lambda spark, sf: questions.answered(Catalog(spark, sf).graph, _asked(spark, sf), SCHEMA).join(_asked(spark, sf), "id").select("question", "answer", "error"),
+    "question_answers": lambda spark, sf: questions.answered(Catalog(spark, sf).stated, _asked(spark, sf).distinct(), SCHEMA).select("question", "answer", "error"),
     "question_translations": lambda spark, sf: questions.translated(_asked(spark, sf), questions.label_index(Catalog(spark, sf).triples, SCHEMA), SCHEMA).select("question", "target", "is_count", F.array_join("labels", "|").alias("labels"), (F.col("confidence") >= questions.GATE).alias("sure")),
 }
 

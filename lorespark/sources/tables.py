@@ -40,6 +40,11 @@ def spread(df: DataFrame, rows: int, *keys: str, each: int = 1 << 19) -> DataFra
     return df.repartition(max(least, -(-rows // each)), *keys)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = 1 << 19) -> DataFrame:
+    """df spread by its keys where its rows fill more partitions than the session's number; else as it is, left to the planner."""
+    return spread(df, rows, *keys, each=each) if rows > each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def last_version(spark: SparkSession, folder: str) -> int:
     """The last of the tables 1, 2, … in a folder that has been written whole; 0 if there is none."""
     jvm = spark.sparkContext._jvm

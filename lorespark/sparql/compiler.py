@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.sources.tables import spread, written
+from lorespark.sources.tables import dealt, spread, written
 from lorespark.sparql.parser import RDF_TYPE, XSD, Query, SparqlError, parse
 
 _NUMERIC = tuple(XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong"))
@@ -117,10 +117,11 @@ class Graph:
     """Triples to be queried. counts gives, where known, the number of triples of each predicate, by which joins are ordered.
 
     quads are triples with the IRI g of a named graph, for GRAPH, or make them when they are asked for; now is what NOW() returns.
+    rows gives the true number of triples of predicates that have many: joins with these are dealt to partitions by it.
     """
 
-    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, quads: DataFrame | Callable[[], DataFrame] | None = None, now: Column | None = None):
-        self.triples, self.prefixes, self.counts, self.quads, self.now = triples, dict(prefixes or {}), counts or {}, quads, now
+    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, quads: DataFrame | Callable[[], DataFrame] | None = None, now: Column | None = None, rows: dict[str, int] | None = None):
+        self.triples, self.prefixes, self.counts, self.quads, self.now, self.rows = triples, dict(prefixes or {}), counts or {}, quads, now, rows or {}
         #: Within GRAPH ?g the name g, which every triple pattern then binds.
         self._graph_name: str | None = None
         self.spark: SparkSession = triples.sparkSession
@@ -427,12 +428,19 @@ class Graph:
     # --- basic graph patterns
     def bgp(self, triples: list, start: Solutions | None) -> Solutions:
         """Joins of the triple patterns: the most selective first, then those that share a variable with what is there."""
-        left, s = list(triples), start
+        left, s, many = list(triples), start, 0
         while left:
             bound = set(s.names) if s else set()
             best = min(left, key=lambda t: (bool(bound) and not bound & _variables(t), self.cost(t, bound), triples.index(t)))
             left.remove(best)
             new = self.pattern(best, s)
+            rows = self.rows.get(best[1][1], 0) if best[1][0] == "link" else 0
+            if s is not None and (shared := [n for n in s.names if n in new.names]):
+                if many:
+                    s = replace(s, df=dealt(s.df, max(many, rows), *shared))
+                else:
+                    new = replace(new, df=dealt(new.df, rows, *shared))
+            many = max(many, rows)
             s = new if s is None else join(s, new)
         return s or self.unit()
 

@@ -1,13 +1,17 @@
 """Questions with the entities that they name: linking, ways through the schema, texts of queries, answers and errors."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.engine import Engine
-from lorespark.operators.questions import Schema, SelectText, label_index, linked, plan, query_text, suggestions
-from lorespark.plans.code_queries import SCHEMA
+from lorespark.operators.questions import Schema, SelectText, answered, label_index, linked, plan, query_text, suggestions, translated
+from lorespark.plans.code_queries import ORACLE_SQL, QUERIES, SCHEMA
 from lorespark.sources.catalog import Catalog
+from lorespark.sparql.compiler import Graph
 from lorespark.sparql.parser import parse
+from tests.oracle import assert_same
 
 EX = "http://example.org/"
 TINY = Schema(EX, (("wrote", "Author", "Book"), ("edited", "Author", "Book"), ("about", "Book", "Topic"), ("bornIn", "Author", "City")), {"Author": ("author", "authors", "who"), "Book": ("book", "books"), "City": ("city", "cities")}, {"wrote": ("wrote", "written"), "edited": ("edited",)})
@@ -95,3 +99,33 @@ def test_the_schema_of_the_tables_is_what_their_triples_have(spark, sf_dir):
     found = Schema.discovered(Catalog(spark, sf_dir).triples, EX)
     assert found == set(SCHEMA.edges)
     assert Catalog(spark, sf_dir).triples.filter(F.col("p") == EX + "inNation").count() > 0
+
+
+def test_suppliers_that_share_a_name_are_asked_for_once(spark, sf_dir, tmp_path):
+    for f in os.listdir(sf_dir):
+        if f != "supplier.parquet":
+            os.symlink(f"{sf_dir}/{f}", tmp_path / f)
+    shared = spark.read.parquet(f"{sf_dir}/supplier.parquet").withColumn("s_name", F.concat(F.lit("Supplier#"), (F.col("s_suppkey") % 3).cast("string")))
+    shared.toPandas().to_parquet(tmp_path / "supplier.parquet")
+    assert_same(QUERIES["question_answers"](spark, str(tmp_path)), str(tmp_path), ORACLE_SQL["question_answers"])
+
+
+def test_questions_are_translated_by_several_tasks(spark):
+    index = label_index(triples(spark), TINY)
+    asked = spark.range(3000).select("id", F.concat(F.lit("who wrote War "), F.col("id").cast("string")).alias("question")).coalesce(1)
+    got = translated(asked, index, TINY).select("id", "target", F.spark_partition_id().alias("task")).collect()
+    assert len({r.id for r in got}) == len(got) == 3000 and {r.target for r in got} == {"Author"}
+    assert len({r.task for r in got}) >= 3
+
+
+def test_answers_stay_where_triples_repeat_and_joins_are_dealt(spark):
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "id int, question string")
+    many = 9 << 19  # more than the session's partitions are meant for
+    graph = Graph(triples(spark).union(triples(spark)), {"ex": EX}, rows={EX + "wrote": many, EX + "edited": many})
+    got = {}
+    for r in answered(graph, asked, TINY).collect():
+        got.setdefault(r.question, []).append(r.error or r.answer.removeprefix(EX))
+    for q, want in ASKED.items():
+        assert sorted(got.get(q, [])) == ([want] if isinstance(want, str) else want), q
+    joined = graph.query("SELECT ?a ?n WHERE { ?b ex:name ?n . ?a ex:wrote ?b }")
+    assert "hashpartitioning(b" in (plan_ := joined._jdf.queryExecution().toString()) and ", 9)" in plan_
