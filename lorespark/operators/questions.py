@@ -196,7 +196,7 @@ def translated(questions: DataFrame, index: DataFrame, schema: Schema) -> DataFr
     Questions that cannot be translated have an error and no sparql. Null and empty questions name nothing. Ids are
     distinct integers. Questions are dealt to tasks by their number, as a small frame of them is much work.
     """
-    asked = questions.select(F.col("id").cast("long").alias("id"), "question")
+    asked = written(questions.select(F.col("id").cast("long").alias("id"), "question"), "asked")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
