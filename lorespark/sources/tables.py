@@ -40,9 +40,14 @@ def spread(df: DataFrame, rows: int, *keys: str, each: int = 1 << 19) -> DataFra
     return df.repartition(max(least, -(-rows // each)), *keys)
 
 
+def fills(spark: SparkSession, rows: int, each: int = 1 << 19) -> bool:
+    """Whether rows fill more partitions than the session's number."""
+    return rows > each * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def dealt(df: DataFrame, rows: int, *keys: str, each: int = 1 << 19) -> DataFrame:
     """df spread by its keys where its rows fill more partitions than the session's number; else as it is, left to the planner."""
-    return spread(df, rows, *keys, each=each) if rows > each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return spread(df, rows, *keys, each=each) if fills(df.sparkSession, rows, each) else df
 
 
 def last_version(spark: SparkSession, folder: str) -> int:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.sources.tables import dealt, spread, written
+from lorespark.sources.tables import dealt, fills, spread, written
 from lorespark.sparql.parser import RDF_TYPE, XSD, Query, SparqlError, parse
 
 _NUMERIC = tuple(XSD + t for t in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong"))
@@ -429,6 +429,8 @@ class Graph:
     def bgp(self, triples: list, start: Solutions | None) -> Solutions:
         """Joins of the triple patterns: the most selective first, then those that share a variable with what is there."""
         left, s, many = list(triples), start, 0
+        # Terms take many times their size in a file, by which the planner would broadcast them.
+        large = fills(self.spark, max(self.rows.values(), default=0))
         while left:
             bound = set(s.names) if s else set()
             best = min(left, key=lambda t: (bool(bound) and not bound & _variables(t), self.cost(t, bound), triples.index(t)))
@@ -441,7 +443,7 @@ class Graph:
                 else:
                     new = replace(new, df=dealt(new.df, rows, *shared))
             many = max(many, rows)
-            s = new if s is None else join(s, new)
+            s = new if s is None else join(s, replace(new, df=new.df.hint("merge")) if large else new)
         return s or self.unit()
 
     def cost(self, t: tuple, bound: set[str]) -> float:
