@@ -104,6 +104,12 @@ def test_similarity_join_sends_a_row_to_a_bounded_number_of_strips(spark):
         assert retrieval._strips(df, 2, by).count() == 300 * retrieval.STRIPS
 
 
+def test_similarity_join_deals_the_pairs_of_a_kind_to_all_tasks(spark):
+    df = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id")).alias("embedding"), F.lit(1).alias("kind"))
+    joined = retrieval.similarity_join(df, -1.0, block=2, by="kind")
+    assert joined.count() == 300 * 299 // 2 and joined.select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_triples_of_entities_are_dealt_by_their_number(spark):
     none = F.array().cast("array<string>")
     name = F.concat(F.lit("f"), "id")
