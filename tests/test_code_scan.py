@@ -267,3 +267,20 @@ def test_files_are_dealt_to_all_tasks(spark):
     files = spark.range(40).select(F.col("id").cast("string").alias("path"), F.lit("java").alias("language"), F.lit("class A {\n}").alias("content")).coalesce(1)
     out = code_entities(files)
     assert out.count() == 40 and out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_long_files_are_read_whole_in_time_that_grows_with_them(spark):
+    """Each takes minutes or more where every line, tag or element looks at all others."""
+    n = 30_000
+    made = {
+        "java": ("class A {\n", "  void m%d() { int a = 1; go(a); return; }\n", "}\n", n + 1),
+        "javascript": ("const data = [\n", '  {a: %d, b: [1, 2], c: {d: "x"}},\n', "];\nfunction last() {\n}\n", 1),
+        "go": ("package a\n", "func f%d(a int) {\n\n\treturn\n}\n", "", n + 1),
+        "html": ("<ul>\n", "<li>some words of a long list %d\n<b></b>", "</ul>\n", 2 * n + 1),
+        "css": ("", ".m%d { color: red; background: blue }\n", "", n),
+    }
+    texts = {k: first + "".join(line % i for i in range(n)) + last for k, (first, line, last, _) in made.items()}
+    assert max(map(len, texts.values())) > 1 << 20
+    files = spark.createDataFrame([(k, k, t) for k, t in {**texts, "c": "int f() {}\n" + "// long\n" * (1 << 18)}.items()], "path string, language string, content string")
+    got = {r.path: r["count"] for r in code_entities(files).groupBy("path").count().collect()}
+    assert got == {"c": 1, **{k: v[3] for k, v in made.items()}}
