@@ -206,3 +206,15 @@ def test_shared_runs_equal_a_comparison_of_all_pairs(spark):
     out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"), similarity=0.999).collect()
     assert {r.doc_id for r in out} == want
     assert all(r.other_id < r.doc_id and r.end - r.start >= 50 and runs[r.doc_id] & runs[r.other_id] for r in out)
+
+
+def test_runs_beside_those_of_the_first_are_found(spark):
+    """The second document shares a run with the first and another, which overlaps it, with the third."""
+    rng = np.random.default_rng(12)
+    rows, pairs = [], set()
+    for k in range(100):
+        run = words(rng, 68)
+        rows += [(10 * k, words(rng, 40) + run[:56] + words(rng, 30)), (10 * k + 1, words(rng, 20) + run + words(rng, 50)), (10 * k + 2, words(rng, 30) + run[12:] + words(rng, 60))]
+        pairs |= {(10 * k + 1, 10 * k), (10 * k + 2, 10 * k + 1)}
+    out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == pairs
